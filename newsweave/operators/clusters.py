@@ -10,69 +10,109 @@ The state is a cluster-level graph ``(keys, lo, hi, n, dmax)``: ``n`` cross
 edges below the threshold and their maximum. A pair is mergeable iff
 ``n == size(lo) * size(hi)``; a pair that is not can never become mergeable
 again, so its edges are dropped. Each round is a handful of shuffles over the
-(shrinking) graph, and the graph and assignment are checkpointed into the
-shared checkpoint folder so lineage stays short and lost executors only cost
-one round. The only driver action per round is the emptiness test.
+(shrinking) graph; the round's merges and the next graph are written into the
+shared checkpoint folder, so lineage stays short, statistics stay real and a
+lost executor costs at most one round. The driver only reads one row count
+per round (an observation on the write).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import shared_path
 
 SLOT = ["digest_date", "part"]
 
 
-def _sizes(assign: DataFrame, keys: list[str]) -> DataFrame:
-    return assign.groupBy(*keys, "cid").agg(F.count("*").alias("size"))
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write a round's table into the shared folder and read it back; the row
+    count comes from an observation on the write (no extra job)."""
+    spark = df.sparkSession
+    obs = Observation(name)
+    path = shared_path(spark, name)
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["rows"])
+
+
+def _mutual_merges(graph: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, old, new, size): pairs that are each other's best (smallest
+    ``(dmax, lo, hi)``); ``hi`` is merged into ``lo``."""
+    pair_key = F.struct("dmax", "lo", "hi")
+    cand = (graph.select(*keys, F.col("lo").alias("c"), pair_key.alias("k"))
+            .unionByName(graph.select(*keys, F.col("hi").alias("c"), pair_key.alias("k"))))
+    best = cand.groupBy(*keys, "c").agg(F.min("k").alias("best"))
+    b_lo = best.select(*keys, F.col("c").alias("lo"), F.col("best").alias("b_lo"))
+    b_hi = best.select(*keys, F.col("c").alias("hi"), F.col("best").alias("b_hi"))
+    return (graph.join(b_lo, [*keys, "lo"]).join(b_hi, [*keys, "hi"])
+            .where((F.col("b_lo") == pair_key) & (F.col("b_hi") == pair_key))
+            .select(*keys, F.col("hi").alias("old"), F.col("lo").alias("new"),
+                    (F.col("s_lo") + F.col("s_hi")).alias("size")))
+
+
+def _next_graph(graph: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """Relabel both ends through the merges, re-aggregate parallel edges and
+    keep only complete (still mergeable) cluster pairs."""
+    moved = (merges.select(*keys, F.col("old").alias("id"), "new", "size")
+             .unionByName(merges.select(*keys, F.col("new").alias("id"), "new", "size")))
+    m_lo = moved.select(*keys, F.col("id").alias("lo"), F.col("new").alias("lo_to"), F.col("size").alias("lo_size"))
+    m_hi = moved.select(*keys, F.col("id").alias("hi"), F.col("new").alias("hi_to"), F.col("size").alias("hi_size"))
+    g = (graph.join(m_lo, [*keys, "lo"], "left").join(m_hi, [*keys, "hi"], "left")
+         .select(*keys,
+                 F.coalesce("lo_to", "lo").alias("x"), F.coalesce("lo_size", "s_lo").alias("sx"),
+                 F.coalesce("hi_to", "hi").alias("y"), F.coalesce("hi_size", "s_hi").alias("sy"),
+                 "n", "dmax")
+         .where(F.col("x") != F.col("y")))
+    lo_first = F.col("x") < F.col("y")
+    g = g.select(*keys,
+                 F.when(lo_first, F.col("x")).otherwise(F.col("y")).alias("lo"),
+                 F.when(lo_first, F.col("y")).otherwise(F.col("x")).alias("hi"),
+                 F.when(lo_first, F.col("sx")).otherwise(F.col("sy")).alias("s_lo"),
+                 F.when(lo_first, F.col("sy")).otherwise(F.col("sx")).alias("s_hi"),
+                 "n", "dmax")
+    return (g.groupBy(*keys, "lo", "hi")
+            .agg(F.sum("n").alias("n"), F.max("dmax").alias("dmax"),
+                 F.first("s_lo").alias("s_lo"), F.first("s_hi").alias("s_hi"))
+            .where(F.col("n") == F.col("s_lo") * F.col("s_hi")))
 
 
 def complete_linkage(edges: DataFrame, keys: list[str] | None = None,
-                     max_rounds: int = 1000) -> DataFrame:
+                     max_rounds: int = 1000, fold_every: int = 8) -> DataFrame:
     """(keys..., index, cid) for every article that has at least one edge;
     ``cid`` is the smallest index of its cluster. Articles without edges are
-    singletons and do not appear."""
+    singletons and do not appear.
+
+    Graph rows carry the sizes of both clusters, so a round needs no join with
+    the assignment: it writes the merges and the next graph (two jobs). The
+    assignment is folded from the recorded merges every ``fold_every`` rounds
+    and at the end."""
     keys = keys if keys is not None else SLOT
-    graph = edges.select(*keys, F.col("a").alias("lo"), F.col("b").alias("hi"),
-                         F.lit(1).cast("long").alias("n"), F.col("d").alias("dmax"))
+    graph, n_edges = _write(
+        edges.select(*keys, F.col("a").alias("lo"), F.col("b").alias("hi"),
+                     F.lit(1).cast("long").alias("n"), F.col("d").alias("dmax"),
+                     F.lit(1).cast("long").alias("s_lo"), F.lit(1).cast("long").alias("s_hi")),
+        "graph")
     nodes = (edges.select(*keys, F.col("a").alias("index"))
-             .union(edges.select(*keys, F.col("b").alias("index"))).distinct())
-    assign = checkpoint(nodes.withColumn("cid", F.col("index")))
-    graph = checkpoint(graph)
-    for _ in range(max_rounds):
-        sizes = _sizes(assign, keys)
-        s_lo = sizes.select(*keys, F.col("cid").alias("lo"), F.col("size").alias("s_lo"))
-        s_hi = sizes.select(*keys, F.col("cid").alias("hi"), F.col("size").alias("s_hi"))
-        graph = (graph.join(s_lo, [*keys, "lo"]).join(s_hi, [*keys, "hi"])
-                 .where(F.col("n") == F.col("s_lo") * F.col("s_hi"))
-                 .select(*keys, "lo", "hi", "n", "dmax"))
-        graph = checkpoint(graph)
-        if graph.isEmpty():
-            break
-        pair_key = F.struct("dmax", "lo", "hi")
-        cand = (graph.select(*keys, F.col("lo").alias("c"), pair_key.alias("k"))
-                .union(graph.select(*keys, F.col("hi").alias("c"), pair_key.alias("k"))))
-        best = cand.groupBy(*keys, "c").agg(F.min("k").alias("best"))
-        b_lo = best.select(*keys, F.col("c").alias("lo"), F.col("best").alias("b_lo"))
-        b_hi = best.select(*keys, F.col("c").alias("hi"), F.col("best").alias("b_hi"))
-        merges = (graph.join(b_lo, [*keys, "lo"]).join(b_hi, [*keys, "hi"])
-                  .where((F.col("b_lo") == pair_key) & (F.col("b_hi") == pair_key))
-                  .select(*keys, F.col("hi").alias("old"), F.col("lo").alias("new")))
-        merges = checkpoint(merges)
-        assign = (assign.join(merges.withColumnRenamed("old", "cid"), [*keys, "cid"], "left")
-                  .select(*keys, "index", F.coalesce("new", "cid").alias("cid")))
-        assign = checkpoint(assign)
-        m_lo = merges.select(*keys, F.col("old").alias("lo"), F.col("new").alias("lo_new"))
-        m_hi = merges.select(*keys, F.col("old").alias("hi"), F.col("new").alias("hi_new"))
-        moved = (graph.join(m_lo, [*keys, "lo"], "left").join(m_hi, [*keys, "hi"], "left")
-                 .select(*keys, F.coalesce("lo_new", "lo").alias("x"),
-                         F.coalesce("hi_new", "hi").alias("y"), "n", "dmax")
-                 .where(F.col("x") != F.col("y")))
-        graph = (moved.groupBy(*keys, F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-                 .agg(F.sum("n").alias("n"), F.max("dmax").alias("dmax")))
-    return assign
+             .unionByName(edges.select(*keys, F.col("b").alias("index"))).distinct())
+    assign, _ = _write(nodes.withColumn("cid", F.col("index")), "assign")
+    pending: list[DataFrame] = []
+
+    def fold(assign: DataFrame, pending: list[DataFrame]) -> DataFrame:
+        for m in pending:
+            assign = (assign.join(m.select(*keys, F.col("old").alias("cid"), "new"), [*keys, "cid"], "left")
+                      .select(*keys, "index", F.coalesce("new", "cid").alias("cid")))
+        return _write(assign, "assign")[0]
+
+    rounds = 0
+    while n_edges > 0 and rounds < max_rounds:
+        merges, _ = _write(_mutual_merges(graph, keys), "merges")
+        pending.append(merges)
+        graph, n_edges = _write(_next_graph(graph, merges, keys), "graph")
+        rounds += 1
+        if len(pending) >= fold_every:
+            assign, pending = fold(assign, pending), []
+    return fold(assign, pending) if pending else assign
 
 
 def cluster_articles(articles: DataFrame, edges: DataFrame,

@@ -450,8 +450,7 @@ def q_slot_assign(spark, d):
 
 
 def q_stream_slots(spark, d):
-    s = sslots.stream_slot_counts(spark, f"{d.rstrip('/')}/events.parquet",
-                                  read_table(spark, d, "events").schema)
+    s = sslots.stream_slot_counts(spark, d.rstrip("/"), read_table(spark, d, "events").schema)
     return s.select(*_slot(s), F.col("n_events").cast("bigint").alias("n_events"))
 
 

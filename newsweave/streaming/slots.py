@@ -35,11 +35,14 @@ def roll_up_slots(hours: DataFrame) -> DataFrame:
             .groupBy(*SLOT).agg(F.sum("n").alias("n_events")))
 
 
-def stream_slot_counts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Events per slot from a parquet file stream."""
+def stream_slot_counts(spark: SparkSession, folder: str, schema: T.StructType,
+                       glob: str = "events*.parquet", max_files: int = 1) -> DataFrame:
+    """Events per slot from a parquet file stream over ``folder`` (only
+    files matching ``glob``; new files are picked up by later runs)."""
     out = shared_path(spark, "hourly")
     ckpt = shared_path(spark, "ckpt-hourly")
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
+              .option("maxFilesPerTrigger", max_files).parquet(folder))
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
