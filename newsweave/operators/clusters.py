@@ -20,10 +20,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import shared_path
+from ..session import broadcast_if_small, shared_path
 
 SLOT = ["digest_date", "part"]
+# Slots whose similarity graph has at most this many articles are clustered
+# inside one task (dense matrix of this side squared); 0 = always distributed.
+LOCAL_MAX_NODES = 2000
 
 
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -115,12 +119,75 @@ def complete_linkage(edges: DataFrame, keys: list[str] | None = None,
     return fold(assign, pending) if pending else assign
 
 
+def _local_linkage_fn(keys: list[str]):
+    """Complete linkage of one bounded slot in numpy: the same mutual-best
+    rounds as the distributed path on a dense cluster-distance matrix (missing
+    edge = +inf, so an incomplete pair can never merge). Rows are in
+    ascending id order, so ``argmin`` breaks ties exactly like the
+    ``(dmax, lo, hi)`` pair key."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf["a"].to_numpy()
+        b = pdf["b"].to_numpy()
+        ids = np.unique(np.concatenate([a, b]))
+        n = len(ids)
+        ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        dist = np.full((n, n), np.inf)
+        dist[ia, ib] = pdf["d"].to_numpy()
+        dist[ib, ia] = dist[ia, ib]
+        lab = np.arange(n)
+        rows = np.arange(n)
+        while True:
+            np.fill_diagonal(dist, np.inf)
+            best = np.argmin(dist, axis=1)
+            ok = np.isfinite(dist[rows, best])
+            mutual = ok & (best[best] == rows) & (rows < best)
+            keep, gone = rows[mutual], best[mutual]
+            if len(keep) == 0:
+                break
+            dist[keep] = np.maximum(dist[keep], dist[gone])
+            dist[:, keep] = np.maximum(dist[:, keep], dist[:, gone])
+            dist[gone] = np.inf
+            dist[:, gone] = np.inf
+            to = np.arange(n)
+            to[gone] = keep
+            lab = to[lab]
+        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(n))
+        out["index"] = ids
+        out["cid"] = ids[lab]
+        return out
+
+    return run
+
+
+def hybrid_linkage(edges: DataFrame, keys: list[str] | None = None,
+                   local_max: int = LOCAL_MAX_NODES) -> DataFrame:
+    """(keys..., index, cid): slots whose edge graph has at most ``local_max``
+    articles are clustered in one bounded group each (one job for all of
+    them); larger slots go through the distributed merge rounds."""
+    keys = keys if keys is not None else SLOT
+    edges, _ = _write(edges, "edges")
+    nodes = (edges.select(*keys, F.col("a").alias("x"))
+             .unionByName(edges.select(*keys, F.col("b").alias("x"))).distinct()
+             .groupBy(*keys).agg(F.count("*").alias("_nodes")))
+    # one row per slot, bounded by the number of slots
+    sized = edges.join(broadcast_if_small(nodes), keys)
+    small = sized.where(F.col("_nodes") <= local_max).drop("_nodes")
+    large = sized.where(F.col("_nodes") > local_max).drop("_nodes")
+    schema = T.StructType([*[edges.schema[k] for k in keys],
+                           T.StructField("index", T.LongType()), T.StructField("cid", T.LongType())])
+    local = small.groupBy(*keys).applyInPandas(_local_linkage_fn(keys), schema)
+    return local.unionByName(complete_linkage(large, keys))
+
+
 def cluster_articles(articles: DataFrame, edges: DataFrame,
-                     keys: list[str] | None = None) -> DataFrame:
+                     keys: list[str] | None = None, local_max: int = LOCAL_MAX_NODES) -> DataFrame:
     """All articles with ``cid`` (singletons keep their own index) and the
     cluster ``size`` (A2)."""
     keys = keys if keys is not None else SLOT
-    assign = complete_linkage(edges, keys)
+    assign = hybrid_linkage(edges, keys) if local_max > 0 else complete_linkage(edges, keys)
     out = (articles.join(assign, [*keys, "index"], "left")
            .withColumn("cid", F.coalesce("cid", "index")))
     sizes = out.groupBy(*keys, "cid").agg(F.count("*").alias("size"))
