@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import lead_of, title_of
-from .functions.time import digest_date, slot_bounds, slot_part
+from .functions.time import digest_date, epoch_seconds, slot_bounds, slot_part
 from .session import read_table
 
 # --- fixed values -----------------------------------------------------------
@@ -117,7 +117,7 @@ def message_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     size of every payload, so no group grows with the data."""
     a = articles(spark, sf_dir)
     msg = F.struct(F.col("index").alias("id"),
-                   F.unix_seconds(F.col("date").cast("timestamp")).alias("date"),
+                   epoch_seconds("date").alias("date"),
                    F.col("raw_news").alias("message"))
     return (a.groupBy(F.col("agency").alias("channel"),
                       F.floor(F.col("index") / PAGE_SIZE).alias("page"))
@@ -128,7 +128,7 @@ def message_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat requests derived from events (see FIXTURES.md)."""
     e = read_table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int")
+    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int")
     letter = lambda pos: F.substring(F.lit(REQUEST_LETTERS), pos, 1)
     text = (F.when(F.col("event_type") == "view",
                    F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd"))

@@ -67,10 +67,20 @@ def slot_bounds(date: Column | str, part: Column | str) -> tuple[Column, Column]
     return start, end
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_seconds(ts: Column | str) -> Column:
+    """Whole seconds since the epoch of a UTC wall-clock ``timestamp_ntz``
+    (independent of the session time zone)."""
+    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), _c(ts))
+
+
 def epoch_to_time(seconds: Column | str, tz: str = "UTC") -> Column:
-    """Epoch seconds to wall-clock time in ``tz`` (timestamp without zone)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz),
-                              F.timestamp_seconds(_c(seconds)).cast("timestamp_ntz"))
+    """Epoch seconds to wall-clock time in ``tz`` (timestamp without zone;
+    independent of the session time zone)."""
+    utc = F.timestamp_add("SECOND", _c(seconds), F.lit(EPOCH).cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def parse_date(s: Column | str) -> Column:

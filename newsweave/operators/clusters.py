@@ -18,11 +18,12 @@ per round (an observation on the write).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_if_small, shared_path
+from .ranking import distributed_row_number
 
 SLOT = ["digest_date", "part"]
 # Slots whose similarity graph has at most this many articles are clustered
@@ -195,9 +196,9 @@ def cluster_articles(articles: DataFrame, edges: DataFrame,
 
 
 def story_labels(clustered: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per slot, label 1.. by size desc then smallest member index."""
+    """Per slot, label 1.. by size desc then smallest member index
+    (distributed numbering: a huge slot is not one window partition)."""
     keys = keys if keys is not None else SLOT
     clusters = clustered.select(*keys, "cid", "size").distinct()
-    w = Window.partitionBy(*keys).orderBy(F.desc("size"), F.asc("cid"))
-    labels = clusters.withColumn("label", F.row_number().over(w).cast("long"))
+    labels = distributed_row_number(clusters, keys, [F.desc("size"), F.asc("cid")], "label")
     return clustered.join(labels.select(*keys, "cid", "label"), [*keys, "cid"])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_links
+from .ranking import distributed_row_number
 
 SLOT = ["digest_date", "part"]
 STORY = [*SLOT, "label"]
@@ -53,9 +54,9 @@ def top_clusters(stories: DataFrame, cap: int) -> DataFrame:
 
 
 def story_order(stories: DataFrame) -> DataFrame:
-    """O1: position of every story in its slot (size desc, label asc)."""
-    w = Window.partitionBy(*SLOT).orderBy(F.desc("size"), F.asc("label"))
-    return stories.withColumn("position", F.row_number().over(w).cast("long"))
+    """O1: position of every story in its slot (size desc, label asc),
+    numbered without a per-slot window partition."""
+    return distributed_row_number(stories, SLOT, [F.desc("size"), F.asc("label")], "position")
 
 
 def top_stories(stories: DataFrame, digest_date: str, part: int, k: int) -> DataFrame:

@@ -379,7 +379,7 @@ def q_label_suffix(spark, d):
 
 def q_epoch_time(spark, d):
     a = fx.articles(spark, d)
-    secs = F.unix_seconds(F.col("date").cast("timestamp"))
+    secs = tm.epoch_seconds("date")
     return a.select("index", secs.alias("epoch"),
                     _ts(tm.epoch_to_time(secs)).alias("utc_time"),
                     _ts(tm.epoch_to_time(secs, "Europe/Moscow")).alias("msk_time"))
@@ -466,7 +466,7 @@ def q_stream_dedup(spark, d):
 
 def _stored_pages(spark, d) -> DataFrame:
     pages = fx.message_pages(spark, d)
-    cut = F.unix_seconds(F.lit(fx.STORED_BEFORE).cast("timestamp"))
+    cut = tm.epoch_seconds(F.lit(fx.STORED_BEFORE).cast("timestamp_ntz"))
     kept = F.filter(F.from_json("payload", msg.PAYLOAD)["messages"], lambda m: m["date"] < cut)
     return (pages.select("channel", F.concat(F.lit("old-"), F.col("page").cast("string")).alias("page"),
                          F.to_json(F.struct(kept.alias("messages"))).alias("payload")))

@@ -23,14 +23,14 @@ SLOT = ["digest_date", "part"]
 
 
 def hourly_counts(stream: DataFrame, ts: str = "ts") -> DataFrame:
-    t = F.col(ts).cast("timestamp")
-    return (stream.withColumn("_t", t)
-            .groupBy(F.window("_t", "1 hour").alias("w"))
+    """Hourly tumbling windows on the wall-clock time (``timestamp_ntz``, so
+    the session time zone plays no part)."""
+    return (stream.groupBy(F.window(F.col(ts).cast("timestamp_ntz"), "1 hour").alias("w"))
             .agg(F.count("*").alias("n")))
 
 
 def roll_up_slots(hours: DataFrame) -> DataFrame:
-    start = F.col("w.start").cast("timestamp_ntz")
+    start = F.col("w.start")
     return (hours.select(digest_date(start).alias("digest_date"), slot_part(start).alias("part"), "n")
             .groupBy(*SLOT).agg(F.sum("n").alias("n_events")))
 

@@ -84,6 +84,11 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2].split(",")) if len(sys.argv) > 2 else None
     spark = build_session(8)
+    # optional hostile session settings, as a driver might have them
+    for env, key in (("NW_TZ", "spark.sql.session.timeZone"), ("NW_ANSI", "spark.sql.ansi.enabled"),
+                     ("NW_PARTS", "spark.sql.shuffle.partitions")):
+        if os.environ.get(env):
+            spark.conf.set(key, os.environ[env])
     con = duck(sf_dir)
     sqls = E.oracle_sql()
     for name, fn in E.queries().items():
