@@ -13,12 +13,12 @@ again, so its edges are dropped. Each round is a handful of shuffles over the
 (shrinking) graph; the round's merges and the next graph are written into the
 shared checkpoint folder, so lineage stays short, statistics stay real and a
 lost executor costs at most one round. The driver only reads one row count
-per round (an observation on the write).
+per round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +32,15 @@ LOCAL_MAX_NODES = 2000
 
 
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write a round's table into the shared folder and read it back; the row
-    count comes from an observation on the write (no extra job)."""
+    """Write a round's table into the shared folder and read it back with its
+    row count (answered from the parquet footers). An ``observe`` on the
+    write would save that small job, but a session that has used observations
+    can no longer serialize MLlib closures in Spark 4.1."""
     spark = df.sparkSession
-    obs = Observation(name)
     path = shared_path(spark, name)
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), int(obs.get["rows"])
+    df.write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    return back, back.count()
 
 
 def _mutual_merges(graph: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,14 +121,28 @@ FROM tokens WHERE word <> '' GROUP BY word HAVING count(DISTINCT "index") >= 2""
 cte("tokvec", ["tokens", "vocab"], """
 SELECT t.*, coalesce(v.vec_id, 0) AS vec_id FROM tokens t LEFT JOIN vocab v USING (word)""")
 cte("vectors", ["tokvec"], """
-SELECT digest_date, part, "index", list(v ORDER BY dim) AS vec FROM (
-  SELECT tv.digest_date, tv.part, tv."index", el.dim, avg(el.x) AS v
+SELECT "index", list(v ORDER BY dim) AS vec FROM (
+  SELECT tv."index", el.dim, avg(el.x) AS v
   FROM tokvec tv JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim
                        FROM embeddings) el USING (vec_id)
   GROUP BY ALL) GROUP BY ALL""")
-cte("unitv", ["vectors"], """
-SELECT digest_date, part, "index", list_transform(vec, lambda x: x / nrm) AS u
-FROM (SELECT *, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM vectors) WHERE nrm > 0""")
+cte("views", ["slotted"], """
+SELECT CAST(g.digest_date AS DATE) AS digest_date, CAST(g.part AS INTEGER) AS part,
+  CAST(CASE WHEN p.part IS NULL THEN g.digest_date - INTERVAL 1 DAY ELSE g.digest_date END AS DATE) AS src_date,
+  CAST(CASE WHEN p.part IS NULL THEN 0 ELSE g.part END AS INTEGER) AS src_part
+FROM (SELECT CAST(t.g AS DATE) AS digest_date, v.p AS part
+      FROM generate_series((SELECT min(digest_date) FROM slotted), (SELECT max(digest_date) FROM slotted),
+                           INTERVAL 1 DAY) t(g), (VALUES (1), (2), (3), (4)) v(p)) g
+LEFT JOIN (SELECT DISTINCT digest_date, part FROM slotted) p ON p.digest_date = g.digest_date AND p.part = g.part""")
+cte("vslotted", ["slotted", "views"], """
+SELECT * FROM slotted
+UNION ALL
+SELECT * REPLACE (CAST(date AS DATE) AS digest_date, CAST(0 AS INTEGER) AS part) FROM slotted
+WHERE CAST(date AS DATE) IN (SELECT src_date FROM views WHERE src_part = 0)""")
+cte("unitv", ["vectors", "vslotted"], """
+SELECT s.digest_date, s.part, s."index", list_transform(v.vec, lambda x: x / v.nrm) AS u
+FROM vslotted s JOIN (SELECT *, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM vectors) v
+  USING ("index") WHERE v.nrm > 0""")
 cte("pairs", ["unitv"], f"""
 SELECT * FROM (
   SELECT a.digest_date, a.part, a."index" AS a, b."index" AS b, round(1 - list_dot_product(a.u, b.u), 6) AS d
@@ -167,10 +181,10 @@ def _rounds(k: int) -> None:
 
 
 _rounds(CLUSTER_ROUNDS)
-cte("clustered", ["slotted", f"a{CLUSTER_ROUNDS}"], f"""
+cte("clustered", ["vslotted", f"a{CLUSTER_ROUNDS}"], f"""
 SELECT s.*, coalesce(f.cid, s."index") AS cid,
        count(*) OVER (PARTITION BY s.digest_date, s.part, coalesce(f.cid, s."index")) AS size
-FROM slotted s LEFT JOIN a{CLUSTER_ROUNDS} f ON f.digest_date = s.digest_date AND f.part = s.part AND f.idx = s."index" """)
+FROM vslotted s LEFT JOIN a{CLUSTER_ROUNDS} f ON f.digest_date = s.digest_date AND f.part = s.part AND f.idx = s."index" """)
 cte("labelled", ["clustered"], """
 SELECT c.*, l.label FROM clustered c JOIN (
   SELECT digest_date, part, cid, row_number() OVER (PARTITION BY digest_date, part ORDER BY size DESC, cid) AS label
@@ -198,9 +212,11 @@ cte("percat", ["subs", "categories"], """
 SELECT s.user_id, s.news_amount, c.category,
        CAST(row_number() OVER (PARTITION BY s.user_id ORDER BY c.ordinal) AS INTEGER) AS category_no
 FROM subs s JOIN categories c ON (s.mask & (1 << (c.ordinal - 1))) > 0""")
-cte("lines", ["percat", "ranked"], """
-SELECT p.user_id, r.digest_date, r.part, p.category_no, p.category, r.rank, r.label, r.title
-FROM percat p JOIN ranked r USING (category) WHERE r.rank <= p.news_amount""")
+cte("lines", ["percat", "ranked", "views"], """
+SELECT p.user_id, v.digest_date, v.part, p.category_no, p.category, r.rank, r.label, r.title
+FROM percat p JOIN ranked r USING (category)
+JOIN views v ON v.src_date = r.digest_date AND v.src_part = r.part
+WHERE r.rank <= p.news_amount""")
 cte("requests", [], rf"""
 SELECT event_id AS request_id, user_id, ts AS sent_at,
   CASE event_type
@@ -217,14 +233,15 @@ cte("asof_last", ["kinds", "dlog"], """
 SELECT r.request_id, r.user_id, r.text, d.sent_at AS digest_sent_at, d.digest_date, d.part
 FROM (SELECT * FROM kinds WHERE kind = 'coordinates') r
 ASOF LEFT JOIN dlog d ON r.user_id = d.user_id AND r.sent_at >= d.sent_at""")
-cte("resolved", ["asof_last", "percat", "ranked"], rf"""
-SELECT a.request_id, a.user_id, a.digest_date, a.part, p.category, r.label,
+cte("resolved", ["asof_last", "percat", "ranked", "views"], rf"""
+SELECT a.request_id, a.user_id, a.digest_date, a.part, v.src_date, v.src_part, p.category, r.label,
        strftime(date_trunc('second', r.date), '%d %B %Y - %H:%M:%S') AS shown_date, r.title,
        replace(r.short_news, r.title || '. ', '') AS summary
 FROM (SELECT *, CAST(regexp_extract(text, '{COORDS}', 1) AS INTEGER) AS category_no,
              CAST(regexp_extract(text, '{COORDS}', 2) AS BIGINT) AS label FROM asof_last WHERE digest_date IS NOT NULL) a
 JOIN percat p ON p.user_id = a.user_id AND p.category_no = a.category_no
-JOIN ranked r ON r.digest_date = a.digest_date AND r.part = a.part AND r.category = p.category AND r.label = a.label
+JOIN views v ON v.digest_date = a.digest_date AND v.part = a.part
+JOIN ranked r ON r.digest_date = v.src_date AND r.part = v.src_part AND r.category = p.category AND r.label = a.label
 WHERE r.rank <= p.news_amount""")
 cte("setreq", ["kinds"], f"""
 SELECT request_id, user_id, sent_at, lower(regexp_extract(text, '{SETTINGS}', 1)) AS letters,
@@ -335,15 +352,7 @@ q("subscribed_users", ["subs"], f"SELECT user_id, news_amount, {mask_categories(
 q("date_guard", ["kinds"], f"""SELECT request_id, {_d("CAST(strptime(text, '%Y-%m-%d') AS DATE)")} AS req_date,
   CAST(strptime(text, '%Y-%m-%d') AS DATE) BETWEEN DATE '2022-06-28' AND DATE {_q(TODAY)} AS is_valid
   FROM kinds WHERE kind = 'digest'""")
-q("slot_fallback", ["slotted"], f"""
-WITH present AS (SELECT DISTINCT digest_date, part FROM slotted),
-grid AS (SELECT CAST(g AS DATE) AS digest_date, p AS part
-  FROM generate_series((SELECT min(digest_date) FROM present), (SELECT max(digest_date) FROM present), INTERVAL 1 DAY) t(g),
-       (VALUES (1), (2), (3), (4)) v(p))
-SELECT {_d('g.digest_date')} AS digest_date, CAST(g.part AS INTEGER) AS part,
-  {_d("CAST(CASE WHEN p.part IS NULL THEN g.digest_date - INTERVAL 1 DAY ELSE g.digest_date END AS DATE)")} AS src_date,
-  CAST(CASE WHEN p.part IS NULL THEN 0 ELSE g.part END AS INTEGER) AS src_part
-FROM grid g LEFT JOIN present p ON p.digest_date = g.digest_date AND p.part = g.part""")
+q("slot_fallback", ["views"], f"""SELECT {SLOT_OUT}, {_d('src_date')} AS src_date, src_part FROM views""")
 q("settings_unpivot", ["settings_log", "categories"], """
 SELECT s.user_id, s.seq, CAST(c.ordinal AS INTEGER) AS ordinal, c.category
 FROM settings_log s JOIN categories c ON (s.mask & (1 << (c.ordinal - 1))) > 0""")
@@ -392,7 +401,8 @@ FROM (SELECT user_id, digest_date, part, string_agg(t, '' ORDER BY category_no,
       CAST(label AS VARCHAR) || '. ' || title || chr(10) AS t FROM lines) GROUP BY ALL) b
 LEFT JOIN users u USING (user_id)""")
 q("drilldown_links", ["resolved", "links"], f"""SELECT r.request_id, CAST(r.digest_date AS VARCHAR) AS digest_date, r.part,
-  r.label, k.link FROM resolved r JOIN links k USING (digest_date, part, label) WHERE k.link <> 'https://t.me/economika'""")
+  r.label, k.link FROM resolved r JOIN links k ON k.digest_date = r.src_date AND k.part = r.src_part
+  AND k.label = r.label WHERE k.link <> 'https://t.me/economika'""")
 # --- windows, sorts
 q("top_clusters", ["ranked", "subs"], f"""SELECT {SLOT_OUT}, category, rank, label, size FROM ranked
   WHERE rank <= (SELECT max(news_amount) FROM subs)""")

@@ -1,5 +1,6 @@
 """Shared plan pieces: slotted articles -> headline vectors -> pairs ->
-complete-linkage stories. Stories are computed once per input and persisted
+complete-linkage stories per view (a slot, or the previous day for an empty
+slot). Stories are computed once per input and persisted
 (checkpointed into the shared checkpoint folder); every digest, drill-down
 and ranking joins to the persisted result instead of reclustering."""
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import clusters, stories, vectors
-from ..session import checkpoint, read_table
+from ..operators import slots as slot_ops
+from ..session import broadcast_if_small, checkpoint, read_table
 
 _PERSISTED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -22,18 +24,44 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _PERSISTED[key]
 
 
+SLOT = ["digest_date", "part"]
+
+
+def slot_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(digest_date, part, src_date, src_part) for every slot of the grid:
+    the slot itself, or the previous calendar day (part 0) when the slot has
+    no article (F9). One row per slot."""
+    present = fx.slotted_articles(spark, sf_dir).select(*SLOT).distinct()
+    return slot_ops.slot_fallback(present)
+
+
+def view_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of every story view a digest reads: each article in its own
+    slot, and also in its calendar day (part 0) when an empty slot falls back
+    to that day."""
+    arts = fx.slotted_articles(spark, sf_dir)
+    days = (slot_views(spark, sf_dir).where(F.col("src_part") == 0)
+            .select(F.col("src_date").alias("digest_date")).distinct())
+    day_rows = (arts.withColumns({"digest_date": F.to_date("date"), "part": F.lit(0)})
+                .join(broadcast_if_small(days), "digest_date", "left_semi"))
+    return arts.unionByName(day_rows)
+
+
 def headline_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(index, vec): one mean title vector per article."""
     arts = fx.slotted_articles(spark, sf_dir)
-    return vectors.headline_vectors(arts, read_table(spark, sf_dir, "embeddings"))
+    return vectors.headline_vectors(arts, read_table(spark, sf_dir, "embeddings"), keys=[])
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.similar_pairs(headline_vectors(spark, sf_dir))
+    """J6 inside every story view."""
+    views = view_articles(spark, sf_dir).select(*SLOT, "index")
+    return vectors.similar_pairs(views.join(headline_vectors(spark, sf_dir), "index"))
 
 
 def build_story_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arts = fx.slotted_articles(spark, sf_dir)
-    edges = checkpoint(pairs(spark, sf_dir))
+    arts = view_articles(spark, sf_dir)
+    edges = checkpoint(pairs(spark, sf_dir), "edges")
     clustered = clusters.cluster_articles(arts, edges)
     return clusters.story_labels(clustered)
 

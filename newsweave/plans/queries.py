@@ -213,7 +213,7 @@ def _ranked(spark, d, cap: int | None = None) -> DataFrame:
 
 def q_digest_lines(spark, d):
     st = pl.story_table(spark, d)
-    lines = digest.digest_lines(st, pl.subscriber_settings(spark, d))
+    lines = digest.digest_lines(st, pl.subscriber_settings(spark, d), pl.slot_views(spark, d))
     return lines.select("user_id", *_slot(lines), "category_no", "category", "rank", "label", "title")
 
 
@@ -228,7 +228,7 @@ def _coordinate_requests(spark, d) -> DataFrame:
 
 def _resolved(spark, d) -> DataFrame:
     req = _coordinate_requests(spark, d)
-    return digest.drilldown(req, pl.subscriber_settings(spark, d), _ranked(spark, d))
+    return digest.drilldown(req, pl.subscriber_settings(spark, d), _ranked(spark, d), pl.slot_views(spark, d))
 
 
 def q_drilldown(spark, d):
@@ -287,7 +287,7 @@ def q_story_clusters(spark, d):
 
 def q_digest_text(spark, d):
     st = pl.story_table(spark, d)
-    lines = digest.digest_lines(st, pl.subscriber_settings(spark, d))
+    lines = digest.digest_lines(st, pl.subscriber_settings(spark, d), pl.slot_views(spark, d))
     t = digest.digest_text(lines, fx.users(spark, d), fx.categories(spark))
     return t.select("user_id", *_slot(t), "text")
 

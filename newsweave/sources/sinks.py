@@ -42,7 +42,9 @@ def ingest_metrics(df: DataFrame) -> DataFrame:
 
 
 def observed(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """Live metrics of a run without an extra job: rows and time range."""
+    """Live metrics of a run without an extra job: rows and time range.
+    Note: in Spark 4.1 a session that used observations cannot serialize
+    MLlib closures afterwards; do not combine with MLlib in one session."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"),
                       F.max("date").alias("last")), obs
