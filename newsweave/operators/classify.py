@@ -35,14 +35,19 @@ def _class_of(quality: Column) -> Column:
     return F.when(quality == 1, F.lit(NEWS)).otherwise(F.lit(NOT_NEWS))
 
 
-def train_nb(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (model: word, class, logp) and (priors: class, logprior)."""
-    train = (docs.join(labels.select("doc_id", "quality"), "doc_id")
-             .select("doc_id", _class_of(F.col("quality")).alias("class"), "text"))
-    priors = (train.groupBy("class").agg(F.count("*").alias("n"))
+def doc_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, cnt): word counts per document (map-side combined)."""
+    return (docs.select("doc_id", F.explode(words("text")).alias("word"))
+            .groupBy("doc_id", "word").agg(F.count("*").alias("cnt")))
+
+
+def train_nb(dw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From per-document word counts and labels: (model: word, class, logp)
+    and (priors: class, logprior)."""
+    lab = labels.select("doc_id", _class_of(F.col("quality")).alias("class"))
+    priors = (lab.groupBy("class").agg(F.count("*").alias("n"))
               .select("class", F.log(F.col("n") / F.sum("n").over(_all())).alias("logprior")))
-    tw = train.select("class", F.explode(words("text")).alias("word"))
-    counts = tw.groupBy("class", "word").agg(F.count("*").alias("n"))
+    counts = (dw.join(lab, "doc_id").groupBy("class", "word").agg(F.sum("cnt").alias("n")))
     vocab = counts.select("word").distinct()
     n_vocab = vocab.count()  # one scalar of the model, read once
     totals = counts.groupBy("class").agg(F.sum("n").alias("total"))
@@ -62,9 +67,9 @@ def _all():
 def classify_nb(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, category) for every document: argmax of log prior + sum of
     word log likelihoods (unknown words ignored)."""
-    model, priors = train_nb(docs, labels)
-    dw = (docs.select("doc_id", F.explode(words("text")).alias("word"))
-          .groupBy("doc_id", "word").agg(F.count("*").alias("cnt")))
+    dw = doc_words(docs)
+    # labels of documents that exist (the labelled table may hold others)
+    model, priors = train_nb(dw, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
     ll = (dw.join(broadcast_if_small(model), "word")
           .groupBy("doc_id", "class").agg(F.sum(F.col("cnt") * F.col("logp")).alias("ll")))
     base = docs.select("doc_id", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))

@@ -182,6 +182,9 @@ def hybrid_linkage(edges: DataFrame, keys: list[str] | None = None,
     schema = T.StructType([*[edges.schema[k] for k in keys],
                            T.StructField("index", T.LongType()), T.StructField("cid", T.LongType())])
     local = small.groupBy(*keys).applyInPandas(_local_linkage_fn(keys), schema)
+    biggest = nodes.agg(F.max("_nodes").alias("m")).first()["m"] or 0  # one scalar
+    if biggest <= local_max:
+        return local
     return local.unionByName(complete_linkage(large, keys))
 
 

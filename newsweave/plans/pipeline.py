@@ -61,8 +61,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_story_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = view_articles(spark, sf_dir)
-    edges = checkpoint(pairs(spark, sf_dir), "edges")
-    clustered = clusters.cluster_articles(arts, edges)
+    clustered = clusters.cluster_articles(arts, pairs(spark, sf_dir))  # edges are written once inside
     return clusters.story_labels(clustered)
 
 
