@@ -116,3 +116,9 @@ def test_epoch_and_display(spark):
     got = one(spark, tm.display_date(F.col("s")), dt.datetime(2024, 1, 5, 3, 4, 5), "s timestamp_ntz")
     assert got == "05 January 2024 - 03:04:05"
     assert one(spark, tm.part_greeting(F.col("s")), 0, "s int") is None
+
+
+def test_location_struct(spark):
+    df = spark.createDataFrame([("55.75", 37.62)], "lat string, lon double")
+    r = df.select(rq.location_struct("lat", "lon").alias("loc")).first()["loc"]
+    assert (r["lat"], r["lon"]) == (55.75, 37.62)
