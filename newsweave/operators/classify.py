@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 
 NEWS, NOT_NEWS = "news", "not_news"
 CLASSES = [NOT_NEWS, NEWS]
@@ -67,7 +67,9 @@ def _all():
 def classify_nb(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, category) for every document: argmax of log prior + sum of
     word log likelihoods (unknown words ignored)."""
-    dw = doc_words(docs)
+    # per-document word counts feed the vocabulary, training and scoring:
+    # written once to the shared folder instead of being recomputed
+    dw = checkpoint(doc_words(docs), "doc_words")
     # labels of documents that exist (the labelled table may hold others)
     model, priors = train_nb(dw, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
     ll = (dw.join(broadcast_if_small(model), "word")

@@ -51,8 +51,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
 
+# Inputs at most this large may be re-spread over the cores after the scan.
+SPREAD_MAX_BYTES = 1 << 30
+# Text-heavy tables and the key they are spread on.
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in SPREAD_KEYS:
+        df = spread_small(df, SPREAD_KEYS[name])
+    return df
+
+
+def spread_small(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Hash-repartition a *small* scan over all cores. A file with one row
+    group is read by a single task, and the per-row text work (regex, explode)
+    fused into that scan would run serially. Large inputs are split by their
+    files already and are never shuffled for this."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) <= max_bytes and df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism, key)
+    return df
 
 
 def estimated_bytes(df: DataFrame) -> int:
