@@ -27,30 +27,46 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 SLOT = ["digest_date", "part"]
 
 
-def slot_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def views_of(slotted: DataFrame) -> DataFrame:
     """(digest_date, part, src_date, src_part) for every slot of the grid:
     the slot itself, or the previous calendar day (part 0) when the slot has
     no article (F9). One row per slot."""
-    present = fx.slotted_articles(spark, sf_dir).select(*SLOT).distinct()
-    return slot_ops.slot_fallback(present)
+    return slot_ops.slot_fallback(slotted.select(*SLOT).distinct())
 
 
-def view_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view_articles_of(slotted: DataFrame, views: DataFrame) -> DataFrame:
     """Articles of every story view a digest reads: each article in its own
     slot, and also in its calendar day (part 0) when an empty slot falls back
     to that day."""
-    arts = fx.slotted_articles(spark, sf_dir)
-    days = (slot_views(spark, sf_dir).where(F.col("src_part") == 0)
+    days = (views.where(F.col("src_part") == 0)
             .select(F.col("src_date").alias("digest_date")).distinct())
-    day_rows = (arts.withColumns({"digest_date": F.to_date("date"), "part": F.lit(0)})
+    day_rows = (slotted.withColumns({"digest_date": F.to_date("date"), "part": F.lit(0)})
                 .join(broadcast_if_small(days), "digest_date", "left_semi"))
-    return arts.unionByName(day_rows)
+    return slotted.unionByName(day_rows)
 
 
-def headline_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors_of(slotted: DataFrame, embeddings: DataFrame) -> DataFrame:
     """(index, vec): one mean title vector per article."""
+    return vectors.headline_vectors(slotted, embeddings, keys=[])
+
+
+def stories_of(view_arts: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Cluster and label the given view articles: J6 -> A6 -> A2 -> W3."""
+    edges = vectors.similar_pairs(view_arts.select(*SLOT, "index").join(vecs, "index"))
+    return clusters.story_labels(clusters.cluster_articles(view_arts, edges))
+
+
+def slot_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views_of(fx.slotted_articles(spark, sf_dir))
+
+
+def view_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = fx.slotted_articles(spark, sf_dir)
-    return vectors.headline_vectors(arts, read_table(spark, sf_dir, "embeddings"), keys=[])
+    return view_articles_of(arts, views_of(arts))
+
+
+def headline_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_of(fx.slotted_articles(spark, sf_dir), read_table(spark, sf_dir, "embeddings"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +76,35 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_story_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arts = view_articles(spark, sf_dir)
-    clustered = clusters.cluster_articles(arts, pairs(spark, sf_dir))  # edges are written once inside
-    return clusters.story_labels(clustered)
+    return stories_of(view_articles(spark, sf_dir), headline_vectors(spark, sf_dir))
+
+
+def refresh_stories(old_stories: DataFrame, old_vecs: DataFrame, slotted_all: DataFrame,
+                    embeddings: DataFrame, late: DataFrame) -> DataFrame:
+    """T4: after late articles (``late``: their ``index``) landed in the
+    table, recompute only the story views they touch and keep the rest.
+
+    Touched views: views holding a late article; views holding an article
+    whose title vector changed (the vocabulary is derived from all titles);
+    views that are new in the slot -> view mapping (a late article can fill an
+    empty slot). Views no longer read by any slot are dropped. The result
+    equals a full rebuild over all articles."""
+    views = views_of(slotted_all)
+    view_arts = view_articles_of(slotted_all, views)
+    vecs = vectors_of(slotted_all, embeddings)
+    old_v = old_vecs.select("index", F.col("vec").alias("old_vec"))
+    changed = (vecs.join(old_v, "index", "left")
+               .where(F.col("old_vec").isNull() | (F.col("old_vec") != F.col("vec")))
+               .select("index"))
+    moved = changed.unionByName(late.select("index")).distinct()
+    needed = view_arts.select(*SLOT).distinct()
+    touched = (view_arts.join(moved, "index", "left_semi").select(*SLOT)
+               .unionByName(needed.join(old_stories.select(*SLOT).distinct(), SLOT, "left_anti"))
+               .distinct())
+    keep = (old_stories.join(needed, SLOT, "left_semi")
+            .join(touched, SLOT, "left_anti"))
+    fresh = stories_of(view_arts.join(touched, SLOT, "left_semi"), vecs)
+    return keep.unionByName(fresh.select(*keep.columns))
 
 
 def story_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
