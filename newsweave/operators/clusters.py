@@ -122,6 +122,33 @@ def complete_linkage(edges: DataFrame, keys: list[str] | None = None,
     return fold(assign, pending) if pending else assign
 
 
+def merge_dense(dist):
+    """Mutual-best complete-linkage rounds on a dense symmetric distance
+    matrix (``inf`` = not mergeable; modified in place). Returns, per row,
+    the row of its cluster (the lowest row of the cluster)."""
+    import numpy as np
+
+    n = dist.shape[0]
+    lab = np.arange(n)
+    rows = np.arange(n)
+    while n:
+        np.fill_diagonal(dist, np.inf)
+        best = np.argmin(dist, axis=1)
+        ok = np.isfinite(dist[rows, best])
+        mutual = ok & (best[best] == rows) & (rows < best)
+        keep, gone = rows[mutual], best[mutual]
+        if len(keep) == 0:
+            break
+        dist[keep] = np.maximum(dist[keep], dist[gone])
+        dist[:, keep] = np.maximum(dist[:, keep], dist[:, gone])
+        dist[gone] = np.inf
+        dist[:, gone] = np.inf
+        to = np.arange(n)
+        to[gone] = keep
+        lab = to[lab]
+    return lab
+
+
 def _local_linkage_fn(keys: list[str]):
     """Complete linkage of one bounded slot in numpy: the same mutual-best
     rounds as the distributed path on a dense cluster-distance matrix (missing
@@ -140,23 +167,7 @@ def _local_linkage_fn(keys: list[str]):
         dist = np.full((n, n), np.inf)
         dist[ia, ib] = pdf["d"].to_numpy()
         dist[ib, ia] = dist[ia, ib]
-        lab = np.arange(n)
-        rows = np.arange(n)
-        while True:
-            np.fill_diagonal(dist, np.inf)
-            best = np.argmin(dist, axis=1)
-            ok = np.isfinite(dist[rows, best])
-            mutual = ok & (best[best] == rows) & (rows < best)
-            keep, gone = rows[mutual], best[mutual]
-            if len(keep) == 0:
-                break
-            dist[keep] = np.maximum(dist[keep], dist[gone])
-            dist[:, keep] = np.maximum(dist[:, keep], dist[:, gone])
-            dist[gone] = np.inf
-            dist[:, gone] = np.inf
-            to = np.arange(n)
-            to[gone] = keep
-            lab = to[lab]
+        lab = merge_dense(dist)
         out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(n))
         out["index"] = ids
         out["cid"] = ids[lab]
@@ -207,3 +218,68 @@ def story_labels(clustered: DataFrame, keys: list[str] | None = None) -> DataFra
     clusters = clustered.select(*keys, "cid", "size").distinct()
     labels = distributed_row_number(clusters, keys, [F.desc("size"), F.asc("cid")], "label")
     return clustered.join(labels.select(*keys, "cid", "label"), [*keys, "cid"])
+
+
+def _view_stories_fn(keys: list[str], threshold: float):
+    """One bounded view in one task: distances of all its articles (one Gram
+    matrix, rounded like ``similar_pairs``), complete linkage, sizes and the
+    W3 labels. Articles without a vector stay singletons."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("index", kind="stable")
+        idx = pdf["index"].to_numpy()
+        cid = idx.copy()
+        vecs = pdf["vec"].to_numpy()
+        has = np.array([v is not None for v in vecs], dtype=bool)
+        if has.any():
+            mat = np.vstack([np.asarray(v, dtype="float64") for v in vecs[has]])
+            norm = np.sqrt((mat * mat).sum(axis=1))
+            ok = norm > 0
+            pos = np.flatnonzero(has)[ok]
+            u = mat[ok] / norm[ok][:, None]
+            d = np.round(1.0 - u @ u.T, 6)
+            dist = np.where(d < threshold, d, np.inf)
+            cid[pos] = idx[pos][merge_dense(dist)]
+        uniq, inverse, counts = np.unique(cid, return_inverse=True, return_counts=True)
+        order = np.lexsort((uniq, -counts))          # size desc, then smallest id
+        label = np.empty(len(uniq), dtype="int64")
+        label[order] = np.arange(1, len(uniq) + 1)
+        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(len(idx)))
+        out["index"] = idx
+        out["cid"] = cid
+        out["size"] = counts[inverse].astype("int64")
+        out["label"] = label[inverse]
+        return out
+
+    return run
+
+
+def view_stories(members: DataFrame, vecs: DataFrame, keys: list[str] | None = None,
+                 threshold: float = 0.3, local_max: int = LOCAL_MAX_NODES) -> DataFrame:
+    """(keys..., index, cid, size, label) for every member of every view.
+
+    Views of at most ``local_max`` articles (counted per view; one row per
+    view) are done in one task each: pairs, complete linkage, sizes and labels
+    together. Larger views use the distributed path: blocked pair join,
+    merge rounds, distributed numbering. Both give the same result."""
+    from .vectors import similar_pairs
+
+    keys = keys if keys is not None else SLOT
+    members = members.select(*keys, "index")
+    counts = members.groupBy(*keys).agg(F.count("*").alias("_n"))
+    biggest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0  # one scalar
+    small_views = counts.where(F.col("_n") <= local_max).select(*keys)
+    small = (members.join(broadcast_if_small(small_views), keys, "left_semi")
+             .join(vecs.select("index", "vec"), "index", "left"))
+    schema = T.StructType([*[members.schema[k] for k in keys],
+                           T.StructField("index", T.LongType()), T.StructField("cid", T.LongType()),
+                           T.StructField("size", T.LongType()), T.StructField("label", T.LongType())])
+    fused = small.groupBy(*keys).applyInPandas(_view_stories_fn(keys, threshold), schema)
+    if biggest <= local_max:
+        return fused
+    large = members.join(counts.where(F.col("_n") > local_max).select(*keys), keys, "left_semi")
+    edges = similar_pairs(large.join(vecs, "index"), threshold, keys=keys)
+    big = story_labels(cluster_articles(large, edges, keys, local_max=0), keys)
+    return fused.unionByName(big.select(*keys, "index", "cid", "size", "label"))

@@ -51,9 +51,10 @@ def vectors_of(slotted: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def stories_of(view_arts: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Cluster and label the given view articles: J6 -> A6 -> A2 -> W3."""
-    edges = vectors.similar_pairs(view_arts.select(*SLOT, "index").join(vecs, "index"))
-    return clusters.story_labels(clusters.cluster_articles(view_arts, edges))
+    """Cluster and label the given view articles: J6 -> A6 -> A2 -> W3
+    (bounded views in one task each, larger ones fully distributed)."""
+    labelled = clusters.view_stories(view_arts.select(*SLOT, "index"), vecs)
+    return view_arts.join(labelled, [*SLOT, "index"])
 
 
 def slot_views(spark: SparkSession, sf_dir: str) -> DataFrame:

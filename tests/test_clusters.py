@@ -150,3 +150,28 @@ def test_invariants_on_fixture(spark):
         assert a == b
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_fused_views_equal_distributed_path(spark):
+    groups = {}
+    for seed in range(8, 11):
+        for k, v in random_groups(seed, 2, 45).items():   # ids unique across seeds, as in the pipeline
+            groups[(k[0][:-2] + f"{seed * 2 + int(k[0][-2:]):02d}", k[1])] = {
+                seed * 10_000 + i: x for i, x in v.items()}
+    rows = [(k[0], k[1], i) for k, g in groups.items() for i in g]
+    rows.append(("2024-01-30", 1, 99_999))                     # article without a vector
+    members = spark.createDataFrame(rows, "digest_date string, part int, index long")
+    vec_rows = [(i, [float(x) for x in v]) for g in groups.values() for i, v in g.items()]
+    vec_rows.append((99_998, [0.0] * 6))
+    vecs = spark.createDataFrame(vec_rows, "index long, vec array<double>")
+    cols = [*KEYS, "index", "cid", "size", "label"]
+    fused = sorted(tuple(r) for r in clusters.view_stories(members, vecs, local_max=10_000).select(*cols).collect())
+    dist = sorted(tuple(r) for r in clusters.view_stories(members, vecs, local_max=0).select(*cols).collect())
+    assert fused == dist
+    assert ("2024-01-30", 1, 99_999, 99_999, 1, 1) in fused
+    for k, pts in list(groups.items())[:2]:
+        got = {}
+        for r in fused:
+            if (r[0], r[1]) == k:
+                got.setdefault(r[3], set()).add(r[2])
+        assert {frozenset(s) for s in got.values()} == brute_force(pts, 0.3)
