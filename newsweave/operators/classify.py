@@ -31,13 +31,21 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(t), WORD_SPLIT), lambda w: w != "")
 
 
+def raw_words(text: Column | str) -> Column:
+    """Lower-cased letter runs, possibly with '' at the ends; explode this
+    and filter the rows (stays in generated code, unlike a lambda filter)."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.split(F.lower(t), WORD_SPLIT)
+
+
 def _class_of(quality: Column) -> Column:
     return F.when(quality == 1, F.lit(NEWS)).otherwise(F.lit(NOT_NEWS))
 
 
 def doc_words(docs: DataFrame) -> DataFrame:
     """(doc_id, word, cnt): word counts per document (map-side combined)."""
-    return (docs.select("doc_id", F.explode(words("text")).alias("word"))
+    return (docs.select("doc_id", F.explode(raw_words("text")).alias("word"))
+            .where(F.col("word") != "")
             .groupBy("doc_id", "word").agg(F.count("*").alias("cnt")))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classify import words
+from .classify import raw_words
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 
@@ -27,7 +27,8 @@ def sentence_scores(docs: DataFrame) -> DataFrame:
                          .alias("sid", "raw"))
              .select("doc_id", "sid", F.trim("raw").alias("sentence"))
              .where(F.col("sentence") != ""))
-    sw = sents.select("doc_id", "sid", F.explode(words("sentence")).alias("word"))
+    sw = (sents.select("doc_id", "sid", F.explode(raw_words("sentence")).alias("word"))
+          .where(F.col("word") != ""))
     tf = sw.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
     return (sw.join(tf, ["doc_id", "word"])
             .groupBy("doc_id", "sid")
