@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, checkpoint
+from ..session import broadcast_if_small
 
 NEWS, NOT_NEWS = "news", "not_news"
 CLASSES = [NOT_NEWS, NEWS]
@@ -42,16 +42,9 @@ def _class_of(quality: Column) -> Column:
     return F.when(quality == 1, F.lit(NEWS)).otherwise(F.lit(NOT_NEWS))
 
 
-def doc_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, cnt): word counts per document (map-side combined)."""
-    return (docs.select("doc_id", F.explode(raw_words("text")).alias("word"))
-            .where(F.col("word") != "")
-            .groupBy("doc_id", "word").agg(F.count("*").alias("cnt")))
-
-
 def train_nb(dw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From per-document word counts and labels: (model: word, class, logp)
-    and (priors: class, logprior)."""
+    """From word counts ``(doc_id, word, cnt)`` and labels: (model: word,
+    class, logp) and (priors: class, logprior)."""
     lab = labels.select("doc_id", _class_of(F.col("quality")).alias("class"))
     priors = (lab.groupBy("class").agg(F.count("*").alias("n"))
               .select("class", F.log(F.col("n") / F.sum("n").over(_all())).alias("logprior")))
@@ -74,20 +67,30 @@ def _all():
 
 def classify_nb(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, category) for every document: argmax of log prior + sum of
-    word log likelihoods (unknown words ignored)."""
-    # per-document word counts feed the vocabulary, training and scoring:
-    # written once to the shared folder instead of being recomputed
-    dw = checkpoint(doc_words(docs), "doc_words")
-    # labels of documents that exist (the labelled table may hold others)
+    word log likelihoods (unknown words ignored).
+
+    Scoring sums the model's log likelihood over the document's tokens: the
+    per-document aggregate combines map-side to one row per document, so no
+    (document, word) table is built or shuffled."""
+    tokens = (docs.select("doc_id", F.explode(raw_words("text")).alias("word"))
+              .where(F.col("word") != ""))
+    dw = tokens.withColumn("cnt", F.lit(1).cast("long"))
     model, priors = train_nb(dw, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
-    ll = (dw.join(broadcast_if_small(model), "word")
-          .groupBy("doc_id", "class").agg(F.sum(F.col("cnt") * F.col("logp")).alias("ll")))
-    base = docs.select("doc_id", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))
-    scored = (base.join(F.broadcast(priors), "class")
-              .join(ll, ["doc_id", "class"], "left")
-              .withColumn("score", F.col("logprior") + F.coalesce("ll", F.lit(0.0))))
-    return (scored.groupBy("doc_id")
-            .agg(F.max_by("class", F.struct("score", "class")).alias("category")))
+    # the model's few scalars: one log prior per class (classes without
+    # training documents get no score, as before)
+    logprior = {r["class"]: r["logprior"] for r in priors.collect()}
+    classes = [c for c in CLASSES if c in logprior]
+    # one row per word with one log likelihood column per class: half the join
+    # rows, and one aggregation per document gives every class score
+    wide = model.groupBy("word").pivot("class", classes).agg(F.first("logp"))
+    ll = (tokens.join(broadcast_if_small(wide), "word")
+          .groupBy("doc_id")
+          .agg(*[F.sum(F.col(c)).alias(f"_ll_{c}") for c in classes]))
+    scored = docs.select("doc_id").join(ll, "doc_id", "left")
+    options = [F.struct((F.lit(logprior[c]) + F.coalesce(F.col(f"_ll_{c}"), F.lit(0.0))).alias("score"),
+                        F.lit(c).alias("class")) for c in classes]
+    best = F.greatest(*options) if len(options) > 1 else options[0]   # ties: larger class name
+    return scored.select("doc_id", best["class"].alias("category"))
 
 
 def drop_not_news(df: DataFrame) -> DataFrame:
