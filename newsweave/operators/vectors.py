@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_word, tokenise
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 
 SLOT = ["digest_date", "part"]
 UNK_VEC_ID = 0
@@ -168,7 +168,9 @@ def headline_vectors(articles: DataFrame, embeddings: DataFrame,
                      keys: list[str] | None = None) -> DataFrame:
     """Titles -> tokens -> vocabulary -> vectors -> mean: (keys..., index, vec)."""
     keys = keys if keys is not None else SLOT
-    toks = title_tokens(articles, keys)
+    # tokens feed both the vocabulary and the lookup: written once (one row
+    # per title token) instead of scanning and tokenising the texts twice
+    toks = checkpoint(title_tokens(articles, keys), "tokens")
     n_vec = embeddings.count()
     vocab = vocabulary(toks, n_vec)
     tv = token_vectors(toks, vocab, embeddings)
