@@ -14,6 +14,10 @@ again, so its edges are dropped. Each round is a handful of shuffles over the
 shared checkpoint folder, so lineage stays short, statistics stay real and a
 lost executor costs at most one round. The driver only reads one row count
 per round.
+
+``view_stories`` is the entry point: a view (slot) of bounded size is done in
+one task (same rounding, same merge rule and tie order on a dense matrix,
+sizes and labels included); only larger views take the distributed rounds.
 """
 
 from __future__ import annotations
