@@ -79,8 +79,9 @@ def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (no job is run)."""
     try:
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        # join estimates can be astronomically large; compare the bit length
-        # in the JVM instead of converting the number
+        if isinstance(size, int):  # py4j already converted the number
+            return min(size, 1 << 62)
+        # still a JVM number: compare its bit length there
         if size.bitLength() > 62:
             return 1 << 62
         return int(size.longValue())
