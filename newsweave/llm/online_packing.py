@@ -10,7 +10,7 @@ gap and the remainder is placed anew. So a window emitted online is padded by
 input is.
 
 Windows still open at the end of a task are leftovers. They are written with
-their ids, and merged in groups of 64 tasks: each group's leftovers go through
+their ids, and merged in groups of MERGE_FAN tasks: each group's leftovers go through
 the same packing, fullest first, and only its last windows are padded.
 
 A sequence whose length is a power of two is not padded (``padded`` says to
@@ -38,7 +38,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 128
 MAX_GAP = 16
 #: Tasks whose leftovers are merged together.
-MERGE_FAN = 64
+MERGE_FAN = 8
 _MERGED = 1 << 62
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "

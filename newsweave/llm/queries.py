@@ -21,6 +21,65 @@ def op2_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spark, load(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)[1]
 
 
+def op3_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes; equal texts stay
+    together."""
+    from .lpt_shards import assign
+
+    return assign(load(spark, sf_dir, "documents"), 16)
+
+
+def op4_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source weights 5, 2, 1 to 150 % of all words."""
+    from .hash_mix import mix
+
+    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op5_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    from .centroid_langid import fit, held_out, predict
+
+    docs = load(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out())
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of equal text that stays."""
+    from .stream_dedup import deduplicate
+
+    return deduplicate(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("place")
+
+
+def op7_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id of its component of similar texts."""
+    from .trie_join import similar
+
+    return similar(load(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+#: The explicit rules of op8: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    from .url_rules import judge
+
+    return judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, line frequency and the verdict on every document."""
+    from .line_rules import judge
+
+    return judge(load(spark, sf_dir, "documents"))
+
+
 def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in sequences of at most 2048."""
     from .online_packing import pack
@@ -28,5 +87,8 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_rans_output, op10_online_packing)}
+QUERIES = {f.__name__: f for f in (
+    op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
+    op8_url_rules,
+    op9_line_rules, op10_online_packing)}
 ORACLE_SQL: dict[str, str] = {}
