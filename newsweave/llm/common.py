@@ -8,8 +8,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint, shared_path
 
@@ -41,16 +40,6 @@ def n_tasks(spark: SparkSession, n_bytes: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / TASK_BYTES), 1)
 
 
-def with_columns_hidden(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
-    """Columns of ``df`` by name, exact match first (tables may carry extra
-    columns whose names differ only in case)."""
-    return {n: df[f"`{n}`"] for n in names}
-
-
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def worker_cache(key: tuple, make: Callable):
     """One object per key and Python worker, shared by all tasks that the
     worker runs. The package travels by value, so its own globals are new in
@@ -204,6 +193,38 @@ def crc32_shift(crc: int, n_bytes: int, ops: list[list[int]]) -> int:
     return crc
 
 
+# ------------------------------------------------------- vectors of tasks
+
+PIECE = 1 << 15
+
+
+def to_pieces(vector):
+    """A task's vector of doubles as rows (piece, data)."""
+    import pyarrow as pa
+
+    cuts = range(0, len(vector), PIECE)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(len(cuts)), pa.int32()),
+         pa.array([vector[i:i + PIECE].astype("<f8").tobytes() for i in cuts], pa.binary())], ["piece", "data"])
+
+
+def sum_pieces(pieces: DataFrame, size: int):
+    """The sum of all tasks' vectors: each piece is summed in a task of its
+    own, the driver gets one vector of ``size`` doubles."""
+    import numpy as np
+
+    def add(key, table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x, "<f8") for x in table["data"].to_pylist())
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(size)
+    for r in pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect():
+        out[r["piece"] * PIECE:(r["piece"] + 1) * PIECE] = np.frombuffer(r["data"], "<f8")
+    return out
+
+
 def batches_of(iterator: Iterator, n_bytes: int = 32 << 20) -> Iterator:
     """Arrow batches cut so that none holds many more bytes than ``n_bytes``
     (but at least one row)."""
@@ -218,6 +239,6 @@ def batches_of(iterator: Iterator, n_bytes: int = 32 << 20) -> Iterator:
 
 __all__ = [
     "SPACES", "SPACE_RUN_RE", "WORD_RE", "WordTokenizer", "batches_of", "checkpoint", "crc32_shift",
-    "crc32_zero_operators", "load", "n_tasks", "shared_path", "text_or_empty", "with_columns_hidden",
+    "crc32_zero_operators", "load", "n_tasks", "shared_path", "sum_pieces", "to_pieces",
     "word_tokenizer", "worker_cache", "written",
 ]

@@ -14,6 +14,13 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 likelihood by a hidden Markov model."""
+    from .hmm_lm import score_corpus
+
+    return score_corpus(load(spark, sf_dir, "documents"))
+
+
 def op2_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document written as rANS files and read back."""
     from .rans_output import encode_corpus
@@ -88,7 +95,7 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
+    op1_hmm_lm, op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
     op8_url_rules,
     op9_line_rules, op10_online_packing)}
 ORACLE_SQL: dict[str, str] = {}

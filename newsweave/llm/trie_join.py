@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import batches_of, written
+from .common import batches_of, sum_pieces, to_pieces, written
 from .components import components
 from .words import Words, shingles
 
@@ -108,42 +108,16 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
 def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
     """How many shingles of the corpus fall in each hash bucket: partial
     counts of each task, summed in pieces; the table has a fixed size."""
-    piece = 4096
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+        total = np.zeros(1 << ORDER_BITS)
         for batch in batches_of(batches, _CHUNK):
             s = shingles(Words(batch.column(0)), n)[0]
             total += np.bincount((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
         if total.any():
-            k = len(total) // piece
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(k), pa.int32()),
-                 pa.array([total[i * piece:(i + 1) * piece].astype("<u4" if total.max() < 1 << 32 else "<u8").tobytes()
-                           for i in range(k)], pa.binary())], ["piece", "counts"])
-
-    def add(key, tables):
-        import pyarrow as pa
-
-        total = np.zeros(piece, np.uint64)
-        for t in tables:
-            for x in t["counts"].to_pylist():
-                total += np.frombuffer(x, "<u4" if len(x) == 4 * piece else "<u8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
-                                          pa.array([total.astype("<u8").tobytes()], pa.binary())], ["piece", "counts"])
-
-    def add_table(key, table):
-        import pyarrow as pa
-
-        return pa.Table.from_batches(list(add(key, [table])))
+            yield to_pieces(total)
 
-    out = np.zeros(1 << ORDER_BITS, np.int64)
-    for r in docs.select(F.col("text")).mapInArrow(run, "piece int, counts binary").groupBy("piece") \
-            .applyInArrow(add_table, "piece int, counts binary").collect():
-        out[r["piece"] * piece:(r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<u8")
-    return out
+    return sum_pieces(docs.select("text").mapInArrow(run, "piece int, data binary"), 1 << ORDER_BITS)
 
 
 def order_levels(counts: np.ndarray) -> np.ndarray:
