@@ -63,7 +63,9 @@ def update_state(spark: SparkSession, path: str, state: str, id_col: str = "doc_
         .groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     conf = {"spark.sql.streaming.stateStore.providerClass": _ROCKS,
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+            # no disk set aside in advance: there are as many stores as shuffle partitions
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
