@@ -20,7 +20,8 @@ k holds smaller ``doc_id`` than file k + 1, and blocks ascend inside a file.
 
 Nulls: null text counts as empty, so its stream is the end id alone; a null
 ``doc_id`` sorts first and is returned as null. Repeated ``doc_id``: every row
-has its own place in the stream; rows tie-break by their ids' bytes. Empty
+has its own place in the stream; ties go by a hash of
+their ids. Empty
 table: no blocks, no rows. Other columns are ignored.
 """
 
@@ -82,7 +83,6 @@ class Tables:
         self.bits = bits
         self.freq = freq.astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-        self.limit = self.freq << np.uint64(63 - bits)
         symbol = np.repeat(np.arange(len(freq)), freq)
         self.symbol = symbol.astype(np.uint32)
         self.slot_freq = freq[symbol].astype(np.uint32)
@@ -90,7 +90,7 @@ class Tables:
         self.fill = int(np.argmax(freq)) if len(freq) else 0
 
 
-_32, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+_5, _32 = np.uint64(5), np.uint64(32)
 
 
 def encode_blocks(ids: list[np.ndarray], t: Tables) -> list[bytes]:
@@ -107,13 +107,13 @@ def encode_blocks(ids: list[np.ndarray], t: Tables) -> list[bytes]:
     words = np.empty((steps, g, LANES), np.uint32)
     spilt = np.empty((steps, g, LANES), bool)
     points = np.empty((-(-steps // per), g, LANES), np.uint64)
-    shift = np.uint64(t.bits)
+    shift, room = np.uint64(t.bits), np.uint64(63 - t.bits)
     for k in range(steps - 1, -1, -1):
         s = sym[k]
         f = t.freq[s]
-        full = state >= t.limit[s]
+        full = state >= f << room
         spilt[k], words[k] = full, state  # the low word
-        state = np.where(full, state >> _32, state)
+        state = state >> (full.astype(np.uint64) << _5)
         high = state // f
         state = (high << shift) + (state - high * f) + t.cum[s]
         if k % per == 0:
@@ -152,7 +152,7 @@ def decode_blocks(payloads: list[bytes], t: Tables) -> list[np.ndarray]:
         base += n_words
         sizes.append(n)
         sums.append(crc)
-    words = np.concatenate([*parts, np.zeros(LANES, np.uint32)]).astype(np.uint64)
+    words = np.concatenate([np.zeros(1, np.uint32), *parts]).astype(np.uint64)  # word k is at k + 1
     state, at = np.concatenate(states).astype(np.uint64), np.concatenate(starts)
     left = np.concatenate([np.minimum(SEGMENT, n - SEGMENT * np.arange(-(-n // SEGMENT))) for n in sizes])
     steps = -(-left // LANES)
@@ -172,8 +172,7 @@ def decode_blocks(payloads: list[bytes], t: Tables) -> list[np.ndarray]:
         x = t.slot_freq[slot] * (x >> shift) + t.slot_off[slot]
         need = x < low
         upto = np.cumsum(need, axis=1)
-        x[need] = (x[need] << _32) | words[(at[:n, None] + upto - 1)[need]]
-        state[:n] = x
+        state[:n] = np.where(need, (x << _32) | words[at[:n, None] + upto], x)
         at[:n] += upto[:, -1]
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
@@ -217,12 +216,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches_of(batches):
-            for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), np.uint16), minlength=1 << 16) \
-                    if len(x.as_buffer()) > 1 << 17 else 0
-            small = [x.as_buffer() for x in batch.column(0) if len(x.as_buffer()) <= 1 << 17]
-            if small:
-                counts += np.bincount(np.frombuffer(b"".join(small), np.uint16), minlength=1 << 16)
+            ids = b"".join(batch.column(0).to_pylist())
+            counts += np.bincount(np.frombuffer(ids, np.uint16), minlength=1 << 16)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["id", "n"])
 
@@ -230,7 +225,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 
 
 def write_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
-                id_col: str = "doc_id", text_col: str = "text", group: int = 24) -> None:
+                id_col: str = "doc_id", text_col: str = "text", group: int = 64) -> None:
     """Write ``path``/blocks and ``path``/frequencies. Two passes: tokenize and
     count, then range-partition the ids by document and code them. The counts
     that reach the driver are one row per id of the vocabulary (65,536 at
@@ -296,7 +291,8 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
             yield flush()
 
     parts = n_tasks(spark, estimated_bytes(tokens))
-    tokens.repartitionByRange(parts, F.col("doc_id"), F.col("ids")).sortWithinPartitions("doc_id", "ids") \
+    tie = F.xxhash64("ids")  # not the ids: a range partitioning samples its keys to the driver
+    tokens.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("ids")) \
         .select("doc_id", "ids").mapInArrow(run, BLOCKS) \
         .write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -322,7 +318,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
         t = worker_cache(("rans", key), lambda: Tables(np.frombuffer(packed, "<u4").astype(np.int64)))
         ops = worker_cache(("crc32",), crc32_zero_operators)
-        for batch in batches_of(batches, 4 << 20):
+        for batch in batches_of(batches, 8 << 20):
             blocks = decode_blocks(batch.column("payload").to_pylist(), t)
             rows: list[tuple] = []
             for part, first, index, ids in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(),
