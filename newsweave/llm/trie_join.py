@@ -6,16 +6,18 @@ whole corpus are one small table), the rest by hash. Equal sets are one class,
 so exact copies cost nothing further.
 
 Candidates: two sets of Jaccard t or more share one of their first
-``n - ceil(t * n) + 1`` keys. Classes meet on these keys by equi-joins; keys
-of a single class drop out first. Of every key, the first class is a centre
-and meets the others; pairs that lengths or places rule out are not formed.
-
-Verification is the tree join: the sets that meet one centre are stored in a
-path-compressed prefix tree, and the centre's set walks it once. Sets with a
-common beginning share the overlap counted so far, and a subtree is left as
-soon as that overlap plus what its longest set or the centre's rest could add
-misses the bound for its shortest set. A centre with many partners is dealt
-into blocks of ``BLOCK`` sets.
+``n - ceil(t * n) + 1`` keys (their prefix). Classes meet on these keys by
+equi-joins; keys of a single class drop out first. Of every key, the first
+class is a centre and meets the others.
+
+The tree join: the sets that meet one centre are stored in a path-compressed
+prefix tree, and the centre's set walks it once. Sets with a common beginning
+share the overlap counted so far, and a subtree is left as soon as that
+overlap plus what its longest set or the centre's rest could add misses the
+bound for its shortest set. It runs twice: over the prefixes, where a set's
+remaining length counts as if all of it could match, and over the whole sets
+of the few pairs that this leaves. A centre with many partners is dealt into
+blocks of ``BLOCK`` sets.
 
 After the linked classes are joined into components, a second round forms the
 pairs of classes that share a key, lie in different components, and have not
@@ -67,11 +69,16 @@ def linked(overlap: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 # ------------------------------------------------------------- prefix tree
 
-def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which of ``sets`` (each ascending) link with ``probe``."""
+def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, n: int | None = None,
+              sizes: list[int] | None = None) -> list[int]:
+    """Which of ``sets`` (each ascending) link with ``probe``. If ``n`` and
+    ``sizes`` say that the arrays are only the beginnings of larger sets:
+    which can link, whatever follows."""
+    n = len(probe) if n is None else n
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     rows = [sets[i] for i in order]
     size = np.array([len(r) for r in rows])
+    full = size if sizes is None else np.array([sizes[i] for i in order])
     # Common beginning of each set with the one before it: with the sorted
     # order this is the tree; a node is a run of sets.
     common = np.zeros(len(rows), np.int64)
@@ -79,24 +86,25 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
         m = min(size[i - 1], size[i])
         diff = np.flatnonzero(rows[i - 1][:m] != rows[i][:m])
         common[i] = diff[0] if len(diff) else m
-    found, stack, n = [], [(0, len(rows), 0, 0)], len(probe)
+    found, stack = [], [(0, len(rows), 0, 0)]
     while stack:
         lo, hi, depth, overlap = stack.pop()
         end = int(size[lo]) if hi - lo == 1 else int(common[lo + 1:hi].min())
-        rest = n
         if end > depth:
             edge = rows[lo][depth:end]
             at = np.searchsorted(probe, edge)
-            inside = at < n
+            inside = at < len(probe)
             overlap += int(np.count_nonzero(probe[at[inside]] == edge[inside]))
-        if end:
-            rest = n - int(np.searchsorted(probe, rows[lo][end - 1], "right"))
+        passed = int(np.searchsorted(probe, rows[lo][end - 1], "right")) if end else 0
         if hi - lo == 1:
-            if linked(overlap, n, int(size[lo]), percent):
+            # keys of the set above the probe's last one have no partner yet
+            seen = int(np.searchsorted(rows[lo], probe[-1], "right"))
+            if overlap + min(n - passed, int(full[lo]) - seen) >= needed(n, int(full[lo]), percent):
                 found.append(order[lo])
             continue
-        longest, shortest = int(size[lo:hi].max()), int(size[lo:hi].min())
-        if overlap + min(rest, longest - end) < needed(n, shortest, percent):
+        longest, shortest = int(full[lo:hi].max()), int(full[lo:hi].min())
+        if overlap + min(n - passed, longest - min(end, int(np.searchsorted(rows[lo][:end], probe[-1], "right")))) \
+                < needed(n, shortest, percent):
             continue
         cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1:hi] == end)).tolist(), hi]
         stack += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -162,54 +170,44 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
                  pa.array([k[:prefix_length(len(k), percent)].tobytes() if len(k) else None for k in rows],
                           pa.binary())], ["doc_id", "n", "sig", "prefix"])
 
-    each = written(docs.mapInArrow(sets, "doc_id long, n long, sig binary, prefix binary"), "sets")
-    classes = written(
-        each.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
-                                               F.first("prefix").alias("prefix"))
-        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    each = written(docs.mapInArrow(sets, "doc_id long, n long, sig binary, prefix binary")
+                   .withColumn("row", F.monotonically_increasing_id()), "sets")
+    classes = written(each.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"),
+                                                             F.min("row").alias("node")), "classes", "snappy")
+    beginnings = each.join(broadcast_if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi") \
+        .select(F.col("row").alias("node"), "n", F.col("prefix").alias("keys"))
 
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, _CHUNK):
-            got = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            size = [len(x) for x in got]
+            got = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(got))), pa.array(np.repeat(batch.column(0).to_numpy(), size)),
-                 pa.array(np.repeat(batch.column(1).to_numpy(), size).astype(np.int32)),
-                 pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))],
-                ["key", "node", "n", "place"])
-
-    every = classes.select("node", "n", "prefix").mapInArrow(keys, "key long, node long, n int, place int")
-    shared = every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("centre"),
-                                      F.min_by(F.struct("n", "place"), "node").alias("c")).where("of > 1")
-    met = written(every.join(shared.select("key", "centre", "c"), "key"), "keys")
-
-    def possible(n1: str, p1: str, n2: str, p2: str) -> str:
-        return (f"least({n1}, {n2}) * 100 >= greatest({n1}, {n2}) * {percent} and "
-                f"(1 + least({n1} - {p1}, {n2} - {p2}) - 1) * {100 + percent} >= ({n1} + {n2}) * {percent}")
-
-    first = met.where("node > centre").where(possible("n", "place", "c.n", "c.place")) \
-        .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = written(first, "pairs", "snappy")
-    tried = _verify(docs, classes, first, levels, n, percent)
-    roots = written(components(tried.where("linked")), "roots", "snappy")
+                [pa.array(_signed(np.concatenate(got))),
+                 pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in got]))], ["key", "node"])
+
+    every = beginnings.select("node", "keys").mapInArrow(keys, "key long, node long")
+    shared = every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("centre")).where("of > 1")
+    met = written(every.join(shared.select("key", "centre"), "key"), "keys")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        maybe = written(_walk(beginnings, pairs, percent).where("linked"), "maybe", "snappy")
+        return written(_walk(_full_sets(docs, classes, maybe, levels, n), maybe, percent).where("linked")
+                       .select("a", "b"), "verified", "snappy")
+
+    first = written(met.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
+                    "pairs", "snappy")
+    links = verified(first)
+    roots = written(components(links), "roots", "snappy")
     # Classes of one key that are in different components and have not met.
-    known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    left = written(known.join(mixed_keys.select("key"), "key", "left_semi")
-                   .select("key", "node", "n", "place", "root"), "open", "snappy")
-    x = left.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "root")])
-    y = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "root")])
-    pairs = x.join(y, "key").where("node1 < node2 and root1 <> root2").where(possible("n1", "place1", "n2", "place2")) \
-        .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct() \
-        .join(first, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs", "snappy")
-    more = _verify(docs, classes, pairs, levels, n, percent)
-    links = tried.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
-    roots = components(links)
-    named = classes.select("sig", "class_id", "node").join(roots, "node", "left") \
-        .withColumn("root", F.coalesce("root", "node"))
+    known = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    left = written(known.join(apart.select("key"), "key", "left_semi"), "open", "snappy")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "root")]) for i in (1, 2))
+    rest = x.join(y, "key").where("node1 < node2 and root1 <> root2") \
+        .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(written(rest, "pairs", "snappy")))
+    named = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = written(named.join(least, "root").select("sig", "class_id", "component_id"), "named", "snappy")
     return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(
@@ -218,60 +216,67 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int,
-            percent: int) -> DataFrame:
-    """a, b, linked of every pair, by tree joins of each centre with its
-    partners."""
+def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
+    """node, n, keys: the whole sets of the classes in ``pairs``, made again
+    from their texts."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(classes.select("node", "sig", "class_id").join(nodes, "node"), "wanted", "snappy")
+    wanted = written(classes.join(nodes, "node").select("node", "sig", "class_id"), "wanted", "snappy")
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        done = set()  # repeated rows: once for each task
         for batch in batches_of(batches, _CHUNK):
-            rows = ordered_sets(batch.column(2), levels, n)
-            keep = [i for i, (k, s) in enumerate(zip(rows, batch.column(1).to_pylist(), strict=True))
-                    if signature(k) == s]
+            rows, nodes = ordered_sets(batch.column(2), levels, n), batch.column(0).to_pylist()
+            keep = []
+            for i, (k, s) in enumerate(zip(rows, batch.column(1).to_pylist(), strict=True)):
+                if nodes[i] not in done and signature(k) == s:
+                    done.add(nodes[i])
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())),
-                 pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["node", "keys"])
-
-    # Only the texts of classes that met are made into sets again.
-    full = docs.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("class_id"))) \
-        .select("node", "sig", "text").mapInArrow(sets, "node long, keys binary")
-    full = written(full.dropDuplicates(["node"]), "full", "none")
-    # Blocks of partners: a centre's own set goes to each of its blocks.
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(rows[i]) for i in keep], pa.int64()),
+                 pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["node", "n", "keys"])
+
+    return docs.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("class_id"))) \
+        .select("node", "sig", "text").mapInArrow(sets, "node long, n long, keys binary")
+
+
+def _walk(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked of every pair: each centre's set walks the trees of its
+    partners' sets. ``sets`` has (node, n, keys), whole or their beginnings."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
-    partners = dealt.join(full, F.col("b") == F.col("node")).select("a", "block", "b", "keys")
-    centres = blocks.join(full, F.col("a") == F.col("node")) \
-        .select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                F.lit(-1).cast("long").alias("b"), "keys")
+    # What a node does: it is the centre of some blocks (b = -1), and a partner in others.
+    partner = pairs.join(blocks, "a").select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), "b")
+    centre = blocks.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+                           .alias("block"), F.lit(-1).cast("long").alias("b"))
+    roles = written(centre.unionByName(partner), "roles", "snappy")
 
     def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        centre, probe, held = None, None, []
+        group, probe, held = None, None, []
 
         def walk() -> pa.RecordBatch:
             ids = [h[0] for h in held]
             hit = np.zeros(len(ids), bool)
-            hit[tree_join(probe, [h[1] for h in held], percent)] = True
-            return pa.RecordBatch.from_arrays([pa.array([centre[0]] * len(ids), pa.int64()),
+            hit[tree_join(probe[1], [h[2] for h in held], percent, probe[0], [h[1] for h in held])] = True
+            return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(ids), pa.int64()),
                                                pa.array(ids, pa.int64()), pa.array(hit)], ["a", "b", "linked"])
 
         for batch in batches:
-            for a, block, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (a, block) != centre:
+            for a, block, b, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, block) != group:
                     if held:
                         yield walk()
-                    centre, held = (a, block), []
+                    group, held = (a, block), []
                 if b < 0:
-                    probe = np.frombuffer(raw, "<u8")
-                else:
-                    held.append((b, np.frombuffer(raw, "<u8")))
+                    probe = (n, np.frombuffer(raw, "<u8"))
+                elif not held or held[-1][0] != b:
+                    held.append((b, n, np.frombuffer(raw, "<u8")))
         if held:
             yield walk()
 
-    both = centres.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", "b")
-    return written(both.mapInArrow(join, "a long, b long, linked boolean"), "verified", "snappy")
+    return sets.join(broadcast_if_small(roles), "node").select("a", "block", "b", "n", "keys") \
+        .repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(
+        join, "a long, b long, linked boolean")

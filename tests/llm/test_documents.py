@@ -257,6 +257,12 @@ def test_tree_join():
         sets += [probe, sets[0]]
         want = [i for i, s in enumerate(sets) if trie_join.linked(len(np.intersect1d(s, probe)), len(s), len(probe), 60)]
         assert sorted(trie_join.tree_join(probe, sets, 60)) == want
+        cut = lambda x: x[:trie_join.prefix_length(len(x), 60)]
+        maybe = trie_join.tree_join(cut(probe), [cut(s) for s in sets], 60, len(probe), [len(s) for s in sets])
+        assert set(want) <= set(maybe)
+        cut = lambda x: x[:max(1, len(x) // 2)]
+        assert set(want) <= set(trie_join.tree_join(cut(probe), [cut(s) for s in sets], 60, len(probe),
+                                                    [len(s) for s in sets]))
 
 
 def test_components(spark):
