@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import lead_of, title_of
 from .functions.time import digest_date, epoch_seconds, slot_bounds, slot_part
-from .session import read_table
+from .session import materialised, read_table
 
 # --- fixed values -----------------------------------------------------------
 # Category dimension: (ordinal, category, title, emoji).
@@ -29,8 +28,9 @@ DEFAULT_NEWS_AMOUNT = 3
 DEFAULT_MASK = 0b11101
 # Letters used to build settings requests.
 REQUEST_LETTERS = "cepsv"
-# Incoming/stored split of the incremental-ingest fixture.
-STORED_BEFORE = "2024-01-15 12:00:00"
+# Sentences of a summary, words of a headline.
+SUMMARY_SENTENCES = 2
+HEADLINE_WORDS = 12
 # Messages per landed payload page.
 PAGE_SIZE = 100
 # ----------------------------------------------------------------------------
@@ -43,24 +43,46 @@ def categories(spark: SparkSession) -> DataFrame:
         CATEGORIES, "ordinal int, category string, title string, emoji string")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News table: one article per document, dated and categorised by the
-    event ``doc_id * 5``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One post per document, dated and categorised by the event ``doc_id *
+    5``: (agency, index, date, category, first_link, raw_news)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return _dated(docs, spark, sf_dir, F.col("text").alias("raw_news"))
+
+
+def _dated(docs: DataFrame, spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    j = docs.join(ev, ev["event_id"] == docs["doc_id"] * 5)
-    return j.select(
-        F.col("source").alias("agency"),
-        F.col("doc_id").alias("index"),
-        F.col("ts").alias("date"),
-        title_of("text").alias("title"),
-        lead_of("text").alias("short_news"),
-        F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("https://ex.org/"), (F.col("doc_id") % 50).cast("string")))
-         .alias("first_link"),
-        F.col("text").alias("raw_news"),
-        F.col("event_type").alias("category"),
-    )
+    link = (F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("https://ex.org/"), (F.col("doc_id") % 50).cast("string"))))
+    return docs.join(ev, ev["event_id"] == docs["doc_id"] * 5).select(
+        F.col("source").alias("agency"), F.col("doc_id").alias("index"), F.col("ts").alias("date"),
+        F.col("event_type").alias("category"), link.alias("first_link"), *more)
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News table: the posts with their headline as ``title`` and their summary
+    as ``short_news`` (both read the whole text; '' for a text without words)
+    and the slot columns. Written once per input, partitioned by
+    ``digest_date`` and without the texts; every article-side query reads it."""
+    from .operators.summarise import summaries
+
+    def build() -> DataFrame:
+        docs = read_table(spark, sf_dir, "documents")
+        short = summaries(docs, SUMMARY_SENTENCES, HEADLINE_WORDS)
+        found = docs.select("doc_id", "source").join(short, "doc_id", "left")
+        dated = with_slot(_dated(found, spark, sf_dir, F.coalesce("headline", F.lit("")).alias("title"),
+                                 F.coalesce("summary", F.lit("")).alias("short_news")))
+        return dated.repartition("digest_date")
+
+    return materialised(spark, sf_dir, "articles", ["documents", "events"], build, ["digest_date"])
+
+
+def stored_before(spark: SparkSession, sf_dir: str) -> F.Column:
+    """Incoming/stored split of the incremental-ingest fixture: the middle of
+    the articles' time range (one scalar), null without articles."""
+    lo, hi = articles(spark, sf_dir).agg(F.min("date"), F.max("date")).first()
+    cut = None if lo is None else (lo + (hi - lo) // 2).isoformat(" ")
+    return F.lit(cut).cast("timestamp_ntz")
 
 
 def with_slot(df: DataFrame, ts: str = "date") -> DataFrame:
@@ -68,22 +90,17 @@ def with_slot(df: DataFrame, ts: str = "date") -> DataFrame:
     return df.withColumns({"digest_date": digest_date(ts), "part": slot_part(ts)})
 
 
-def slotted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_slot(articles(spark, sf_dir))
-
-
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-written user settings, wide form (one flag per category)."""
     o = read_table(spark, sf_dir, "orders")
     mask = (1 + F.col("o_orderkey") % 31).cast("int")
     flags = {c: ((mask.bitwiseAND(1 << (i - 1))) > 0) for i, c, _, _ in CATEGORIES}
-    return (o.where(F.col("o_custkey") % 5 != 4)
-            .select(F.col("o_custkey").alias("user_id"),
+    return o.select(F.col("o_custkey").alias("user_id"),
                     F.col("o_orderdate").alias("updated_at"),
                     F.col("o_orderkey").alias("seq"),
                     (F.col("o_orderstatus") != "F").alias("is_subscribed"),
                     (1 + F.col("o_orderkey") % 5).cast("int").alias("news_amount"),
-                    *[v.alias(k) for k, v in flags.items()]))
+                    *[v.alias(k) for k, v in flags.items()])
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +132,7 @@ def message_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel payloads: per agency and page of ``PAGE_SIZE`` ids, a JSON object
     with ``messages[]`` of ``{id, date (epoch s), message}``. Pages bound the
     size of every payload, so no group grows with the data."""
-    a = articles(spark, sf_dir)
+    a = posts(spark, sf_dir)
     msg = F.struct(F.col("index").alias("id"),
                    epoch_seconds("date").alias("date"),
                    F.col("raw_news").alias("message"))
@@ -145,10 +162,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests sent: view events, with the slot of the send time."""
+    """Digests sent, one per view event: the slot of the send time, or for
+    every second event the whole day (part 0)."""
     e = read_table(spark, sf_dir, "events").where(F.col("event_type") == "view")
-    return (e.select("user_id", F.col("ts").alias("sent_at"))
-            .withColumns({"digest_date": digest_date("sent_at"), "part": slot_part("sent_at")}))
+    whole = F.col("event_id") % 2 == 0
+    return e.select("user_id", F.col("ts").alias("sent_at"),
+                    F.when(whole, F.to_date("ts")).otherwise(digest_date("ts")).alias("digest_date"),
+                    F.when(whole, F.lit(0)).otherwise(slot_part("ts")).alias("part"))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,17 +25,37 @@ BOILERPLATE_LABELS: tuple[str, ...] = (
 CHAT_LINK_PREFIX = "tg://resolve?domain="
 # Per-article channel link.
 CHANNEL_LINK_BASE = "https://t.me/"
-# HTML entities decoded by html_to_text; "&amp;" must stay last so that
-# "&amp;lt;" becomes "&lt;" and not "<".
+# Named HTML entities decoded by html_to_text, after the numeric ones; "&amp;"
+# must stay last so that "&amp;lt;" becomes "&lt;" and not "<".
 HTML_ENTITIES: tuple[tuple[str, str], ...] = (
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
     ("&apos;", "'"),
     ("&nbsp;", "\u00a0"),
     ("&middot;", "·"),
     ("&copy;", "©"),
+    ("&reg;", "®"),
+    ("&trade;", "™"),
+    ("&laquo;", "«"),
+    ("&raquo;", "»"),
+    ("&ldquo;", "\u201c"),
+    ("&rdquo;", "\u201d"),
+    ("&bdquo;", "\u201e"),
+    ("&lsquo;", "\u2018"),
+    ("&rsquo;", "\u2019"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&minus;", "−"),
+    ("&hellip;", "…"),
+    ("&bull;", "•"),
+    ("&deg;", "°"),
+    ("&sect;", "§"),
+    ("&para;", "¶"),
+    ("&times;", "×"),
+    ("&frac12;", "½"),
+    ("&euro;", "€"),
+    ("&pound;", "£"),
     ("&amp;", "&"),
 )
 # ----------------------------------------------------------------------------
@@ -52,8 +72,33 @@ def _lit(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A numeric entity, decimal or hexadecimal; others than these stay as they are.
+NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point(entity: Column) -> Column:
+    """The character of one numeric entity, the entity itself if there is
+    none. UTF-32 bytes decode to it, which Spark's ``chr`` (Latin-1) cannot."""
+    hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+    digits = F.regexp_extract(entity, r"([0-9a-fA-F]+);$", 1)
+    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code == 38, "&amp;").when(valid, char).otherwise(entity)  # "&" is decoded last
+
+
+def decode_numeric(col: Column | str) -> Column:
+    """Numeric entities, from left to right: the text between them joined with
+    their characters. Texts without one are left alone."""
+    text = _lit(col)
+    between = F.split(text, NUMERIC_ENTITY)
+    found = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), 0), _code_point)
+    joined = F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda t, e: F.concat(t, e)), "")
+    return F.when(text.rlike(NUMERIC_ENTITY), joined).otherwise(text)
+
+
 def decode_entities(col: Column | str) -> Column:
-    out = _lit(col)
+    out = decode_numeric(col)
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
@@ -76,8 +121,8 @@ def first_link(html: Column | str) -> Column:
 
 
 def html_to_text(html: Column | str) -> Column:
-    """H2: text of all nodes: drop comments/script/style, drop tags, decode a
-    fixed entity list."""
+    """H2: text of all nodes: drop comments/script/style, drop tags, decode
+    numeric entities and a fixed list of named ones."""
     no_tags = F.regexp_replace(strip_non_content(html), r"<[^>]*>", "")
     return decode_entities(no_tags)
 
@@ -133,12 +178,3 @@ def capitalise(s: Column | str) -> Column:
     c = _lit(s)
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
-
-def title_of(text: Column | str) -> Column:
-    """Leading sentence of a text (fixture headline)."""
-    return F.trim(F.regexp_extract(_lit(text), r"^\s*([^.!?\n]+)", 1))
-
-
-def lead_of(text: Column | str) -> Column:
-    """First line of a text (fixture summary)."""
-    return F.trim(F.regexp_extract(_lit(text), r"^\s*([^\n]*)", 1))

@@ -13,24 +13,20 @@ loaded once per Python worker.
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 
 NEWS, NOT_NEWS = "news", "not_news"
 CLASSES = [NOT_NEWS, NEWS]
 WORD_SPLIT = r"[^\p{L}]+"
 
 
-def words(text: Column | str) -> Column:
-    t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), WORD_SPLIT), lambda w: w != "")
-
-
 def raw_words(text: Column | str) -> Column:
     """Lower-cased letter runs, possibly with '' at the ends; explode this
     and filter the rows (stays in generated code, unlike a lambda filter)."""
@@ -42,57 +38,55 @@ def _class_of(quality: Column) -> Column:
     return F.when(quality == 1, F.lit(NEWS)).otherwise(F.lit(NOT_NEWS))
 
 
-def train_nb(dw: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From word counts ``(doc_id, word, cnt)`` and labels: (model: word,
-    class, logp) and (priors: class, logprior)."""
-    lab = labels.select("doc_id", _class_of(F.col("quality")).alias("class"))
-    priors = (lab.groupBy("class").agg(F.count("*").alias("n"))
-              .select("class", F.log(F.col("n") / F.sum("n").over(_all())).alias("logprior")))
-    counts = (dw.join(lab, "doc_id").groupBy("class", "word").agg(F.sum("cnt").alias("n")))
-    vocab = counts.select("word").distinct()
-    n_vocab = vocab.count()  # one scalar of the model, read once
-    totals = counts.groupBy("class").agg(F.sum("n").alias("total"))
-    grid = vocab.select("word", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))
-    model = (grid.join(counts, ["class", "word"], "left")
-             .join(F.broadcast(totals), "class")
-             .select("word", "class",
-                     F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.lit(n_vocab))).alias("logp")))
-    return model, priors
-
+class NaiveBayes:
+    """A trained model: ``table`` (word, one log likelihood per class) and the
+    log prior of each class."""
 
-def _all():
-    from pyspark.sql import Window
-    return Window.partitionBy()
+    def __init__(self, table: DataFrame, logprior: dict[str, float]):
+        self.table, self.logprior = table, logprior
+        self.classes = [c for c in CLASSES if c in logprior]
 
 
-def classify_nb(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def train_nb(docs: DataFrame, labels: DataFrame) -> NaiveBayes:
+    """Multinomial naive Bayes from the labelled documents. Labels are joined
+    before texts are exploded, and one aggregation counts a word for all
+    classes; that table is written once and gives the vocabulary, the totals
+    and the model. The driver reads two rows of totals."""
+    lab = labels.select("doc_id", _class_of(F.col("quality")).alias("class"))
+    train = docs.select("doc_id", "text").join(lab, "doc_id")
+    n_of = lambda c: F.count(F.when(F.col("class") == c, 1))
+    counts = checkpoint(train.select("class", F.explode(raw_words("text")).alias("word")).where("word <> ''")
+                        .groupBy("word").agg(*[n_of(c).alias(c) for c in CLASSES]), "nb-counts")
+    size = docs.select("doc_id").join(lab, "doc_id").agg(*[n_of(c).alias(c) for c in CLASSES]).first()
+    totals = counts.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in CLASSES]).first()
+    every = sum(size[c] for c in CLASSES)
+    logprior = {c: math.log(size[c] / every) for c in CLASSES if size[c]}
+    table = counts.select("word", *[F.log((F.col(c) + 1) / F.lit(float((totals[c] or 0) + totals["v"]))).alias(c)
+                                    for c in logprior])
+    return NaiveBayes(table, logprior)
+
+
+def score_nb(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     """(doc_id, category) for every document: argmax of log prior + sum of
     word log likelihoods (unknown words ignored).
 
-    Scoring sums the model's log likelihood over the document's tokens: the
-    per-document aggregate combines map-side to one row per document, so no
+    The per-document sum combines map-side to one row per document, so no
     (document, word) table is built or shuffled."""
-    tokens = (docs.select("doc_id", F.explode(raw_words("text")).alias("word"))
-              .where(F.col("word") != ""))
-    dw = tokens.withColumn("cnt", F.lit(1).cast("long"))
-    model, priors = train_nb(dw, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
-    # the model's few scalars: one log prior per class (classes without
-    # training documents get no score, as before)
-    logprior = {r["class"]: r["logprior"] for r in priors.collect()}
-    classes = [c for c in CLASSES if c in logprior]
-    # one row per word with one log likelihood column per class: half the join
-    # rows, and one aggregation per document gives every class score
-    wide = model.groupBy("word").pivot("class", classes).agg(F.first("logp"))
-    ll = (tokens.join(broadcast_if_small(wide), "word")
-          .groupBy("doc_id")
-          .agg(*[F.sum(F.col(c)).alias(f"_ll_{c}") for c in classes]))
+    tokens = docs.select("doc_id", F.explode(raw_words("text")).alias("word")).where(F.col("word") != "")
+    ll = (tokens.join(broadcast_if_small(model.table), "word").groupBy("doc_id")
+          .agg(*[F.sum(F.col(c)).alias(f"_ll_{c}") for c in model.classes]))
     scored = docs.select("doc_id").join(ll, "doc_id", "left")
-    options = [F.struct((F.lit(logprior[c]) + F.coalesce(F.col(f"_ll_{c}"), F.lit(0.0))).alias("score"),
-                        F.lit(c).alias("class")) for c in classes]
+    options = [F.struct((F.lit(model.logprior[c]) + F.coalesce(F.col(f"_ll_{c}"), F.lit(0.0))).alias("score"),
+                        F.lit(c).alias("class")) for c in model.classes]
     best = F.greatest(*options) if len(options) > 1 else options[0]   # ties: larger class name
     return scored.select("doc_id", best["class"].alias("category"))
 
 
+def classify_nb(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, category): train on the labelled documents, score all."""
+    return score_nb(docs, train_nb(docs, labels))
+
+
 def drop_not_news(df: DataFrame) -> DataFrame:
     """F3."""
     return df.where(F.col("category") != NOT_NEWS)
@@ -131,16 +125,24 @@ class LengthModel:
         return (letters / t.str.len().clip(lower=1)).round(6)
 
 
-_LOADED: dict[Any, Any] = {}
+def _once_per_worker(key: str, make: Any) -> Any:
+    """The functions of this package travel by value, so their module globals
+    are new in every task; ``sys.modules`` lives as long as the worker."""
+    import sys
+    import types
+    held = sys.modules.setdefault("_newsweave_models", types.ModuleType("_newsweave_models")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def score_batches(df: DataFrame, model_cls: Any, text_col: str = "text",
                   id_col: str = "doc_id") -> DataFrame:
     """M4: (id, score) with ``model_cls.load()`` once per Python worker."""
+    name = f"{model_cls.__module__}.{model_cls.__qualname__}"
+
     def run(batches):
-        model = _LOADED.get(model_cls)
-        if model is None:
-            model = _LOADED[model_cls] = model_cls.load()
+        model = _once_per_worker(name, model_cls.load)
         for pdf in batches:
             yield pd.DataFrame({id_col: pdf[id_col], "score": model.predict(pdf[text_col]).astype("float64")})
 

@@ -2,22 +2,29 @@
 
 Complete linkage only merges two clusters when *every* cross pair is below the
 threshold, so only edges ``d < threshold`` matter, and slots are independent.
-Complete linkage is reducible, therefore all mutual-nearest cluster pairs may
-be merged in the same round and the result equals the one-merge-at-a-time
-agglomeration (ties are broken by the pair key ``(dmax, lo, hi)``).
-
-The state is a cluster-level graph ``(keys, lo, hi, n, dmax)``: ``n`` cross
-edges below the threshold and their maximum. A pair is mergeable iff
-``n == size(lo) * size(hi)``; a pair that is not can never become mergeable
-again, so its edges are dropped. Each round is a handful of shuffles over the
-(shrinking) graph; the round's merges and the next graph are written into the
-shared checkpoint folder, so lineage stays short, statistics stay real and a
-lost executor costs at most one round. The driver only reads one row count
-per round.
-
-``view_stories`` is the entry point: a view (slot) of bounded size is done in
-one task (same rounding, same merge rule and tie order on a dense matrix,
-sizes and labels included); only larger views take the distributed rounds.
+Articles of a view with the same vector (same bag of vector ids) are one node
+that weighs as many articles as it stands for.
+
+The state is a cluster-level graph ``(keys, lo, hi, n, dmax, s_lo, s_hi)``:
+``n`` cross pairs of articles below the threshold and their largest distance.
+A pair is mergeable iff ``n == s_lo * s_hi``; a pair that is not can never
+become mergeable again, so its edges are dropped. In each round every two
+clusters that are each other's best merge; best is the smallest
+``(dmax, md5(lo,hi), lo, hi)``. Without equal distances this is the
+one-merge-at-a-time agglomeration, since complete linkage is reducible. Among
+equal distances the hash decides, so that many pairs merge in a round instead
+of one. Rounds go on until no edge is left; the smallest pair of all is always
+merged, so each round makes progress.
+
+A round is a handful of shuffles over the (shrinking) graph; its merges and
+the next graph are written into the shared checkpoint folder, so lineage stays
+short, statistics stay real and a lost executor costs at most one round. The
+driver only reads one row count per round.
+
+``view_stories`` is the entry point. A view with few nodes is done in one task
+(same rounding, merge rule and tie order on a dense matrix of bounded side);
+larger views take the distributed rounds. Both are registered queries and give
+equal rows.
 """
 
 from __future__ import annotations
@@ -26,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small, shared_path
+from ..session import broadcast_if_small, checkpoint, shared_path
 from .ranking import distributed_row_number
 
 SLOT = ["digest_date", "part"]
-# Slots whose similarity graph has at most this many articles are clustered
-# inside one task (dense matrix of this side squared); 0 = always distributed.
+# Views of at most this many nodes are clustered inside one task (a dense
+# matrix of this side); 0 = always distributed.
 LOCAL_MAX_NODES = 2000
 
 
@@ -49,8 +56,8 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def _mutual_merges(graph: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, old, new, size): pairs that are each other's best (smallest
-    ``(dmax, lo, hi)``); ``hi`` is merged into ``lo``."""
-    pair_key = F.struct("dmax", "lo", "hi")
+    ``pair_key``); ``hi`` is merged into ``lo``."""
+    pair_key = F.struct("dmax", F.md5(F.concat_ws(",", "lo", "hi")).alias("h"), "lo", "hi")
     cand = (graph.select(*keys, F.col("lo").alias("c"), pair_key.alias("k"))
             .unionByName(graph.select(*keys, F.col("hi").alias("c"), pair_key.alias("k"))))
     best = cand.groupBy(*keys, "c").agg(F.min("k").alias("best"))
@@ -88,24 +95,24 @@ def _next_graph(graph: DataFrame, merges: DataFrame, keys: list[str]) -> DataFra
             .where(F.col("n") == F.col("s_lo") * F.col("s_hi")))
 
 
-def complete_linkage(edges: DataFrame, keys: list[str] | None = None,
-                     max_rounds: int = 1000, fold_every: int = 8) -> DataFrame:
-    """(keys..., index, cid) for every article that has at least one edge;
-    ``cid`` is the smallest index of its cluster. Articles without edges are
-    singletons and do not appear.
+def complete_linkage(edges: DataFrame, keys: list[str] | None = None, fold_every: int = 8) -> DataFrame:
+    """(keys..., index, cid) for every node that has at least one edge; ``cid``
+    is the smallest index of its cluster. Nodes without edges are singletons
+    and do not appear. ``edges``: (keys..., a, b, d) and the nodes' weights
+    ``wa``, ``wb`` (1 where missing).
 
-    Graph rows carry the sizes of both clusters, so a round needs no join with
-    the assignment: it writes the merges and the next graph (two jobs). The
-    assignment is folded from the recorded merges every ``fold_every`` rounds
-    and at the end."""
+    Graph rows carry the weights of both clusters, so a round needs no join
+    with the assignment: it writes the merges and the next graph (two jobs).
+    The assignment is folded from the recorded merges every ``fold_every``
+    rounds and at the end."""
     keys = keys if keys is not None else SLOT
+    weight = lambda c: (F.col(c) if c in edges.columns else F.lit(1)).cast("long")
     graph, n_edges = _write(
         edges.select(*keys, F.col("a").alias("lo"), F.col("b").alias("hi"),
-                     F.lit(1).cast("long").alias("n"), F.col("d").alias("dmax"),
-                     F.lit(1).cast("long").alias("s_lo"), F.lit(1).cast("long").alias("s_hi")),
-        "graph")
-    nodes = (edges.select(*keys, F.col("a").alias("index"))
-             .unionByName(edges.select(*keys, F.col("b").alias("index"))).distinct())
+                     (weight("wa") * weight("wb")).alias("n"), F.col("d").alias("dmax"),
+                     weight("wa").alias("s_lo"), weight("wb").alias("s_hi")), "graph")
+    nodes = (graph.select(*keys, F.col("lo").alias("index"))
+             .unionByName(graph.select(*keys, F.col("hi").alias("index"))).distinct())
     assign, _ = _write(nodes.withColumn("cid", F.col("index")), "assign")
     pending: list[DataFrame] = []
 
@@ -115,34 +122,49 @@ def complete_linkage(edges: DataFrame, keys: list[str] | None = None,
                       .select(*keys, "index", F.coalesce("new", "cid").alias("cid")))
         return _write(assign, "assign")[0]
 
-    rounds = 0
-    while n_edges > 0 and rounds < max_rounds:
-        merges, _ = _write(_mutual_merges(graph, keys), "merges")
+    while n_edges > 0:
+        merges, n_merges = _write(_mutual_merges(graph, keys), "merges")
+        if n_merges == 0:
+            raise RuntimeError("a merge round made no progress")
         pending.append(merges)
         graph, n_edges = _write(_next_graph(graph, merges, keys), "graph")
-        rounds += 1
         if len(pending) >= fold_every:
             assign, pending = fold(assign, pending), []
     return fold(assign, pending) if pending else assign
 
 
-def merge_dense(dist):
+def merge_dense(dist, ids):
     """Mutual-best complete-linkage rounds on a dense symmetric distance
-    matrix (``inf`` = not mergeable; modified in place). Returns, per row,
-    the row of its cluster (the lowest row of the cluster)."""
+    matrix (``inf`` = not mergeable; modified in place) of the nodes ``ids``
+    (ascending). Returns, per row, the row of its cluster (the lowest row of
+    the cluster) and the number of rounds."""
+    import hashlib
+
     import numpy as np
 
     n = dist.shape[0]
-    lab = np.arange(n)
-    rows = np.arange(n)
+    lab, rows, rounds = np.arange(n), np.arange(n), 0
+    ids = [int(i) for i in ids]
+
+    def tie(i: int, js) -> int:
+        def key(j: int) -> tuple:
+            lo, hi = sorted((ids[i], ids[j]))
+            return hashlib.md5(f"{lo},{hi}".encode()).hexdigest(), lo, hi
+        return min(js, key=key)
+
     while n:
         np.fill_diagonal(dist, np.inf)
         best = np.argmin(dist, axis=1)
-        ok = np.isfinite(dist[rows, best])
+        low = dist[rows, best]
+        ok = np.isfinite(low)
+        same = (dist == low[:, None]).sum(axis=1)
+        for i in np.flatnonzero(ok & (same > 1)):
+            best[i] = tie(i, np.flatnonzero(dist[i] == low[i]))
         mutual = ok & (best[best] == rows) & (rows < best)
         keep, gone = rows[mutual], best[mutual]
         if len(keep) == 0:
             break
+        rounds += 1
         dist[keep] = np.maximum(dist[keep], dist[gone])
         dist[:, keep] = np.maximum(dist[:, keep], dist[:, gone])
         dist[gone] = np.inf
@@ -150,68 +172,19 @@ def merge_dense(dist):
         to = np.arange(n)
         to[gone] = keep
         lab = to[lab]
-    return lab
-
-
-def _local_linkage_fn(keys: list[str]):
-    """Complete linkage of one bounded slot in numpy: the same mutual-best
-    rounds as the distributed path on a dense cluster-distance matrix (missing
-    edge = +inf, so an incomplete pair can never merge). Rows are in
-    ascending id order, so ``argmin`` breaks ties exactly like the
-    ``(dmax, lo, hi)`` pair key."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf["a"].to_numpy()
-        b = pdf["b"].to_numpy()
-        ids = np.unique(np.concatenate([a, b]))
-        n = len(ids)
-        ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-        dist = np.full((n, n), np.inf)
-        dist[ia, ib] = pdf["d"].to_numpy()
-        dist[ib, ia] = dist[ia, ib]
-        lab = merge_dense(dist)
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(n))
-        out["index"] = ids
-        out["cid"] = ids[lab]
-        return out
+    return lab, rounds
 
-    return run
 
-
-def hybrid_linkage(edges: DataFrame, keys: list[str] | None = None,
-                   local_max: int = LOCAL_MAX_NODES) -> DataFrame:
-    """(keys..., index, cid): slots whose edge graph has at most ``local_max``
-    articles are clustered in one bounded group each (one job for all of
-    them); larger slots go through the distributed merge rounds."""
-    keys = keys if keys is not None else SLOT
-    edges, _ = _write(edges, "edges")
-    nodes = (edges.select(*keys, F.col("a").alias("x"))
-             .unionByName(edges.select(*keys, F.col("b").alias("x"))).distinct()
-             .groupBy(*keys).agg(F.count("*").alias("_nodes")))
-    # one row per slot, bounded by the number of slots
-    sized = edges.join(broadcast_if_small(nodes), keys)
-    small = sized.where(F.col("_nodes") <= local_max).drop("_nodes")
-    large = sized.where(F.col("_nodes") > local_max).drop("_nodes")
-    schema = T.StructType([*[edges.schema[k] for k in keys],
-                           T.StructField("index", T.LongType()), T.StructField("cid", T.LongType())])
-    local = small.groupBy(*keys).applyInPandas(_local_linkage_fn(keys), schema)
-    biggest = nodes.agg(F.max("_nodes").alias("m")).first()["m"] or 0  # one scalar
-    if biggest <= local_max:
-        return local
-    return local.unionByName(complete_linkage(large, keys))
-
-
-def cluster_articles(articles: DataFrame, edges: DataFrame,
-                     keys: list[str] | None = None, local_max: int = LOCAL_MAX_NODES) -> DataFrame:
-    """All articles with ``cid`` (singletons keep their own index) and the
-    cluster ``size`` (A2)."""
+def cluster_nodes(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Distributed path: ``nodes`` (keys..., index, copies) with ``cid``
+    (singletons keep their own index) and the cluster ``size`` in articles."""
     keys = keys if keys is not None else SLOT
-    assign = hybrid_linkage(edges, keys) if local_max > 0 else complete_linkage(edges, keys)
-    out = (articles.join(assign, [*keys, "index"], "left")
+    w = nodes.select(*keys, "index", "copies")
+    side = lambda c, to: w.select(*keys, F.col("index").alias(c), F.col("copies").alias(to))
+    weighted = edges.join(side("a", "wa"), [*keys, "a"]).join(side("b", "wb"), [*keys, "b"])
+    out = (w.join(complete_linkage(weighted, keys), [*keys, "index"], "left")
            .withColumn("cid", F.coalesce("cid", "index")))
-    sizes = out.groupBy(*keys, "cid").agg(F.count("*").alias("size"))
+    sizes = out.groupBy(*keys, "cid").agg(F.sum("copies").alias("size"))
     return out.join(sizes, [*keys, "cid"])
 
 
@@ -225,15 +198,16 @@ def story_labels(clustered: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def _view_stories_fn(keys: list[str], threshold: float):
-    """One bounded view in one task: distances of all its articles (one Gram
+    """One bounded view in one task: distances of all its nodes (one Gram
     matrix, rounded like ``similar_pairs``), complete linkage, sizes and the
-    W3 labels. Articles without a vector stay singletons."""
+    W3 labels. Nodes without a vector stay singletons."""
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index", kind="stable")
         idx = pdf["index"].to_numpy()
+        copies = pdf["copies"].to_numpy()
         cid = idx.copy()
         vecs = pdf["vec"].to_numpy()
         has = np.array([v is not None for v in vecs], dtype=bool)
@@ -245,45 +219,66 @@ def _view_stories_fn(keys: list[str], threshold: float):
             u = mat[ok] / norm[ok][:, None]
             d = np.round(1.0 - u @ u.T, 6)
             dist = np.where(d < threshold, d, np.inf)
-            cid[pos] = idx[pos][merge_dense(dist)]
-        uniq, inverse, counts = np.unique(cid, return_inverse=True, return_counts=True)
-        order = np.lexsort((uniq, -counts))          # size desc, then smallest id
+            cid[pos] = idx[pos][merge_dense(dist, idx[pos])[0]]
+        uniq, inverse = np.unique(cid, return_inverse=True)
+        sizes = np.bincount(inverse, copies).astype("int64")
+        order = np.lexsort((uniq, -sizes))          # size desc, then smallest id
         label = np.empty(len(uniq), dtype="int64")
         label[order] = np.arange(1, len(uniq) + 1)
         out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(len(idx)))
         out["index"] = idx
         out["cid"] = cid
-        out["size"] = counts[inverse].astype("int64")
+        out["size"] = sizes[inverse]
         out["label"] = label[inverse]
         return out
 
     return run
 
 
+def view_nodes(members: DataFrame, vecs: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (keys..., index, node) and nodes (keys..., index, copies, vec).
+    Articles of a view with the same non-zero vector share a node, named by
+    the smallest index; an article without a vector is its own node."""
+    keys = keys if keys is not None else SLOT
+    if "bag" not in vecs.columns:
+        vecs = vecs.withColumn("bag", F.array("index"))
+    zero = F.forall("vec", lambda x: x == 0)
+    bag = F.when(~zero, F.col("bag"))
+    m = members.select(*keys, "index").join(vecs.select("index", bag.alias("bag")), "index", "left")
+    # a node's key: its bag, or the article itself
+    m = m.withColumn("own", F.when(F.col("bag").isNull(), F.col("index")))
+    named = m.groupBy(*keys, "bag", "own").agg(F.min("index").alias("node"), F.count("*").alias("copies"))
+    group = [F.col(f"m.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*keys, "bag", "own"]]
+    linked = checkpoint(m.alias("m").join(named.alias("g"), group)
+                        .select(*[F.col(f"m.{k}").alias(k) for k in keys], "m.index", "g.node", "g.copies"), "members")
+    nodes = (linked.where(F.col("index") == F.col("node")).select(*keys, "index", "copies")
+             .join(vecs.select("index", "vec"), "index", "left"))
+    return linked.drop("copies"), nodes.select(*keys, "index", "copies", "vec")
+
+
 def view_stories(members: DataFrame, vecs: DataFrame, keys: list[str] | None = None,
                  threshold: float = 0.3, local_max: int = LOCAL_MAX_NODES) -> DataFrame:
     """(keys..., index, cid, size, label) for every member of every view.
 
-    Views of at most ``local_max`` articles (counted per view; one row per
-    view) are done in one task each: pairs, complete linkage, sizes and labels
-    together. Larger views use the distributed path: blocked pair join,
-    merge rounds, distributed numbering. Both give the same result."""
+    Views of at most ``local_max`` nodes (counted per view; one row per view)
+    are done in one task each: pairs, complete linkage, sizes and labels
+    together. Larger views use the distributed path: blocked pair join, merge
+    rounds, distributed numbering. Both give the same result."""
     from .vectors import similar_pairs
 
     keys = keys if keys is not None else SLOT
-    members = members.select(*keys, "index")
-    counts = members.groupBy(*keys).agg(F.count("*").alias("_n"))
+    linked, nodes = view_nodes(members, vecs, keys)
+    nodes = checkpoint(nodes, "nodes")
+    counts = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
     biggest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0  # one scalar
-    small_views = counts.where(F.col("_n") <= local_max).select(*keys)
-    small = (members.join(broadcast_if_small(small_views), keys, "left_semi")
-             .join(vecs.select("index", "vec"), "index", "left"))
+    small = nodes.join(broadcast_if_small(counts.where(F.col("_n") <= local_max).select(*keys)), keys, "left_semi")
     schema = T.StructType([*[members.schema[k] for k in keys],
                            T.StructField("index", T.LongType()), T.StructField("cid", T.LongType()),
                            T.StructField("size", T.LongType()), T.StructField("label", T.LongType())])
-    fused = small.groupBy(*keys).applyInPandas(_view_stories_fn(keys, threshold), schema)
-    if biggest <= local_max:
-        return fused
-    large = members.join(counts.where(F.col("_n") > local_max).select(*keys), keys, "left_semi")
-    edges = similar_pairs(large.join(vecs, "index"), threshold, keys=keys)
-    big = story_labels(cluster_articles(large, edges, keys, local_max=0), keys)
-    return fused.unionByName(big.select(*keys, "index", "cid", "size", "label"))
+    stories = small.groupBy(*keys).applyInPandas(_view_stories_fn(keys, threshold), schema)
+    if biggest > local_max:
+        large = nodes.join(counts.where(F.col("_n") > local_max).select(*keys), keys, "left_semi")
+        edges = similar_pairs(large.where(F.col("vec").isNotNull()), threshold, keys=keys)
+        big = story_labels(cluster_nodes(large, edges, keys), keys)
+        stories = stories.unionByName(big.select(*keys, "index", "cid", "size", "label"))
+    return linked.join(stories.withColumnRenamed("index", "node"), [*keys, "node"]).drop("node")

@@ -7,6 +7,10 @@ sentences in their original order; the headline is the best sentence cut to
 ``n`` words. All counts are integers, so the scores are exact ratios and the
 ranking does not depend on summation order.
 
+Everything happens inside one document, so the texts are dealt by document
+once; counts, scores, ranks and the way back to the sentences all reuse that
+partitioning.
+
 The neural summariser and headline model are not reproduced (their weights
 are not available); this is the extractive stand-in.
 """
@@ -21,37 +25,35 @@ from .classify import raw_words
 SENTENCE = r"[^.!?\n]+[.!?]*"
 
 
-def sentence_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, sentence, score) for sentences with at least one word."""
-    sents = (docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), 0))
-                         .alias("sid", "raw"))
-             .select("doc_id", "sid", F.trim("raw").alias("sentence"))
-             .where(F.col("sentence") != ""))
-    sw = (sents.select("doc_id", "sid", F.explode(raw_words("sentence")).alias("word"))
-          .where(F.col("word") != ""))
-    tf = sw.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    return (sw.join(tf, ["doc_id", "word"])
-            .groupBy("doc_id", "sid")
-            .agg((F.sum("tf") / F.count("*")).alias("score"))
-            .join(sents, ["doc_id", "sid"]))
+def sentences(text: str = "text") -> F.Column:
+    return F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0)
 
 
-def _ranked(docs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc("sid"))
-    return (sentence_scores(docs).withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= F.lit(int(k))))
+def summaries(docs: DataFrame, k: int = 2, n_words: int = 12) -> DataFrame:
+    """(doc_id, summary, headline) of every document with a word."""
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    words = (dealt.select("doc_id", F.posexplode(sentences()).alias("sid", "raw"))
+             .select("doc_id", "sid", F.explode(raw_words(F.trim("raw"))).alias("word"))
+             .where(F.col("word") != ""))
+    tf = F.count("*").over(Window.partitionBy("doc_id", "word"))
+    scores = (words.withColumn("tf", tf).groupBy("doc_id", "sid")
+              .agg((F.sum("tf") / F.count("*")).alias("score")))
+    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc("sid"))
+    top = (scores.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= F.lit(int(k)))
+           .groupBy("doc_id").agg(F.array_sort(F.collect_list("sid")).alias("sids"),
+                                  F.min_by("sid", "rn").alias("first")))
+    found = dealt.join(top, "doc_id").withColumn("s", sentences())
+    tokens = F.filter(F.split(F.trim(F.get("s", F.col("first"))), r"\s+"), lambda t: t != "")
+    return found.select("doc_id",
+                        F.array_join(F.transform("sids", lambda i: F.trim(F.get(F.col("s"), i))), " ").alias("summary"),
+                        F.array_join(F.slice(tokens, 1, n_words), " ").alias("headline"))
 
 
 def summarise(docs: DataFrame, k: int = 2) -> DataFrame:
     """M2: (doc_id, summary)."""
-    top = _ranked(docs, k)
-    return (top.groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("sid", "sentence"))).alias("s"))
-            .select("doc_id", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("summary")))
+    return summaries(docs, k).select("doc_id", "summary")
 
 
 def headline(docs: DataFrame, n_words: int = 12) -> DataFrame:
     """M3: (doc_id, headline) best sentence, first ``n_words`` words."""
-    best = _ranked(docs, 1)
-    toks = F.filter(F.split("sentence", r"\s+"), lambda t: t != "")
-    return best.select("doc_id", F.array_join(F.slice(toks, 1, n_words), " ").alias("headline"))
+    return summaries(docs, 1, n_words).select("doc_id", "headline")

@@ -87,6 +87,33 @@ def _with_default(df: DataFrame, default_prefixed: DataFrame) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in row.asDict().items()})
 
 
+def user_events(commands: DataFrame, log: DataFrame, default: DataFrame) -> DataFrame:
+    """J3 with effect: subscribe and unsubscribe commands (request_id, user_id,
+    sent_at, command) -> the settings rows to append, with their ``action``:
+    ``insert`` (never seen: default settings, flag on), ``resubscribe`` (flag
+    on again), ``unsubscribe`` (flag off). A command that changes nothing
+    yields no row.
+
+    The state before a command is that of the user's command before it, or the
+    log's latest row for the first one."""
+    cur = latest_settings(log)
+    j = commands.join(cur.select("user_id", *SETTINGS_VALUES, F.lit(True).alias("_known")), "user_id", "left")
+    w = Window.partitionBy("user_id").orderBy("sent_at", "request_id")
+    before = F.lag("command").over(w)
+    seen = F.max((F.col("command") == "subscribe").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    on = F.when(before.isNotNull(), before == "subscribe").otherwise(F.coalesce("is_subscribed", F.lit(False)))
+    j = (j.withColumn("_on", on).withColumn("_seen", F.coalesce("_known", F.lit(False)) | (F.coalesce(seen, F.lit(0)) == 1)))
+    sub = F.col("command") == "subscribe"
+    action = (F.when(sub & ~F.col("_seen"), "insert").when(sub & ~F.col("_on"), "resubscribe")
+              .when(~sub & F.col("_on") & F.col("_seen"), "unsubscribe"))
+    j = j.withColumn("action", action).where(F.col("action").isNotNull())
+    j = _with_default(j, default.select(*[F.col(c).alias(f"d_{c}") for c in SETTINGS_VALUES]))
+    own = F.coalesce("_known", F.lit(False))
+    values = {c: F.when(own, F.col(c)).otherwise(F.col(f"d_{c}")) for c in SETTINGS_VALUES if c != "is_subscribed"}
+    return j.select("action", "user_id", F.col("sent_at").alias("updated_at"), F.col("request_id").alias("seq"),
+                    (F.col("command") == "subscribe").alias("is_subscribed"), *[v.alias(k) for k, v in values.items()])
+
+
 def letter_match(letters: DataFrame, categories: DataFrame) -> DataFrame:
     """J9 + W5: each (request_id, pos, letter) -> the first category (by
     ordinal) whose title starts with the letter; NULL when none does.

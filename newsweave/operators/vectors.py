@@ -3,12 +3,16 @@
 * ``title_tokens``   H6-H8: one row per (article, token position, clean word)
 * ``vocabulary``     words seen in >= 2 titles, each with a vector id
 * ``token_vectors``  J5: token -> vector id, out-of-vocabulary -> ``<unk>`` (0)
-* ``article_vectors`` A5: component-wise mean of the token vectors
+* ``title_bags``, ``bag_vectors`` A5: component-wise mean of the token vectors,
+  once per distinct multiset of vector ids
 * ``similar_pairs``  J6: pairs of one slot with cosine distance < threshold
 
-Scale notes: the vocabulary and embedding lookups are joins (broadcast only
-behind a size check). The mean is a plain hash aggregate with one ``avg`` per
-dimension, so it combines map-side. The pair join is quadratic inside a slot;
+Scale notes: titles with the same vector ids have the same vector, so copies
+of a headline are one node of the pair join (``clusters.view_nodes``), and a
+group of K copies costs K rows instead of K * (K - 1) / 2 pairs. The
+vocabulary and embedding lookups are joins (broadcast only behind a size
+check); the unknown-word vector is a scalar. The mean is a plain hash
+aggregate with one sum per dimension, so it combines map-side. The pair join is quadratic inside a slot;
 large slots are split into ``S`` hash blocks and every block pair becomes its
 own group, which spreads one hot slot over ``S*(S+1)/2`` tasks while every
 pair is still compared exactly once (no pair is skipped). Inside a group the
@@ -59,12 +63,18 @@ def vocabulary(tokens: DataFrame, n_vectors: int, min_titles: int = 2) -> DataFr
             .select("word", vector_id(F.col("word"), n_vectors).alias("vec_id")))
 
 
-def token_vectors(tokens: DataFrame, vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Adds ``vec_id`` (OOV and '' -> 0) and ``vec`` to every token."""
-    with_id = (tokens.join(broadcast_if_small(vocab), "word", "left")
-               .withColumn("vec_id", F.coalesce("vec_id", F.lit(UNK_VEC_ID))))
-    emb = embeddings.select("vec_id", F.col("embedding").alias("vec"))
-    return with_id.join(broadcast_if_small(emb), "vec_id", "inner")
+def token_vectors(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Adds ``vec_id`` to every token (OOV and '' -> 0). Vectors are not
+    attached here: a vector is read once per distinct title (``bag_vectors``),
+    not once per token."""
+    return (tokens.join(broadcast_if_small(vocab), "word", "left")
+            .withColumn("vec_id", F.coalesce("vec_id", F.lit(UNK_VEC_ID))))
+
+
+def title_bags(token_vecs: DataFrame) -> DataFrame:
+    """(index, bag): the title's vector ids in order, as often as they occur.
+    Titles are short, so a bag is bounded. Articles without tokens have none."""
+    return token_vecs.groupBy("index").agg(F.array_sort(F.collect_list("vec_id")).alias("bag"))
 
 
 def embedding_dim(embeddings: DataFrame) -> int:
@@ -72,13 +82,23 @@ def embedding_dim(embeddings: DataFrame) -> int:
     return int(row["d"]) if row else 0
 
 
-def article_vectors(token_vecs: DataFrame, dim: int, keys: list[str] | None = None) -> DataFrame:
-    """A5: (keys..., index, vec array<double>) mean of the token vectors.
-    An article without tokens gets no row here (NULL vector downstream)."""
-    keys = keys if keys is not None else SLOT
-    aggs = [F.avg(F.col("vec")[i]).alias(f"_d{i}") for i in range(dim)]
-    return (token_vecs.groupBy(*keys, "index").agg(*aggs)
-            .select(*keys, "index", F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("vec")))
+def bag_vectors(bags: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(bag, vec array<double>): mean vector of every distinct bag. The
+    unknown-word vector, which a fifth of all tokens have, is one row added as
+    a scalar; only known words meet the embeddings."""
+    dim = embedding_dim(embeddings)
+    unk = embeddings.where(F.col("vec_id") == UNK_VEC_ID).select("embedding").first()
+    unk = [float(x) for x in unk["embedding"]] if unk else [0.0] * dim
+    distinct = bags.select("bag").distinct()
+    known = (distinct.select("bag", F.explode("bag").alias("vec_id"))
+             .where(F.col("vec_id") != UNK_VEC_ID)
+             .groupBy("bag", "vec_id").agg(F.count("*").alias("n")))
+    emb = embeddings.select("vec_id", F.col("embedding").alias("e"))
+    sums = (known.join(broadcast_if_small(emb), "vec_id").groupBy("bag")
+            .agg(*[F.sum(F.col("n") * F.col("e")[i]).alias(f"_d{i}") for i in range(dim)]))
+    n_unk = F.size(F.filter("bag", lambda v: v == UNK_VEC_ID))
+    comps = [(F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + n_unk * F.lit(unk[i])) / F.size("bag") for i in range(dim)]
+    return distinct.join(sums, "bag", "left").select("bag", F.array(*comps).alias("vec"))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -91,12 +111,6 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             .drop("_norm"))
 
 
-def cosine_distance(u: Column, v: Column) -> Column:
-    """1 - dot product of two unit vectors."""
-    dot = F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.lit(1.0) - dot
-
-
 def _block_pairs_fn(keys: list[str], threshold: float):
     """Per (slot, block pair) group: one Gram matrix of the unit vectors, then
     the pairs of the two blocks (a < b) below the threshold."""
@@ -151,27 +165,11 @@ def similar_pairs(vectors: DataFrame, threshold: float = DISTANCE_THRESHOLD,
     return fan.groupBy(*keys, "_lo", "_hi").applyInPandas(_block_pairs_fn(keys, threshold), schema)
 
 
-def similar_pairs_sql(vectors: DataFrame, threshold: float = DISTANCE_THRESHOLD,
-                      keys: list[str] | None = None) -> DataFrame:
-    """J6 with JVM expressions only (equi join on the slot + filter); the
-    reference plan for tests, quadratic inside a slot without blocking."""
-    keys = keys if keys is not None else SLOT
-    u = unit_vectors(vectors).select(*keys, "index", "u")
-    left = u.select(*keys, F.col("index").alias("a"), F.col("u").alias("ua"))
-    right = u.select(*keys, F.col("index").alias("b"), F.col("u").alias("ub"))
-    d = F.round(cosine_distance(F.col("ua"), F.col("ub")), 6)
-    return (left.join(right, keys).where(F.col("a") < F.col("b"))
-            .select(*keys, "a", "b", d.alias("d")).where(F.col("d") < threshold))
-
-
-def headline_vectors(articles: DataFrame, embeddings: DataFrame,
-                     keys: list[str] | None = None) -> DataFrame:
-    """Titles -> tokens -> vocabulary -> vectors -> mean: (keys..., index, vec)."""
-    keys = keys if keys is not None else SLOT
+def title_vectors(articles: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Titles -> tokens -> vocabulary -> bags -> vectors: (index, bag, vec)."""
     # tokens feed both the vocabulary and the lookup: written once (one row
-    # per title token) instead of scanning and tokenising the texts twice
-    toks = checkpoint(title_tokens(articles, keys), "tokens")
-    n_vec = embeddings.count()
-    vocab = vocabulary(toks, n_vec)
-    tv = token_vectors(toks, vocab, embeddings)
-    return article_vectors(tv, embedding_dim(embeddings), keys)
+    # per title token) instead of tokenising the titles twice
+    toks = checkpoint(title_tokens(articles, []), "tokens")
+    vocab = vocabulary(toks, embeddings.count())
+    bags = checkpoint(title_bags(token_vectors(toks, vocab)), "bags")
+    return bags.join(bag_vectors(bags, embeddings), "bag").select("index", "bag", "vec")

@@ -16,7 +16,7 @@ from ..functions import requests as rq
 from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import classify, digest, stories, summarise, users, vectors
-from ..session import read_table, shared_path
+from ..session import checkpoint, read_table, shared_path
 from ..sources import messages as msg
 from ..sources import sinks
 from ..streaming import ingest as sing
@@ -31,8 +31,8 @@ TODAY = "2024-01-25"
 TOP_SLOT = ("2024-01-10", 2)
 TOP_K = 10
 SNAPSHOT_DAY = "2024-01-31"
-SUMMARY_SENTENCES = 2
-HEADLINE_WORDS = 12
+SUMMARY_SENTENCES = fx.SUMMARY_SENTENCES
+HEADLINE_WORDS = fx.HEADLINE_WORDS
 # ----------------------------------------------------------------------------
 
 
@@ -51,7 +51,11 @@ def _slot(df: DataFrame) -> list[Column]:
 
 
 def _stored(spark, d) -> DataFrame:
-    return fx.articles(spark, d).where(F.col("date") < F.lit(fx.STORED_BEFORE).cast("timestamp_ntz"))
+    return fx.articles(spark, d).where(F.col("date") < fx.stored_before(spark, d))
+
+
+def _model(spark, d) -> classify.NaiveBayes:
+    return classify.train_nb(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -64,8 +68,10 @@ def q_scan_messages(spark: SparkSession, d: str) -> DataFrame:
 
 def q_scan_range(spark, d):
     a = fx.articles(spark, d)
-    r = a.where((F.col("date") >= F.lit(SCAN_START).cast("timestamp_ntz"))
-                & (F.col("date") < F.lit(SCAN_END).cast("timestamp_ntz")))
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in (SCAN_START, SCAN_END))
+    # the slot dates of the range prune partitions, the range itself is pushed to the scan
+    r = a.where((F.col("digest_date") >= tm.digest_date(start)) & (F.col("digest_date") <= tm.digest_date(end))
+                & (F.col("date") >= start) & (F.col("date") < end))
     return r.select("agency", "index", _ts("date").alias("date"))
 
 
@@ -76,7 +82,7 @@ def q_active_sources(spark, d):
 
 def q_sink_articles(spark, d):
     path = shared_path(spark, "news")
-    sinks.append_articles(fx.slotted_articles(spark, d)
+    sinks.append_articles(fx.articles(spark, d)
                           .select("agency", "index", "date", "title", "category", *SLOT), path)
     back = spark.read.parquet(path)
     return back.select("agency", "index", *_slot(back), "category", "title")
@@ -104,7 +110,7 @@ def q_snapshot(spark, d):
 
 
 def q_ingest_metrics(spark, d):
-    new = msg.incremental(fx.articles(spark, d), _stored(spark, d), body="raw_news")
+    new = msg.incremental(fx.posts(spark, d), _stored(spark, d), body="raw_news")
     m = sinks.ingest_metrics(new)
     return m.select("agency", "n_articles", _ts("first_date").alias("first_date"),
                     _ts("last_date").alias("last_date"))
@@ -113,7 +119,7 @@ def q_ingest_metrics(spark, d):
 # --- filters -----------------------------------------------------------------
 
 def q_incremental_filter(spark, d):
-    new = msg.incremental(fx.articles(spark, d), _stored(spark, d), body="raw_news")
+    new = msg.incremental(fx.posts(spark, d), _stored(spark, d), body="raw_news")
     return new.select("agency", "index")
 
 
@@ -124,14 +130,8 @@ def q_drop_empty(spark, d):
 
 
 def q_slot_range(spark, d):
-    a = fx.articles(spark, d)
-    out = None
-    for part in range(5):
-        start, end = tm.slot_bounds(F.lit(RANGE_DAY), F.lit(part))
-        r = a.where((F.col("date") >= start) & (F.col("date") < end)).select(
-            F.lit(part).alias("part"), "index")
-        out = r if out is None else out.unionByName(r)
-    return out
+    from ..operators import slots as sl
+    return sl.slot_range(fx.articles(spark, d).select("index", "date"), RANGE_DAY).select("part", "index")
 
 
 def q_subscribed_users(spark, d):
@@ -148,7 +148,7 @@ def q_date_guard(spark, d):
 
 def q_slot_fallback(spark, d):
     from ..operators import slots as sl
-    present = fx.slotted_articles(spark, d).select(*SLOT).distinct()
+    present = fx.articles(spark, d).select(*SLOT).distinct()
     fb = sl.slot_fallback(present)
     return fb.select(_d("digest_date").alias("digest_date"), F.col("part").cast("int").alias("part"),
                      _d("src_date").alias("src_date"), F.col("src_part").cast("int").alias("src_part"))
@@ -192,13 +192,19 @@ def q_settings_or_default(spark, d):
 
 
 def q_token_vectors(spark, d):
-    arts = fx.slotted_articles(spark, d)
-    toks = vectors.title_tokens(arts)
-    emb = read_table(spark, d, "embeddings")
-    tv = vectors.token_vectors(toks, vectors.vocabulary(toks, emb.count()), emb)
+    toks = vectors.title_tokens(fx.articles(spark, d), [])
+    vocab = vectors.vocabulary(toks, read_table(spark, d, "embeddings").count())
+    tv = vectors.token_vectors(toks, vocab)
     return tv.select("index", F.col("pos").cast("int").alias("pos"), "word", "vec_id")
 
 
+def q_title_copies(spark, d):
+    """Members of the nodes of the pair join: copies of one title vector."""
+    from ..operators import clusters
+    m, _ = clusters.view_nodes(pl.view_articles(spark, d), pl.headline_vectors(spark, d))
+    return m.select(*_slot(m), "index", "node")
+
+
 def q_similar_pairs(spark, d):
     p = pl.pairs(spark, d)
     return p.select(*_slot(p), "a", "b", "d")
@@ -222,13 +228,14 @@ def _coordinate_requests(spark, d) -> DataFrame:
     num, label = rq.parse_coordinates("text")
     r = r.select("request_id", "user_id", "sent_at", num.alias("category_no"), label.alias("label"))
     last = users.asof_digest(r.select("request_id", "user_id", "sent_at"), fx.digest_log(spark, d))
+    # the last digest may be a slot's or a whole day's
     return (r.join(last.select("request_id", *SLOT), "request_id")
             .where(F.col("digest_date").isNotNull()))
 
 
 def _resolved(spark, d) -> DataFrame:
     req = _coordinate_requests(spark, d)
-    return digest.drilldown(req, pl.subscriber_settings(spark, d), _ranked(spark, d), pl.slot_views(spark, d))
+    return digest.drilldown(req, pl.subscriber_settings(spark, d), _ranked(spark, d), pl.read_views(spark, d))
 
 
 def q_drilldown(spark, d):
@@ -255,7 +262,7 @@ def q_asof_digest(spark, d):
 # --- aggregations --------------------------------------------------------------
 
 def q_high_water(spark, d):
-    return msg.high_water(_stored(spark, d))
+    return msg.high_water(fx.articles(spark, d))
 
 
 def q_cluster_size(spark, d):
@@ -277,7 +284,7 @@ def q_cluster_links(spark, d):
 def q_article_vectors(spark, d):
     v = pl.headline_vectors(spark, d)
     return v.select("index", F.posexplode("vec").alias("dim", "value")).select(
-        "index", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+        "index", F.col("dim").cast("int").alias("dim"), F.round(F.round("value", 9), 6).alias("value"))
 
 
 def q_story_clusters(spark, d):
@@ -285,13 +292,72 @@ def q_story_clusters(spark, d):
     return s.select(*_slot(s), "index", "cid", F.col("size").cast("bigint").alias("size"), "label")
 
 
+def q_story_clusters_distributed(spark, d):
+    """The same stories by the distributed path alone."""
+    s = pl.build_story_articles(spark, d, local_max=0)
+    return s.select(*_slot(s), "index", "cid", F.col("size").cast("bigint").alias("size"), "label")
+
+
+def q_story_representative(spark, d):
+    c = stories.coherent_representative(pl.story_articles(spark, d))
+    return c.select(*_slot(c), "label", F.col("size").cast("bigint").alias("size"), _ts("date").alias("date"),
+                    "agency", "category", "title", "short_news")
+
+
 def q_digest_text(spark, d):
-    st = pl.story_table(spark, d)
-    lines = digest.digest_lines(st, pl.subscriber_settings(spark, d), pl.slot_views(spark, d))
-    t = digest.digest_text(lines, fx.users(spark, d), fx.categories(spark))
+    t = digest.digest_text(pl.story_table(spark, d), pl.subscriber_settings(spark, d), fx.users(spark, d),
+                           fx.categories(spark), pl.slot_views(spark, d))
     return t.select("user_id", *_slot(t), "text")
 
 
+def _day_lines(spark, d) -> DataFrame:
+    r = fx.requests(spark, d).where(rq.classify_request("text") == "digest")
+    r = r.select("request_id", "user_id", tm.parse_date("text").alias("digest_date"))
+    r = r.where(tm.date_guard(F.col("digest_date"), TODAY))
+    mine = users.settings_or_default(r.select("user_id").distinct(), fx.users(spark, d), fx.settings_log(spark, d),
+                                     fx.default_settings(spark))
+    return digest.day_digest(r, mine, pl.story_table(spark, d))
+
+
+def q_day_digest(spark, d):
+    n = _day_lines(spark, d)
+    return n.select("request_id", "user_id", *_slot(n), "category_no", "category", "rank", "label", "title")
+
+
+def q_day_digest_text(spark, d):
+    """The texts, appended to the log of digests sent and read back."""
+    t = digest.day_digest_text(_day_lines(spark, d), fx.users(spark, d), fx.categories(spark))
+    path = shared_path(spark, "user_digest")
+    sinks.append_user_log(t, path)
+    back = spark.read.parquet(path)
+    return back.select("request_id", "user_id", *_slot(back), "text")
+
+
+def q_user_events(spark, d):
+    """Settings rows that commands append, read back from the log."""
+    e = read_table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
+    commands = e.select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("sent_at"),
+                        F.when(F.col("event_type") == "signup", "subscribe").otherwise("unsubscribe").alias("command"))
+    rows = users.user_events(commands, fx.settings_log(spark, d), fx.default_settings(spark))
+    path = shared_path(spark, "user_settings")
+    sinks.append_user_log(rows, path)
+    back = spark.read.parquet(path)
+    return back.select("seq", "action", "user_id", "is_subscribed", "news_amount",
+                       F.array_join(users.flags_to_categories(), ",").alias("categories"))
+
+
+def q_location_log(spark, d):
+    """Locations sent by users, appended as typed structs and read back."""
+    e = read_table(spark, d, "events").where(F.col("event_type") == "click")
+    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int")
+    place = rq.location_struct(k % 180 - 90, (F.col("event_id") % 3600).cast("double") / 10 - 180)
+    path = shared_path(spark, "users_coord")
+    sinks.append_user_log(e.select("user_id", F.col("ts").alias("sent_at"), place.alias("location")), path)
+    back = spark.read.parquet(path)
+    return back.select("user_id", _ts("sent_at").alias("sent_at"), F.col("location.lat").alias("lat"),
+                       F.col("location.lon").alias("lon"))
+
+
 def q_drilldown_links(spark, d):
     links = stories.cluster_links(pl.story_articles(spark, d))
     r = digest.drilldown_links(_resolved(spark, d), links)
@@ -334,7 +400,8 @@ def q_top_stories(spark, d):
 # --- set operations --------------------------------------------------------------
 
 def q_merge_articles(spark, d):
-    a = fx.articles(spark, d).select("agency", "index", "title")
+    # titles differ on both sides, so a row shows which side it is from
+    a = fx.articles(spark, d).select("agency", "index", F.concat(F.lit("new: "), "title").alias("title"))
     m = msg.merge_articles(_stored(spark, d).select("agency", "index", "title"), a)
     return m.select("agency", "index", "title")
 
@@ -438,9 +505,19 @@ def q_score_batches(spark, d):
 
 # --- streaming -----------------------------------------------------------------------
 
+def q_ingest_pipeline(spark, d):
+    """One collection run as a batch job: active sources, posts above the
+    stored high water, clean, summary, headline, class, without non-news."""
+    path = msg.land_payloads(fx.message_pages(spark, d), shared_path(spark, "landing"))
+    posts = sing.new_posts(msg.read_messages(spark, path), fx.agencies(spark, d), msg.high_water(_stored(spark, d)))
+    a = sing.to_articles(posts, _model(spark, d), SUMMARY_SENTENCES, HEADLINE_WORDS)
+    return a.select("agency", "index", _ts("date").alias("date"), *_slot(a), "title", "short_news", "first_link",
+                    "category")
+
+
 def q_stream_ingest(spark, d):
-    out = sing.stream_ingest(spark, fx.message_pages(spark, d))
-    return out.select("agency", "index", _ts("date").alias("date"), *_slot(out), "title")
+    out = sing.stream_ingest(spark, fx.message_pages(spark, d), _model(spark, d), fx.agencies(spark, d))
+    return out.select("agency", "index", _ts("date").alias("date"), *_slot(out), "title", "short_news")
 
 
 def q_slot_assign(spark, d):
@@ -459,17 +536,42 @@ def q_late_rows(spark, d):
     return s.select(*_slot(s), "n_events", "n_late")
 
 
-def q_stream_dedup(spark, d):
-    out = sing.stream_dedup(spark, fx.message_pages(spark, d), _stored_pages(spark, d))
-    return out.select("agency", "index")
+def q_late_refresh(spark, d):
+    """Stories of the on-time articles, brought up to date after the late ones
+    landed: equal to clustering all articles."""
+    arts, emb = fx.articles(spark, d), read_table(spark, d, "embeddings")
+    late = (fx.arrivals(spark, d).where((F.col("event_id") % 5 == 0) & F.col("is_late"))
+            .select((F.col("event_id") / 5).cast("long").alias("index"))
+            .join(arts.select("index"), "index", "left_semi"))
+    late = checkpoint(late, "late")
+    on_time = arts.join(late, "index", "left_anti")
+    old_vecs = checkpoint(pl.vectors_of(on_time, emb), "old-vectors")
+    old = checkpoint(pl.stories_of(pl.view_articles_of(on_time), old_vecs), "old-stories")
+    s = pl.refresh_stories(old, old_vecs, arts, emb, late)
+    return s.select(*_slot(s), "index", "cid", F.col("size").cast("bigint").alias("size"), "label")
 
 
-def _stored_pages(spark, d) -> DataFrame:
+def _waves(spark, d) -> list[DataFrame]:
+    """Three landings: pages without the oldest third of the ids, the same
+    again with all newer ones, then everything, old unseen posts included."""
     pages = fx.message_pages(spark, d)
-    cut = tm.epoch_seconds(F.lit(fx.STORED_BEFORE).cast("timestamp_ntz"))
-    kept = F.filter(F.from_json("payload", msg.PAYLOAD)["messages"], lambda m: m["date"] < cut)
-    return (pages.select("channel", F.concat(F.lit("old-"), F.col("page").cast("string")).alias("page"),
-                         F.to_json(F.struct(kept.alias("messages"))).alias("payload")))
+    lo, hi = fx.articles(spark, d).agg(F.min("index"), F.max("index")).first()
+    step = max(1, ((hi or 0) - (lo or 0)) // 3)
+
+    def kept(name: str, low: int, high: int) -> DataFrame:
+        part = F.filter(F.from_json("payload", msg.PAYLOAD)["messages"],
+                        lambda m: (m["id"] >= low) & (m["id"] < high))
+        return pages.select("channel", F.concat(F.lit(f"{name}-"), F.col("page").cast("string")).alias("page"),
+                            F.to_json(F.struct(part.alias("messages"))).alias("payload"))
+
+    first = lo or 0
+    return [kept("a", first + step, first + 2 * step), kept("b", first + step, (hi or 0) + 1),
+            kept("c", first, (hi or 0) + 1)]
+
+
+def q_stream_dedup(spark, d):
+    out = sing.stream_dedup(spark, _waves(spark, d))
+    return out.select("agency", "index", _ts("date").alias("date"))
 
 
 def q_stream_high_water(spark, d):

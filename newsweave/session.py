@@ -4,6 +4,7 @@ size-checked broadcast and reliable (non-local) checkpointing."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,41 +39,36 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local master may
+    leave it unset and gets a fresh scratch folder; on a cluster a folder of
+    one machine would lose tables, so that is an error."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset on {master}: name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="newsweave-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
 
-# Inputs at most this large may be re-spread over the cores after the scan.
-SPREAD_MAX_BYTES = 1 << 30
-# Text-heavy tables and the key they are spread on.
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in SPREAD_KEYS:
-        df = spread_small(df, SPREAD_KEYS[name])
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_small(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Hash-repartition a *small* scan over all cores. A file with one row
-    group is read by a single task, and the per-row text work (regex, explode)
-    fused into that scan would run serially. Large inputs are split by their
-    files already and are never shuffled for this."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) <= max_bytes and df.rdd.getNumPartitions() < parallelism:
-        return df.repartition(parallelism, key)
-    return df
+def table_version(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """Path, size and time of every file of the tables: changes whenever the
+    data under a path does."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    return tuple(out)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -114,3 +110,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
+
+
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build,
+                 partition_by: list[str] | None = None) -> DataFrame:
+    """A derived table written once to the shared folder for each state of its
+    source tables (files, sizes, times): new data under a path is a new
+    table."""
+    key = (spark.sparkContext.applicationId, name, table_version(spark, sf_dir, sources))
+    if key not in _TABLES:
+        path = shared_path(spark, name)
+        build().write.partitionBy(*(partition_by or [])).parquet(path)
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]

@@ -1,21 +1,23 @@
 """Sinks: append-only article and user logs, dated snapshots, ingest metrics.
 
 * S4 ``append_articles``: partitioned by ``digest_date`` for slot pruning
-* S5 ``append_user_log``: every user table is an append log; current state
-  is W4 in users.py
+* S5 ``append_user_log``: every user table (users, settings, digests sent,
+  locations) is an append log; current settings are W4 in users.py
 * S6 ``snapshot``: overwrite of one dated partition, idempotent per day
-* S7 ``ingest_metrics`` and ``observed``: per-source counts and time range
+* S7 ``ingest_metrics``: per-source counts and time range
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def append_articles(df: DataFrame, path: str) -> None:
-    """Append, partitioned by slot date (partition pruning on read)."""
-    df.write.mode("append").partitionBy("digest_date").parquet(path)
+    """Append, partitioned by slot date (partition pruning on read). Rows
+    of a date are dealt together first, a large date over several tasks
+    (``rebalance`` splits it), so a date gets few files."""
+    df.hint("rebalance", "digest_date").write.mode("append").partitionBy("digest_date").parquet(path)
 
 
 def append_user_log(df: DataFrame, path: str) -> None:
@@ -39,12 +41,3 @@ def ingest_metrics(df: DataFrame) -> DataFrame:
     return (df.groupBy("agency")
             .agg(F.count("*").alias("n_articles"), F.min("date").alias("first_date"),
                  F.max("date").alias("last_date")))
-
-
-def observed(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """Live metrics of a run without an extra job: rows and time range.
-    Note: in Spark 4.1 a session that used observations cannot serialize
-    MLlib closures afterwards; do not combine with MLlib in one session."""
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"),
-                      F.max("date").alias("last")), obs

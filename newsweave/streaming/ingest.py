@@ -5,7 +5,9 @@ Every query uses a checkpoint in the shared checkpoint folder and
 ``Trigger.AvailableNow``: each run processes exactly the files that arrived
 since the last run, then stops (the scheduled collection runs). The
 micro-batch body reuses the batch functions via ``foreachBatch``, so batch
-and stream give the same rows.
+and stream give the same rows. A micro-batch writes the folder of its batch
+id with overwrite, so a retried batch replaces its rows instead of adding
+them again.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import with_slot
-from ..functions.text import clean_text, first_link, title_of
-from ..session import shared_path
+from ..functions.text import clean_text, first_link
+from ..operators.classify import NaiveBayes, drop_not_news, score_nb
+from ..operators.summarise import summaries
+from ..session import broadcast_if_small, shared_path
 from ..sources import messages as msg
 
-DEDUP_DELAY = "1 day"
+POST = ["agency", "index"]
 
 
 def land(pages: DataFrame, path: str) -> str:
@@ -27,20 +31,35 @@ def land(pages: DataFrame, path: str) -> str:
 
 
 def message_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """Posts of all landed files; ``max_files`` bounds a micro-batch only if
+    the caller asks for it."""
     reader = spark.readStream.schema(msg.LANDED)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return msg.messages_from_payload(reader.json(landing))
 
 
-def to_articles(m: DataFrame) -> DataFrame:
-    """Per-post cleaning shared by batch and stream: text, first link,
-    headline, slot columns."""
-    a = m.select("agency", "index", "date",
-                 first_link("message").alias("first_link"),
-                 clean_text("message").alias("raw_news"))
-    a = a.where(F.length("raw_news") > 0).withColumn("title", title_of("raw_news"))
-    return with_slot(a)
+def new_posts(m: DataFrame, registry: DataFrame, high_water: DataFrame | None) -> DataFrame:
+    """S3 + F1: posts of active sources, newer than the newest stored one."""
+    m = msg.active_sources(m, registry)
+    if high_water is None:
+        return m
+    j = m.join(broadcast_if_small(high_water), "agency", "left")
+    return j.where(F.col("index") > F.coalesce("high_water", F.lit(0))).drop("high_water")
+
+
+def to_articles(m: DataFrame, model: NaiveBayes, sentences: int = 2, words: int = 12) -> DataFrame:
+    """Per-post ingest shared by batch and stream: clean text, first link,
+    summary and headline of the whole text (M2, M3), class (M1), without
+    non-news (F3), with slot columns."""
+    a = m.select(*POST, "date", first_link("message").alias("first_link"), clean_text("message").alias("raw_news"))
+    a = a.where(F.length("raw_news") > 0).withColumn("doc_id", F.concat_ws("/", *POST))
+    texts = a.select("doc_id", F.col("raw_news").alias("text"))
+    short = summaries(texts, sentences, words).select(
+        "doc_id", F.col("summary").alias("short_news"), F.col("headline").alias("title"))
+    kept = drop_not_news(score_nb(texts, model))
+    a = a.join(kept, "doc_id").join(short, "doc_id", "left").drop("doc_id")
+    return with_slot(a.withColumns({c: F.coalesce(c, F.lit("")) for c in ("short_news", "title")}))
 
 
 def _run(query_builder) -> None:
@@ -54,48 +73,59 @@ def _run(query_builder) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def stream_ingest(spark: SparkSession, pages: DataFrame, table: str | None = None,
-                  max_files: int | None = 4) -> DataFrame:
-    """Land pages, stream them into the articles table (append,
-    partitioned by ``digest_date``), return the table."""
-    landing = land(pages, shared_path(spark, "landing"))
-    table = table or shared_path(spark, "news")
-    ckpt = shared_path(spark, "ckpt-ingest")
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        to_articles(batch).write.mode("append").partitionBy("digest_date").parquet(table)
+def run_ingest(spark: SparkSession, landing: str, table: str, ckpt: str, model: NaiveBayes, registry: DataFrame,
+               high_water: DataFrame | None = None, max_files: int | None = None) -> None:
+    """One collection run: files landed since the last one -> articles
+    table (a folder per batch, partitioned by ``digest_date``)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = to_articles(new_posts(batch, registry, high_water), model)
+        rows.write.mode("overwrite").partitionBy("digest_date").parquet(f"{table}/batch_id={batch_id}")
 
     _run(message_stream(spark, landing, max_files).writeStream
          .foreachBatch(write).option("checkpointLocation", ckpt))
+
+
+def stream_ingest(spark: SparkSession, pages: DataFrame, model: NaiveBayes, registry: DataFrame,
+                  max_files: int | None = None) -> DataFrame:
+    """Land ``pages``, ingest them, return the table."""
+    landing = land(pages, shared_path(spark, "landing"))
+    table = shared_path(spark, "news")
+    run_ingest(spark, landing, table, shared_path(spark, "ckpt-ingest"), model, registry, max_files=max_files)
     return spark.read.parquet(table)
 
 
-def stream_dedup(spark: SparkSession, pages: DataFrame, repeated_pages: DataFrame,
-                 delay: str = DEDUP_DELAY) -> DataFrame:
-    """T5: posts landed twice are kept once per (agency, index)."""
-    landing = shared_path(spark, "landing")
-    land(pages, f"{landing}/a")
-    land(repeated_pages, f"{landing}/b")
-    out = shared_path(spark, "dedup")
-    ckpt = shared_path(spark, "ckpt-dedup")
-    s1 = message_stream(spark, f"{landing}/a")
-    s2 = message_stream(spark, f"{landing}/b")
-    s = (s1.unionByName(s2)
-         .withColumn("event_time", F.col("date").cast("timestamp"))
-         .withWatermark("event_time", delay)
-         .dropDuplicatesWithinWatermark(["agency", "index"]))
-    _run(s.select("agency", "index", "date").writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ckpt).outputMode("append"))
-    return spark.read.parquet(out)
+def run_dedup(spark: SparkSession, landing: str, table: str, ckpt: str, max_files: int | None = None) -> None:
+    """T5: one run: posts landed since the last one whose (agency, index) is
+    neither stored nor earlier in the batch. What is stored decides, not the
+    event time: an old post that was never seen is new."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*POST, "date").groupBy(*POST).agg(F.min("date").alias("date"))
+        if batch_id > 0:
+            stored = spark.read.parquet(table).where(F.col("batch_id") < batch_id).select(*POST)
+            rows = rows.join(stored, POST, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    _run(message_stream(spark, landing, max_files).writeStream.foreachBatch(write)
+         .option("checkpointLocation", ckpt))
+
+
+def stream_dedup(spark: SparkSession, waves: list[DataFrame]) -> DataFrame:
+    """Land waves of pages one after the other, each followed by a run."""
+    landing, table, ckpt = (shared_path(spark, n) for n in ("landing", "dedup", "ckpt-dedup"))
+    for pages in waves:
+        (pages.select("channel", F.from_json("payload", msg.PAYLOAD).alias("p")).select("channel", "p.messages")
+         .write.mode("append").partitionBy("channel").json(landing))
+        run_dedup(spark, landing, table, ckpt)
+    return spark.read.parquet(table)
 
 
-def stream_high_water(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def stream_high_water(spark: SparkSession, pages: DataFrame, max_files: int | None = None) -> DataFrame:
     """Per-source high water as a streaming aggregation (state is one row
     per source); each micro-batch rewrites the small result table."""
     landing = land(pages, shared_path(spark, "landing"))
     out = shared_path(spark, "high-water")
     ckpt = shared_path(spark, "ckpt-hw")
-    agg = (message_stream(spark, landing, 4).groupBy("agency")
+    agg = (message_stream(spark, landing, max_files).groupBy("agency")
            .agg(F.max_by("index", F.struct("date", "index")).alias("high_water")))
 
     def write(batch: DataFrame, _epoch: int) -> None:

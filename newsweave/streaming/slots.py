@@ -36,13 +36,15 @@ def roll_up_slots(hours: DataFrame) -> DataFrame:
 
 
 def stream_slot_counts(spark: SparkSession, folder: str, schema: T.StructType,
-                       glob: str = "events*.parquet", max_files: int = 1) -> DataFrame:
+                       glob: str = "events*.parquet", max_files: int | None = None) -> DataFrame:
     """Events per slot from a parquet file stream over ``folder`` (only
     files matching ``glob``; new files are picked up by later runs)."""
     out = shared_path(spark, "hourly")
     ckpt = shared_path(spark, "ckpt-hourly")
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", max_files).parquet(folder))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(folder)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)

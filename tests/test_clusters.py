@@ -1,5 +1,6 @@
 """A6 complete linkage: brute force, edge cases, invariants."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -29,13 +30,38 @@ def brute_force(vecs: dict[int, np.ndarray], tau: float) -> set[frozenset]:
         cl[a] |= cl.pop(b)
 
 
-def spark_clusters(spark, groups: dict[tuple, dict[int, np.ndarray]], tau: float, block_rows=2000,
-                   local_max=0):
+def rounds(vecs: dict[int, np.ndarray], tau: float, copies: dict[int, int] | None = None) -> tuple[set[frozenset], int]:
+    """The defined rounds: all pairs that are each other's best by (distance,
+    md5 of the ids, ids) merge at once. Clusters and number of rounds."""
+    unit = {i: v / np.linalg.norm(v) for i, v in vecs.items()}
+    cl = {i: {i} for i in unit}
+    d = {frozenset((a, b)): round(1 - float(np.dot(unit[a], unit[b])), 6) for a, b in itertools.combinations(sorted(unit), 2)}
+    n = 0
+    while True:
+        best: dict[int, tuple] = {}
+        for a, b in itertools.combinations(sorted(cl), 2):
+            dm = max(d[frozenset((x, y))] for x in cl[a] for y in cl[b])
+            if dm < tau:
+                key = (dm, hashlib.md5(f"{a},{b}".encode()).hexdigest(), a, b)
+                for c in (a, b):
+                    best[c] = min(best.get(c, key), key)
+        merged = [k for c, k in best.items() if c == k[2] and best[k[3]] == k]
+        if not merged:
+            return {frozenset(c) for c in cl.values()}, n
+        n += 1
+        for _, _, a, b in merged:
+            cl[a] |= cl.pop(b)
+
+
+def spark_clusters(spark, groups: dict[tuple, dict[int, np.ndarray]], tau: float, block_rows=2000, local_max=0):
     data = [(k[0], k[1], i, [float(x) for x in v]) for k, g in groups.items() for i, v in g.items()]
     df = spark.createDataFrame(data, "digest_date string, part int, index long, vec array<double>")
-    edges = vectors.similar_pairs(df, tau, block_rows=block_rows)
-    arts = df.select(*KEYS, "index")
-    out = clusters.cluster_articles(arts, edges, local_max=local_max).collect()
+    if local_max:
+        out = clusters.view_stories(df.select(*KEYS, "index"), df.select("index", "vec"), threshold=tau,
+                                    local_max=local_max).collect()
+    else:
+        edges = vectors.similar_pairs(df, tau, block_rows=block_rows)
+        out = clusters.cluster_nodes(df.select(*KEYS, "index", F.lit(1).cast("long").alias("copies")), edges).collect()
     res: dict[tuple, dict[int, set]] = {}
     for r in out:
         res.setdefault((r["digest_date"], r["part"]), {}).setdefault(r["cid"], set()).add(r["index"])
@@ -50,7 +76,7 @@ def random_groups(seed: int, n_groups: int, n: int, dim: int = 6):
         pts = {}
         for i in range(n):
             c = centers[rng.integers(len(centers))]
-            pts[g * 1000 + i] = c + rng.normal(scale=0.35, size=dim)
+            pts[seed * 100_000 + g * 1000 + i] = c + rng.normal(scale=0.35, size=dim)
         groups[(f"2024-01-{g + 1:02d}", 1 + g % 4)] = pts
     return groups
 
@@ -124,14 +150,68 @@ def test_zero_vector_stays_alone(spark):
     assert got[("2024-01-01", 1)] == {frozenset({1}), frozenset({2, 3})}
 
 
+def test_equal_distances_merge_many_pairs_a_round(spark):
+    """Distinct vectors, all at distance 0 of each other: the hash order merges
+    about a third of them in a round, the same ones in all three forms."""
+    v = np.array([0.6, 0.8])
+    groups = {("2024-01-01", 1): {i: v * i for i in range(1, 121)}}
+    whole, n = rounds(groups[("2024-01-01", 1)], 0.3)
+    assert len(whole) == 1 and n <= 20
+    dist, _ = spark_clusters(spark, groups, 0.3)
+    assert dist[("2024-01-01", 1)] == whole
+    tied = {("2024-01-02", 2): {i: np.eye(6)[i % 6] + np.eye(6)[(i * 7 + 1) % 6] * (i % 3) for i in range(40)}}
+    local, _ = spark_clusters(spark, tied, 0.3, local_max=1000)
+    assert local[("2024-01-02", 2)] == rounds(tied[("2024-01-02", 2)], 0.3)[0]
+    assert spark_clusters(spark, tied, 0.3)[0] == local
+
+
+def test_copies_are_one_node(spark):
+    """3,000 copies of a headline and one other article: two nodes, no pair."""
+    rows = [("2024-01-01", 1, i) for i in range(3001)]
+    members = spark.createDataFrame(rows, "digest_date string, part int, index long")
+    vecs = members.select("index", F.when(F.col("index") < 3000, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(3)))
+                          .alias("bag"), F.when(F.col("index") < 3000, F.array(F.lit(1.0), F.lit(0.0)))
+                          .otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vec"))
+    _, nodes = clusters.view_nodes(members, vecs)
+    assert sorted((r["index"], r["copies"]) for r in nodes.collect()) == [(0, 3000), (3000, 1)]
+    for local_max in (0, 2000):
+        got = clusters.view_stories(members, vecs, local_max=local_max)
+        assert {(r["cid"], r["size"], r["label"]): r["count"] for r in got.groupBy("cid", "size", "label").count().collect()} \
+            == {(0, 3000, 1): 3000, (3000, 1, 2): 1}
+
+
+def test_weighted_copies_count_as_articles(spark):
+    """Nodes that weigh several articles merge as their articles would."""
+    rng = np.random.default_rng(11)
+    base = {i: rng.normal(size=3) for i in range(12)}
+    rows, vec_rows = [], []
+    for i, v in base.items():
+        for k in range(1 + i % 4):
+            rows.append(("2024-01-01", 1, i * 10 + k))
+            vec_rows.append((i * 10 + k, [i], [float(x) for x in v]))
+    members = spark.createDataFrame(rows, "digest_date string, part int, index long")
+    vecs = spark.createDataFrame(vec_rows, "index long, bag array<int>, vec array<double>")
+    want = {frozenset(i for n in c for i in [r[2] for r in rows if r[2] // 10 == n // 10])
+            for c in rounds({i * 10: v for i, v in base.items()}, 0.3)[0]}
+    for local_max in (0, 2000):
+        got: dict[int, set] = {}
+        for r in clusters.view_stories(members, vecs, local_max=local_max).collect():
+            got.setdefault(r["cid"], set()).add(r["index"])
+        assert {frozenset(c) for c in got.values()} == want
+
+
 def test_invariants_on_fixture(spark):
-    """Every in-cluster pair is an edge (< tau); no two clusters of a slot
-    could still merge; independent of the number of shuffle partitions."""
+    """Every in-cluster pair of nodes is an edge (< tau); no two clusters of a
+    slot could still merge; independent of the number of shuffle partitions."""
     from newsweave.plans import pipeline as pl
     d = "/root/testdata/sf0.001"
     sa = pl.build_story_articles(spark, d)
     edges = pl.pairs(spark, d)
-    members = sa.select(*KEYS, "index", "cid", "size")
+    linked, nodes = clusters.view_nodes(pl.view_articles(spark, d), pl.headline_vectors(spark, d))
+    assert linked.join(sa.select(*KEYS, "index", "cid"), [*KEYS, "index"]).groupBy(*KEYS, "node") \
+        .agg(F.count_distinct("cid").alias("n")).where("n > 1").count() == 0
+    members = nodes.select(*KEYS, "index").join(sa.select(*KEYS, "index", "cid"), [*KEYS, "index"])
+    members = members.join(members.groupBy(*KEYS, "cid").agg(F.count("*").alias("size")), [*KEYS, "cid"])
     m2 = members.select(*KEYS, F.col("index").alias("b"), F.col("cid").alias("cid_b"))
     same = (members.join(m2, KEYS).where((F.col("cid") == F.col("cid_b")) & (F.col("index") < F.col("b")))
             .select(*KEYS, F.col("index").alias("a"), "b"))

@@ -12,12 +12,36 @@ def plan(df) -> str:
 
 def test_range_filter_reaches_the_scan(spark):
     p = plan(Q.q_scan_range(spark, SF_SMALL))
-    assert "GreaterThanOrEqual(ts,2024-01-10T07:00)" in p and "LessThan(ts,2024-01-12T12:00)" in p
+    assert "GreaterThanOrEqual(date,2024-01-10T07:00)" in p and "LessThan(date,2024-01-12T12:00)" in p
+    assert "PartitionFilters: [isnotnull(digest_date" in p            # only the slots of the range
 
 
 def test_scan_reads_only_needed_columns(spark):
     p = plan(Q.q_scan_range(spark, SF_SMALL))
-    assert "ReadSchema: struct<doc_id:bigint,source:string>" in p     # no document text
+    assert "ReadSchema: struct<agency:string,index:bigint,date:timestamp_ntz>" in p     # no text
+    assert p.count("FileScan") == 1
+
+
+def test_slot_range_is_one_scan(spark):
+    p = plan(Q.q_slot_range(spark, SF_SMALL))
+    assert p.count("FileScan") == 1 and "GreaterThanOrEqual(date" in p
+
+
+def test_stories_never_read_the_texts_again(spark):
+    for fn in (Q.q_digest_lines, Q.q_digest_text, Q.q_day_digest, Q.q_cluster_links, Q.q_token_vectors):
+        assert "documents.parquet" not in plan(fn(spark, SF_SMALL))
+
+
+def test_summaries_deal_the_texts_once(spark):
+    from newsweave.operators.summarise import summaries
+    p = plan(summaries(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+    assert p.count("Exchange hashpartitioning") <= 2 and "Exchange hashpartitioning(doc_id#" in p
+
+
+def test_one_read_of_the_texts_to_train(spark):
+    from newsweave.operators.classify import train_nb
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    assert "FileScan" in plan(train_nb(docs, labels).table) and "documents.parquet" not in plan(train_nb(docs, labels).table)
 
 
 def test_top_n_is_limited_before_the_shuffle(spark):

@@ -1,32 +1,18 @@
-"""Size-guarded helpers: spreading small scans, broadcasting small sides."""
+"""Size-guarded helpers: broadcasting small sides, shared folders, tables by
+content."""
 
-from newsweave.session import broadcast_if_small, estimated_bytes, read_table, spread_small
-
-from conftest import SF_SMALL
+import pytest
 
+from newsweave import session
+from newsweave.session import broadcast_if_small, estimated_bytes, materialised
 
-def _plan(df) -> str:
-    return df._jdf.queryExecution().optimizedPlan().toString()
+from conftest import SF_SMALL
 
 
 def _analyzed(df) -> str:
     return df._jdf.queryExecution().analyzed().toString()
 
 
-def test_small_text_scan_is_spread_large_is_not(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    spread = spread_small(docs, "doc_id")
-    assert "RepartitionByExpression" in _plan(spread)
-    kept = spread_small(docs, "doc_id", max_bytes=0)          # "large": above the guard
-    assert "RepartitionByExpression" not in _plan(kept)
-    assert spread.count() == docs.count()
-
-
-def test_read_table_spreads_only_text_tables(spark):
-    assert "RepartitionByExpression" in _plan(read_table(spark, SF_SMALL, "documents"))
-    assert "RepartitionByExpression" not in _plan(read_table(spark, SF_SMALL, "events"))
-
-
 def test_broadcast_only_behind_the_size_check(spark):
     small = spark.read.parquet(f"{SF_SMALL}/region.parquet")
     assert 0 < estimated_bytes(small) < 1 << 20
@@ -35,3 +21,39 @@ def test_broadcast_only_behind_the_size_check(spark):
     # a join estimate that overflows a long is reported as "huge", not an error
     big = spark.range(10**6).crossJoin(spark.range(10**6)).crossJoin(spark.range(10**6))
     assert estimated_bytes(big) >= 1 << 40
+
+
+class _Cluster:
+    """A session on a cluster without a shared folder."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return _Cluster.conf
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(_Cluster)
+
+
+def test_new_data_under_a_path_is_a_new_table(spark, tmp_path):
+    def total():
+        return materialised(spark, str(tmp_path), "t", ["numbers"],
+                            lambda: spark.read.parquet(f"{tmp_path}/numbers.parquet")).count()
+
+    spark.range(5).write.parquet(f"{tmp_path}/numbers.parquet")
+    assert total() == total() == 5
+    spark.range(3).write.mode("append").parquet(f"{tmp_path}/numbers.parquet")
+    assert total() == 8

@@ -4,6 +4,7 @@ same rows as the batch transform of the same files."""
 from pyspark.sql import functions as F
 
 from newsweave import fixtures as fx
+from newsweave.plans import queries as Q
 from newsweave.session import shared_path
 from newsweave.sources import messages as msg
 from newsweave.streaming import ingest, slots
@@ -12,33 +13,58 @@ from conftest import SF_SMALL
 
 
 def test_stream_ingest_equals_batch(spark):
-    pages = fx.message_pages(spark, SF_SMALL)
-    streamed = ingest.stream_ingest(spark, pages, max_files=2)
+    pages, registry, model = fx.message_pages(spark, SF_SMALL), fx.agencies(spark, SF_SMALL), Q._model(spark, SF_SMALL)
+    streamed = ingest.stream_ingest(spark, pages, model, registry, max_files=7)
     path = msg.land_payloads(pages, shared_path(spark, "landing-batch"))
-    batch = ingest.to_articles(msg.read_messages(spark, path))
-    cols = ["agency", "index", "date", "title", "digest_date", "part", "first_link"]
-    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
-    b = sorted(tuple(r) for r in batch.select(*cols).collect())
+    batch = ingest.to_articles(msg.active_sources(msg.read_messages(spark, path), registry), model)
+    cols = ["agency", "index", "date", "title", "short_news", "digest_date", "part", "first_link", "category"]
+    a = sorted((tuple(r) for r in streamed.select(*cols).collect()), key=repr)
+    b = sorted((tuple(r) for r in batch.select(*cols).collect()), key=repr)
     assert a == b and len(a) > 0
 
 
 def test_stream_rerun_processes_only_new_files(spark):
     """A second availableNow run over the same checkpoint adds nothing."""
-    pages = fx.message_pages(spark, SF_SMALL)
+    pages, registry, model = fx.message_pages(spark, SF_SMALL), fx.agencies(spark, SF_SMALL), Q._model(spark, SF_SMALL)
     landing = ingest.land(pages, shared_path(spark, "landing-rerun"))
     table, ckpt = shared_path(spark, "news-rerun"), shared_path(spark, "ckpt-rerun")
 
     def run():
-        def write(batch, _):
-            ingest.to_articles(batch).write.mode("append").parquet(table)
-        ingest._run(ingest.message_stream(spark, landing).writeStream.foreachBatch(write)
-                    .option("checkpointLocation", ckpt))
+        ingest.run_ingest(spark, landing, table, ckpt, model, registry)
         return spark.read.parquet(table).count()
 
     first = run()
     assert run() == first > 0
 
 
+def posts(spark, ids, agency="src0"):
+    day = 1705000000
+    return spark.createDataFrame(
+        [(agency, "p", f'{{"messages":[{{"id":{i},"date":{day + i * 86400},"message":"m{i}"}}]}}') for i in ids],
+        "channel string, page string, payload string")
+
+
+def test_old_unseen_posts_survive_and_repeated_ones_do_not(spark):
+    waves = [posts(spark, [20, 21, 21]), posts(spark, [20, 22]), posts(spark, [2, 3, 20, 22]).unionByName(
+        posts(spark, [20], "src1"))]
+    out = ingest.stream_dedup(spark, waves)
+    assert sorted((r["agency"], r["index"]) for r in out.collect()) == \
+        [("src0", i) for i in (2, 3, 20, 21, 22)] + [("src1", 20)]
+
+
+def test_a_retried_batch_adds_nothing(spark):
+    """The last batch again, as after a failure before its commit."""
+    landing, table, ckpt = (shared_path(spark, n) for n in ("landing", "retry", "ckpt"))
+    for ids in ([1, 2], [2, 3]):
+        (posts(spark, ids).select("channel", F.from_json("payload", msg.PAYLOAD).alias("p")).select("channel", "p.messages")
+         .write.mode("append").partitionBy("channel").json(landing))
+        ingest.run_dedup(spark, landing, table, ckpt)
+    spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/1").getFileSystem(spark._jsc.hadoopConfiguration()) \
+        .delete(spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/1"), False)
+    ingest.run_dedup(spark, landing, table, ckpt)
+    assert sorted(r["index"] for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
 def test_hourly_rollup_equals_batch_slots(spark):
     from newsweave.functions.time import digest_date, slot_part
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")

@@ -91,8 +91,8 @@ def test_digest_lines_ranks_and_numbers(spark):
                  for r in digest.digest_lines(st, settings).collect())
     assert got == [(1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 2), (2, 1, 2, 4)]
     people = spark.createDataFrame([(1, "Ann"), (2, "Bob")], "user_id long, first_name string")
-    lines = digest.digest_lines(st, settings)
-    texts = {r["user_id"]: r["text"] for r in digest.digest_text(lines, people, fx.categories(spark)).collect()}
+    texts = {r["user_id"]: r["text"] for r in
+             digest.digest_text(st, settings, people, fx.categories(spark)).collect()}
     assert texts[2] == ("Bob, hello!\n\nYour morning digest for\n01 January 2024:\n"
                         "\nV 1. Views:\n2. View story\n4. Tiny view story\n")
 
@@ -118,3 +118,38 @@ def test_incremental_high_water_and_new_source(spark):
     assert hw == {"a": 3}                       # newest date, not largest id
     got = sorted((r["agency"], r["index"]) for r in msg.incremental(incoming, stored).collect())
     assert got == [("a", 4), ("b", 1)]          # empty body dropped; unseen source starts at 0
+
+
+def test_user_events_follow_the_state(spark):
+    log = log_df(spark, [(1, T0, 1, True, 2, *flags("view")), (2, T0, 2, False, 4, *flags("click"))])
+    day = lambda n: T0 + dt.timedelta(days=n)
+    commands = spark.createDataFrame([
+        (10, 1, day(1), "subscribe"), (11, 1, day(2), "unsubscribe"), (12, 1, day(3), "unsubscribe"),
+        (13, 1, day(4), "subscribe"), (20, 2, day(1), "subscribe"), (30, 3, day(1), "unsubscribe"),
+        (31, 3, day(2), "subscribe"), (32, 3, day(3), "subscribe"), (33, 3, day(4), "unsubscribe")],
+        "request_id long, user_id long, sent_at timestamp_ntz, command string")
+    got = {r["seq"]: (r["action"], r["is_subscribed"], r["news_amount"]) for r in
+           users.user_events(commands, log, fx.default_settings(spark)).collect()}
+    n = fx.DEFAULT_NEWS_AMOUNT
+    assert got == {11: ("unsubscribe", False, 2), 13: ("resubscribe", True, 2), 20: ("resubscribe", True, 4),
+                   31: ("insert", True, n), 33: ("unsubscribe", False, n)}
+
+
+def test_day_digest_serves_whole_days(spark):
+    st = spark.createDataFrame([
+        ("2024-01-01", 0, 1, 5, "click", "Day click"), ("2024-01-01", 0, 2, 3, "click", "Second click"),
+        ("2024-01-01", 2, 1, 9, "click", "Slot click"), ("2024-01-02", 0, 1, 5, "view", "Other day")],
+        "digest_date string, part int, label long, size long, category string, title string")
+    st = st.withColumn("digest_date", F.to_date("digest_date"))
+    settings = spark.createDataFrame([(1, 1, ["click"]), (2, 2, ["view", "click"])],
+                                     "user_id long, news_amount int, categories array<string>")
+    req = spark.createDataFrame([(7, 1, "2024-01-01"), (8, 2, "2024-01-01"), (9, 2, "2024-01-05")],
+                                "request_id long, user_id long, digest_date string") \
+        .withColumn("digest_date", F.to_date("digest_date"))
+    lines = digest.day_digest(req, settings, st)
+    assert sorted((r["request_id"], r["category_no"], r["rank"], r["title"]) for r in lines.collect()) == \
+        [(7, 1, 1, "Day click"), (8, 2, 1, "Day click"), (8, 2, 2, "Second click")]
+    people = spark.createDataFrame([(1, "Ann")], "user_id long, first_name string")
+    texts = {r["request_id"]: r["text"] for r in digest.day_digest_text(lines, people, fx.categories(spark)).collect()}
+    assert texts[7].startswith("Ann, hello!\n\nYour digest for\n01 January 2024:\n\nC 1. Clicks:\n1. Day click\n")
+    assert texts[8].startswith("Reader, hello!") and texts[8].count("\n") == texts[7].count("\n") + 1
