@@ -29,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .common import shared_path, written
 
 #: Runs that are not one single blank already.
@@ -102,9 +103,11 @@ def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     first = hits.where(F.col("place") == F.col("keep_place")).select("digest", F.col("norm").alias("first_norm"))
     checked = written(hits.join(first, "digest").withColumn("same", F.col("norm") == F.col("first_norm"))
                       .withColumn("norm", F.when(~F.col("same"), F.col("norm"))).drop("first_norm"), "dedup-hits")
-    sizes = checked.where("same").groupBy("digest").agg(F.count("*").alias("group_size"))
-    equal = checked.where("same").join(sizes, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"), "text_sha256", "place")
+    # All but the documents that differ are the group; those are few or none.
+    differ = checked.where("not same").groupBy("digest").agg(F.count("*").alias("differ"))
+    equal = checked.where("same").join(broadcast_if_small(written(differ, "dedup-differ", "snappy")), "digest", "left") \
+        .select("doc_id", "keep_id", (F.col("n") - F.coalesce("differ", F.lit(0))).alias("group_size"),
+                (F.col("place") == F.col("keep_place")).alias("kept"), "text_sha256", "place")
     # Two texts with one digest: grouped by the text itself.
     other = checked.where("not same")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
