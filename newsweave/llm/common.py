@@ -198,30 +198,37 @@ def crc32_shift(crc: int, n_bytes: int, ops: list[list[int]]) -> int:
 PIECE = 1 << 15
 
 
-def to_pieces(vector):
-    """A task's vector of doubles as rows (piece, data)."""
+def to_pieces(vector, dtype: str = "<f8", first: int = 0):
+    """A task's vector as rows (piece, data), numbered from ``first``."""
     import pyarrow as pa
 
     cuts = range(0, len(vector), PIECE)
     return pa.RecordBatch.from_arrays(
-        [pa.array(range(len(cuts)), pa.int32()),
-         pa.array([vector[i:i + PIECE].astype("<f8").tobytes() for i in cuts], pa.binary())], ["piece", "data"])
+        [pa.array(range(first, first + len(cuts)), pa.int32()),
+         pa.array([vector[i:i + PIECE].astype(dtype).tobytes() for i in cuts], pa.binary())], ["piece", "data"])
 
 
-def sum_pieces(pieces: DataFrame, size: int):
-    """The sum of all tasks' vectors: each piece is summed in a task of its
-    own, the driver gets one vector of ``size`` doubles."""
+def sum_pieces(pieces: DataFrame, sizes: list[tuple[int, str]]) -> list:
+    """The sums of all tasks' vectors, given as (length, type); vector i has
+    the piece numbers from ``i << 16``. Each piece is summed in a task of its
+    own, in doubles; the driver gets one vector of each kind."""
     import numpy as np
 
+    kinds = [kind for _, kind in sizes]
+
     def add(key, table):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(x, "<f8") for x in table["data"].to_pylist())
+        kind = kinds[key[0].as_py() >> 16]
+        total = np.zeros(len(table["data"][0].as_py()) // np.dtype(kind).itemsize)
+        for x in table["data"].to_pylist():
+            total += np.frombuffer(x, kind)
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(size)
+    out = [np.zeros(n) for n, _ in sizes]
     for r in pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect():
-        out[r["piece"] * PIECE:(r["piece"] + 1) * PIECE] = np.frombuffer(r["data"], "<f8")
+        at = (r["piece"] & 0xFFFF) * PIECE
+        out[r["piece"] >> 16][at:at + PIECE] = np.frombuffer(r["data"], "<f8")
     return out
 
 

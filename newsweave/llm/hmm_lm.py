@@ -275,11 +275,13 @@ def round_of(train: DataFrame, m: Model) -> tuple[Model, float]:
                     held, n = [], 0
         if held:
             add()
-        yield to_pieces(np.concatenate([[ll], start, move.ravel(), emit.ravel()]))
+        yield to_pieces(np.concatenate([[ll], start, move.ravel()]))
+        yield to_pieces(emit.ravel(), "<f4", 1 << 16)  # the bulk; summed in doubles
 
-    total = sum_pieces(train.select("ids").mapInArrow(run, "piece int, data binary"), 1 + k + k * k + size * k)
-    start, move, emit = np.split(total[1:], [k, k + k * k])
-    return Model(start, move.reshape(k, k), emit.reshape(size, k)), float(total[0])
+    small, emit = sum_pieces(train.select("ids").mapInArrow(run, "piece int, data binary"),
+                             [(1 + k + k * k, "<f8"), (size * k, "<f4")])
+    start, move = np.split(small[1:], [k])
+    return Model(start, move.reshape(k, k), emit.reshape(size, k)), float(small[0])
 
 
 def normalised(counts: Model, v: Vocabulary) -> Model:

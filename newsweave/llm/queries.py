@@ -98,4 +98,56 @@ QUERIES = {f.__name__: f for f in (
     op1_hmm_lm, op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
     op8_url_rules,
     op9_line_rules, op10_online_packing)}
-ORACLE_SQL: dict[str, str] = {}
+# ---------------------------------------------------------------------- SQL
+# DuckDB SQL where SQL can express the operator. The others (models, tokenizer
+# files, hash thresholds, packing, scheduling) are tested by brute force, round
+# trips and held-out accuracy in tests/llm.
+
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP6 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)"""
+
+_OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x=f"translate(coalesce(text, ''), {_A_TO_Z})")} AS l FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(l) = 0 THEN CAST([] AS VARCHAR[])
+        WHEN len(l) < 4 THEN [array_to_string(l, ' ')]
+        ELSE list_transform(range(1, len(l) - 2), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] || ' ' || l[i + 3])
+      END)) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s
+          UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b)
+SELECT s.doc_id, len(s.g) AS n_shingles,
+       CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY s.g) END AS class_id, c.component_id
+FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+_OP9 = rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, {_WORDS.format(x="text")} AS l, list_filter(string_split(text, chr(10)),
+        lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+win AS (SELECT doc_id, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS x
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(l) AS n_words, CAST(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, lines
+      FROM w LEFT JOIN covered c USING (doc_id)),
+li AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[ 	-]+', ' ', 'g')) AS line, len({_WORDS.format(x="x")}) AS words
+       FROM (SELECT doc_id, source, unnest(lines) AS x FROM m)),
+hosts AS (SELECT source, count(*) AS docs FROM t GROUP BY source),
+hot AS (SELECT source, line FROM li JOIN hosts h USING (source) GROUP BY source, line, h.docs
+        HAVING count(DISTINCT doc_id) > 100 AND count(DISTINCT doc_id) > h.docs * 0.0005),
+gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM li JOIN hot USING (source, line) GROUP BY doc_id),
+j AS (SELECT m.*, coalesce(g.n, 0) AS removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+      FROM m LEFT JOIN gone g USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - removed_words >= n_words * 0.5 AS kept, removed_words FROM j"""
+
+ORACLE_SQL: dict[str, str] = {"op6_stream_dedup": _OP6, "op7_trie_join": _OP7, "op9_line_rules": _OP9}

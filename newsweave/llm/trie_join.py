@@ -125,7 +125,7 @@ def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
         if total.any():
             yield to_pieces(total)
 
-    return sum_pieces(docs.select("text").mapInArrow(run, "piece int, data binary"), 1 << ORDER_BITS)
+    return sum_pieces(docs.select("text").mapInArrow(run, "piece int, data binary"), [(1 << ORDER_BITS, "<f8")])[0]
 
 
 def order_levels(counts: np.ndarray) -> np.ndarray:
