@@ -1,14 +1,19 @@
 """N-gram Jaccard join by prefix trees.
 
 A document's set is its distinct word shingles as 64-bit keys in one global
-order: shingles of frequent hash buckets last (the buckets' counts over the
-whole corpus are one small table), the rest by hash. Equal sets are one class,
-so exact copies cost nothing further.
-
-Candidates: two sets of Jaccard t or more share one of their first
-``n - ceil(t * n) + 1`` keys (their prefix). Classes meet on these keys by
-equi-joins; keys of a single class drop out first. Of every key, the first
-class is a centre and meets the others.
+order: shingles of frequent hash buckets last, before them by how frequent
+their words are, then by hash (counts of hashed shingles and words over the
+whole corpus are two tables of fixed size). So the first keys of a set are
+those that few other documents hold. Equal sets are one class; exact copies
+cost nothing further.
+
+Candidates: two sets of Jaccard t or more share at least 1 + e of their first
+``n - ceil(t * n) + 1 + e`` keys (their prefix; e is ``EXTRA`` per cent of the
+smaller set). Classes meet on these keys by equi-joins; keys of a single class
+drop out first. A key that more than ``COLD`` classes share is hot, as those
+of a passage that many documents quote. A class with at most e hot keys leaves
+them aside: every class that it links with shares a cold one too. Of every
+key, the first class is a centre and meets the others.
 
 The tree join: the sets that meet one centre are stored in a path-compressed
 prefix tree, and the centre's set walks it once. Sets with a common beginning
@@ -46,12 +51,16 @@ from .words import Words, shingles
 
 SHINGLE = 4
 PERCENT = 85
+#: Additional keys of a prefix, in per cent of the set.
+EXTRA = 5
+#: Classes that share a key before it counts as hot.
+COLD = 16
 #: log2 of the hash buckets whose counts order the shingles.
 ORDER_BITS = 18
 BLOCK = 512
 #: Texts handled at once, in bytes.
 _CHUNK = 4 << 20
-_LEVEL = np.uint64(59)
+_LEVEL, _RARITY, _HASH = np.uint64(59), np.uint64(52), np.uint64(12)
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -60,7 +69,13 @@ def needed(a, b, percent: int = PERCENT):
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (-(-n * percent // 100)) + 1
+    return min(n, n - (-(-n * percent // 100)) + 1 + n * EXTRA // 100)
+
+
+def spare_keys(n: str, percent: int = PERCENT) -> str:
+    """SQL: a set of n keys shares more prefix keys than this with any set that
+    it links with (the smallest has ``percent`` of its keys)."""
+    return f"ceil({n} * {percent} / 100) * {EXTRA} div 100"
 
 
 def linked(overlap: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -113,33 +128,44 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT,
 
 # ------------------------------------------------------------- sets
 
-def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
-    """How many shingles of the corpus fall in each hash bucket: partial
-    counts of each task, summed in pieces; the table has a fixed size."""
+def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> list[np.ndarray]:
+    """How many shingles and how many words of the corpus fall in each hash
+    bucket: partial counts of each task, summed in pieces."""
+    size = 1 << ORDER_BITS
 
     def run(batches: Iterator) -> Iterator:
-        total = np.zeros(1 << ORDER_BITS)
+        total = np.zeros((2, size))
         for batch in batches_of(batches, _CHUNK):
-            s = shingles(Words(batch.column(0)), n)[0]
-            total += np.bincount((s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+            w = Words(batch.column(0))
+            for k, h in enumerate((shingles(w, n)[0], w.hashes)):
+                total[k] += np.bincount(_bucket(h), minlength=size)
         if total.any():
-            yield to_pieces(total)
+            yield to_pieces(total[0], "<f4")
+            yield to_pieces(total[1], "<f4", 1 << 16)
+
+    return sum_pieces(docs.select("text").mapInArrow(run, "piece int, data binary"), [(size, "<f4")] * 2)
+
 
-    return sum_pieces(docs.select("text").mapInArrow(run, "piece int, data binary"), [(1 << ORDER_BITS, "<f8")])[0]
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def order_levels(counts: np.ndarray) -> np.ndarray:
-    """A bucket's level: 0 up to twice the mean count, one more at each
-    doubling (31 at most)."""
-    mean = max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint64)
+class Order:
+    """The global order: a shingle's level is 0 up to twice the mean count of a
+    bucket and one more at each doubling (31 at most); a word weighs 2 for
+    each doubling of its bucket's count above the mean."""
 
+    def __init__(self, counts: list[np.ndarray]):
+        above = lambda c: np.log2(np.maximum(c, 1) / max(1.0, c.mean()))
+        self.level = np.clip(np.floor(above(counts[0])), 0, 31).astype(np.uint64)
+        self.weight = np.clip(np.floor(2 * above(counts[1])), 0, 40).astype(np.int64)
 
-def ordered_sets(column, levels: np.ndarray, n: int) -> list[np.ndarray]:
-    """Each text's distinct keys, ascending."""
-    s, upto = shingles(Words(column), n)
-    keys = (levels[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] << _LEVEL) | (s >> np.uint64(5))
-    return [np.unique(keys[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    def sets(self, column, n: int) -> list[np.ndarray]:
+        """Each text's distinct keys, ascending."""
+        w = Words(column)
+        s, upto, common = shingles(w, n, self.weight[_bucket(w.hashes)])
+        keys = (self.level[_bucket(s)] << _LEVEL) | (np.minimum(common, 127).astype(np.uint64) << _RARITY) | (s >> _HASH)
+        return [np.unique(keys[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def signature(keys: np.ndarray) -> bytes:
@@ -157,13 +183,13 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     """doc_id, n_shingles, class_id (least id of equal sets) and component_id
     (least id of the component) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    levels = order_levels(bucket_counts(docs, n))
+    order = Order(bucket_counts(docs, n))
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, _CHUNK):
-            rows = ordered_sets(batch.column(1), levels, n)
+            rows = order.sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(k) for k in rows], pa.int64()),
                  pa.array([signature(k) if len(k) else None for k in rows], pa.binary()),
@@ -187,12 +213,22 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
                  pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in got]))], ["key", "node"])
 
     every = beginnings.select("node", "keys").mapInArrow(keys, "key long, node long")
-    shared = every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("centre")).where("of > 1")
-    met = written(every.join(shared.select("key", "centre"), "key"), "keys")
+    shared = written(every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("centre")).where("of > 1"),
+                     "shared", "snappy")
+    met = written(every.join(broadcast_if_small(shared), "key"), "keys", "snappy")
+    # Classes with few hot keys leave those aside.
+    sizes = beginnings.select("node", "n")
+    hot = met.where(F.col("of") > COLD).groupBy("node").agg(F.count("*").alias("hot")).join(sizes, "node") \
+        .where(F.expr(f"hot <= {spare_keys('n', percent)}")).select("node")
+    hot = broadcast_if_small(written(hot, "few-hot", "snappy").withColumn("few", F.lit(True)))
+    met = met.join(hot, "node", "left").where((F.col("of") <= COLD) | F.col("few").isNull())
+    met = written(met.drop("few", "of", "centre"), "met", "snappy")
+    centres = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("of")).where("of > 1")
+    met = met.join(centres.select("key", "centre"), "key")
 
     def verified(pairs: DataFrame) -> DataFrame:
         maybe = written(_walk(beginnings, pairs, percent).where("linked"), "maybe", "snappy")
-        return written(_walk(_full_sets(docs, classes, maybe, levels, n), maybe, percent).where("linked")
+        return written(_walk(_full_sets(docs, classes, maybe, order, n), maybe, percent).where("linked")
                        .select("a", "b"), "verified", "snappy")
 
     first = written(met.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
@@ -216,7 +252,7 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
+def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, n: int) -> DataFrame:
     """node, n, keys: the whole sets of the classes in ``pairs``, made again
     from their texts."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -227,7 +263,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: np
 
         done = set()  # repeated rows: once for each task
         for batch in batches_of(batches, _CHUNK):
-            rows, nodes = ordered_sets(batch.column(2), levels, n), batch.column(0).to_pylist()
+            rows, nodes = order.sets(batch.column(2), n), batch.column(0).to_pylist()
             keep = []
             for i, (k, s) in enumerate(zip(rows, batch.column(1).to_pylist(), strict=True)):
                 if nodes[i] not in done and signature(k) == s:

@@ -75,26 +75,30 @@ class Words:
         self.hashes = mixed(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of n words (a shorter text is one window) and
-    where each row's begin, one more at the end. Windows repeat as in the
-    text."""
+def shingles(words: Words, n: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of n words (a shorter text is one window), where
+    each row's begin, one more at the end, and the sum of the ``weight`` of
+    each window's words. Windows repeat as in the text."""
     h, first = words.hashes, words.first
+    weight = np.zeros(len(h), np.int64) if weight is None else weight
     sizes = np.diff(first)
     made = np.where(sizes >= n, sizes - n + 1, (sizes > 0).astype(np.int64))
     upto = np.concatenate([[0], np.cumsum(made)])
-    out = np.zeros(upto[-1], np.uint64)
+    out, total = np.zeros(upto[-1], np.uint64), np.zeros(upto[-1], np.int64)
     full = np.flatnonzero(sizes >= n)
     if len(full):
         inside = np.arange(made[full].sum()) - np.repeat(np.cumsum(made[full]) - made[full], made[full])
-        at = np.repeat(first[full], made[full]) + inside
+        at, to = np.repeat(first[full], made[full]) + inside, np.repeat(upto[full], made[full]) + inside
         s = h[at]
         for k in range(1, n):
             s = mixed(s + np.uint64(k)) + h[at + k]
-        out[np.repeat(upto[full], made[full]) + inside] = mixed(s + np.uint64(n))
+        out[to] = mixed(s + np.uint64(n))
+        sums = np.concatenate([[0], np.cumsum(weight)])
+        total[to] = sums[at + n] - sums[at]
     for i in np.flatnonzero((sizes > 0) & (sizes < n)):
         s = h[first[i]:first[i] + 1]
         for k in range(1, int(sizes[i])):
             s = mixed(s + np.uint64(k)) + h[first[i] + k:first[i] + k + 1]
         out[upto[i]:upto[i] + 1] = mixed(s + np.uint64(1000 + int(sizes[i])))
-    return out, upto
+        total[upto[i]] = weight[first[i]:first[i + 1]].sum()
+    return out, upto, total
