@@ -26,7 +26,8 @@ blocks of ``BLOCK`` sets.
 
 After the linked classes are joined into components, a second round forms the
 pairs of classes that share a key, lie in different components, and have not
-met. So no link between components is missed, and groups of near copies cost
+met; of those, the tree join sees the ones whose shared prefix keys, counted
+in full, leave a link possible. So no link between components is missed, and groups of near copies cost
 their size, not its square: within a component nothing is left to find.
 
 Nulls: null or empty text, or one without words, has an empty set, links with
@@ -72,6 +73,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - (-(-n * percent // 100)) + 1 + n * EXTRA // 100)
 
 
+def prefix_sql(n: str, percent: int = PERCENT) -> str:
+    return f"least({n}, {n} - ceil({n} * {percent} / 100) + 1 + {n} * {EXTRA} div 100)"
+
+
 def spare_keys(n: str, percent: int = PERCENT) -> str:
     """SQL: a set of n keys shares more prefix keys than this with any set that
     it links with (the smallest has ``percent`` of its keys)."""
@@ -218,11 +223,13 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     met = written(every.join(broadcast_if_small(shared), "key"), "keys", "snappy")
     # Classes with few hot keys leave those aside.
     sizes = beginnings.select("node", "n")
-    hot = met.where(F.col("of") > COLD).groupBy("node").agg(F.count("*").alias("hot")).join(sizes, "node") \
-        .where(F.expr(f"hot <= {spare_keys('n', percent)}")).select("node")
-    hot = broadcast_if_small(written(hot, "few-hot", "snappy").withColumn("few", F.lit(True)))
-    met = met.join(hot, "node", "left").where((F.col("of") <= COLD) | F.col("few").isNull())
-    met = written(met.drop("few", "of", "centre"), "met", "snappy")
+    few = written(met.where(F.col("of") > COLD).groupBy("node").agg(F.count("*").alias("hot")).join(sizes, "node")
+                  .where(F.expr(f"hot <= {spare_keys('n', percent)}")).select("node", "hot"), "few-hot", "snappy")
+    met = met.join(broadcast_if_small(few), "node", "left").where((F.col("of") <= COLD) | F.col("hot").isNull())
+    met = written(met.select("key", "node"), "met", "snappy")
+    facts = written(sizes.join(few, "node", "left").select(
+        "node", "n", F.expr(f"n - {prefix_sql('n', percent)}").alias("behind"), "hot"),
+        "facts", "snappy")
     centres = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("of")).where("of > 1")
     met = met.join(centres.select("key", "centre"), "key")
 
@@ -241,7 +248,15 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     left = written(known.join(apart.select("key"), "key", "left_semi"), "open", "snappy")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "root")]) for i in (1, 2))
     rest = x.join(y, "key").where("node1 < node2 and root1 <> root2") \
-        .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        .groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("c"))
+    # What a pair shares in its prefixes and all that is behind the prefix that ends first: less than the
+    # bound is no link. Shared keys that were set aside are at most the hot ones of a class that did so
+    # (``hot`` is null where none was; least() passes over nulls).
+    for side in ("a", "b"):
+        rest = rest.join(broadcast_if_small(facts.select(*[F.col(x).alias(f"{x}_{side}") for x in facts.columns])),
+                         F.col(side) == F.col(f"node_{side}"))
+    rest = rest.where(F.expr(f"(c + coalesce(least(hot_a, hot_b), 0) + greatest(behind_a, behind_b)) * {100 + percent} "
+                             f">= (n_a + n_b) * {percent}")).select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(written(rest, "pairs", "snappy")))
     named = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -248,6 +248,30 @@ def test_trie_join_near_copies(spark):
     assert joined(docs, n=2, percent=60) == plain_components(rows, 60, 2)
 
 
+def test_trie_join_hot_passages(spark):
+    """Passages that many documents quote, near copies beyond the limit of
+    cold keys, and chains across both."""
+    rng = np.random.default_rng(9)
+    words_ = [f"w{i}" for i in range(4000)]
+    passages = [list(rng.choice(words_, 40)) for _ in range(3)]
+    rows = []
+    for i in range(60):  # a passage and own words, from hardly any to many
+        own = list(rng.choice(words_, int(rng.integers(0, 200))))
+        rows.append(passages[i % 3] + own)
+    base = list(rng.choice(words_, 120))
+    for _ in range(40):  # one large group of near copies, a few of them further off
+        x = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            x[int(rng.integers(len(x)))] = str(rng.choice(words_))
+        rows.append(x + (passages[0] if rng.random() < 0.2 else []))
+    for _ in range(20):  # containment: a document and the same with up to a fifth more
+        x = list(rng.choice(words_, 100))
+        rows += [x, x + list(rng.choice(words_, int(rng.integers(1, 22))))]
+    docs = [(i, " ".join(map(str, r))) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert joined(df) == plain_components(docs)
+
+
 def test_tree_join():
     rng = np.random.default_rng(6)
     for _ in range(60):
