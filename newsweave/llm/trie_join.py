@@ -13,7 +13,7 @@ smaller set). Classes meet on these keys by equi-joins; keys of a single class
 drop out first. A key that more than ``COLD`` classes share is hot, as those
 of a passage that many documents quote. A class with at most e hot keys leaves
 them aside: every class that it links with shares a cold one too. Of every
-key, the first class is a centre and meets the others.
+key, the class that shares the most keys is a centre and meets the others.
 
 The tree join: the sets that meet one centre are stored in a path-compressed
 prefix tree, and the centre's set walks it once. Sets with a common beginning
@@ -218,8 +218,7 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
                  pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in got]))], ["key", "node"])
 
     every = beginnings.select("node", "keys").mapInArrow(keys, "key long, node long")
-    shared = written(every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("centre")).where("of > 1"),
-                     "shared", "snappy")
+    shared = written(every.groupBy("key").agg(F.count("*").alias("of")).where("of > 1"), "shared", "snappy")
     met = written(every.join(broadcast_if_small(shared), "key"), "keys", "snappy")
     # Classes with few hot keys leave those aside.
     sizes = beginnings.select("node", "n")
@@ -230,8 +229,13 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     facts = written(sizes.join(few, "node", "left").select(
         "node", "n", F.expr(f"n - {prefix_sql('n', percent)}").alias("behind"), "hot"),
         "facts", "snappy")
-    centres = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("of")).where("of > 1")
-    met = met.join(centres.select("key", "centre"), "key")
+    # The centre of a key shares the most keys: of near copies, that is the text they were made from rather
+    # than one of them, and links with most.
+    degree = written(met.groupBy("node").agg(F.count("*").alias("degree")), "degree", "snappy")
+    centres = met.join(broadcast_if_small(degree), "node").groupBy("key").agg(
+        F.max(F.struct("degree", (-F.col("node")).alias("last"))).alias("top"), F.count("*").alias("of")) \
+        .where("of > 1").select("key", (-F.col("top.last")).alias("centre"))
+    met = met.join(centres, "key")
 
     def verified(pairs: DataFrame) -> DataFrame:
         maybe = written(_walk(beginnings, pairs, percent).where("linked"), "maybe", "snappy")
@@ -256,9 +260,14 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
         rest = rest.join(broadcast_if_small(facts.select(*[F.col(x).alias(f"{x}_{side}") for x in facts.columns])),
                          F.col(side) == F.col(f"node_{side}"))
     rest = rest.where(F.expr(f"(c + coalesce(least(hot_a, hot_b), 0) + greatest(behind_a, behind_b)) * {100 + percent} "
-                             f">= (n_a + n_b) * {percent}")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(written(rest, "pairs", "snappy")))
-    named = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+                             f">= (n_a + n_b) * {percent}")).select("a", "b") \
+        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = written(rest, "pairs", "snappy")
+    if rest.take(1):
+        more = verified(rest)
+        if more.take(1):
+            roots = written(components(links.unionByName(more)), "roots", "snappy")
+    named = classes.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = written(named.join(least, "root").select("sig", "class_id", "component_id"), "named", "snappy")
     return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(
