@@ -204,6 +204,8 @@ def _view_stories_fn(keys: list[str], threshold: float):
     import numpy as np
     import pandas as pd
 
+    from .vectors import rounded
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index", kind="stable")
         idx = pdf["index"].to_numpy()
@@ -217,7 +219,7 @@ def _view_stories_fn(keys: list[str], threshold: float):
             ok = norm > 0
             pos = np.flatnonzero(has)[ok]
             u = mat[ok] / norm[ok][:, None]
-            d = np.round(1.0 - u @ u.T, 6)
+            d = rounded(1.0 - u @ u.T)
             dist = np.where(d < threshold, d, np.inf)
             cid[pos] = idx[pos][merge_dense(dist, idx[pos])[0]]
         uniq, inverse = np.unique(cid, return_inverse=True)

@@ -111,6 +111,14 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             .drop("_norm"))
 
 
+def rounded(d):
+    """Distances to 6 decimals. Halves go up with a margin, so that a distance
+    that is a half in exact arithmetic falls to the same side in any engine."""
+    import numpy as np
+
+    return np.floor(d * 1e6 + 0.501) / 1e6
+
+
 def _block_pairs_fn(keys: list[str], threshold: float):
     """Per (slot, block pair) group: one Gram matrix of the unit vectors, then
     the pairs of the two blocks (a < b) below the threshold."""
@@ -124,7 +132,7 @@ def _block_pairs_fn(keys: list[str], threshold: float):
         idx = pdf["index"].to_numpy()
         blk = pdf["_blk"].to_numpy()
         gram = u @ u.T
-        d = np.round(1.0 - gram, 6)
+        d = rounded(1.0 - gram)
         i, j = np.nonzero(np.triu(d < threshold, k=1))
         if lo != hi:  # only cross-block pairs belong to this group
             keep = blk[i] != blk[j]

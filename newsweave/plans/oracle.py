@@ -196,7 +196,7 @@ FROM members m JOIN norms n USING ("index") WHERE n.nrm > 0 AND m."index" = m.no
 cte("pairs", ["unitv"], f"""
 SELECT * FROM (
   SELECT a.digest_date, a.part, a."index" AS a, b."index" AS b, a.copies AS wa, b.copies AS wb,
-         round(1 - list_dot_product(a.u, b.u), 6) AS d
+         floor((1 - list_dot_product(a.u, b.u)) * 1e6 + 0.501) / 1e6 AS d
   FROM unitv a JOIN unitv b ON a.digest_date = b.digest_date AND a.part = b.part AND a."index" < b."index")
 WHERE d < {THRESHOLD}""")
 # One row per edge of the cluster graph (kind 0) and per merge (kind 1: hi goes
