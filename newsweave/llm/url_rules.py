@@ -25,6 +25,7 @@ same page are as good as any other; none is cut. Empty table: no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 4
 
 
 def after_scheme(url: Column) -> Column:
@@ -81,8 +81,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, page_id: str = "page_id",
-         label_id: str = "doc_id") -> DataFrame:
+         min_confidence: float = MIN_CONFIDENCE, page_id: str = "page_id", label_id: str = "doc_id") -> DataFrame:
     """rule (an id), tokens, confidence, support: rules towards bad pages,
     without those that contain a shorter one."""
     spark = pages.sparkSession
@@ -98,15 +97,19 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     if not known.where("bad").take(1):
         return spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(known.select("items"))
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens)) \
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BAD) \
         .select(F.monotonically_increasing_id().alias("rule"), F.array_sort("antecedent").alias("tokens"),
                 "confidence", "support")
-    rules = written(rules, "rules", "snappy")
-    # A longer rule is met by its parts, as a page is by a rule.
-    index = rules.select(F.col("rule").alias("short"), F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    holds = rules.select("rule", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(index, "token") \
-        .where("need < n").groupBy("rule", "short", "need").agg(F.count("*").alias("met")).where("met = need")
-    return written(rules.join(holds.select("rule").distinct(), "rule", "left_anti"), "rules-short", "snappy")
+    left, kept = written(rules, "rules", "snappy"), []
+    # Shortest first: a longer rule is met by the parts of a kept one, as a page is by a rule.
+    while (least := left.agg(F.min(F.size("tokens"))).first()[0]) is not None:
+        kept.append(left.where(F.size("tokens") == least))
+        longer = left.where(F.size("tokens") > least)
+        index = kept[-1].select(F.col("rule").alias("short"), F.explode("tokens").alias("token"))
+        holds = longer.select("rule", F.explode("tokens").alias("token")).join(broadcast_if_small(index), "token") \
+            .groupBy("rule", "short").agg(F.count("*").alias("met")).where(F.col("met") == least)
+        left = written(longer.join(holds.select("rule").distinct(), "rule", "left_anti"), "rules-longer", "snappy")
+    return written(reduce(DataFrame.unionByName, kept, left), "rules-short", "snappy")
 
 
 def blocked_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -382,6 +382,25 @@ def test_mined_url_rules(spark):
     assert none.where("verdict = 'allow'").count() == pages.count()
 
 
+def test_mined_rule_of_five_tokens(spark):
+    """Bad only with all of four steps and a query name; in fours half are good."""
+    parts = ("a", "b", "c", "d", "q")
+
+    def url(x):
+        return "https://site.org/" + "/".join(p for p in x if p != "q") + ("?q=1" if "q" in x else "")
+
+    four = [tuple(p for p in parts if p != gone) for gone in parts]
+    rows = [(i, url(x), x == parts) for i, x in enumerate([parts] * 20 + four * 20)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(1000, url(parts) + "&z=2"), (1001, url(four[0]))],
+                                  "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(bad)) for i, _, bad in rows], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine(pages, labels)
+    assert [tuple(r["tokens"]) for r in rules.collect()] == [("name:q", "step:a", "step:b", "step:c", "step:d")]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels, []).collect()}
+    assert all((got[i] == "block") == bad for i, _, bad in rows)
+    assert got[1000] == "block" and got[1001] == "allow"
+
+
 # ---------------------------------------------------------------- no rows
 
 def test_no_rows(spark, documents):
