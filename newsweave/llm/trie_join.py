@@ -28,7 +28,10 @@ After the linked classes are joined into components, a second round forms the
 pairs of classes that share a key, lie in different components, and have not
 met; of those, the tree join sees the ones whose shared prefix keys, counted
 in full, leave a link possible. So no link between components is missed, and groups of near copies cost
-their size, not its square: within a component nothing is left to find.
+their size, not its square: components need no further link within one. With
+``with_links`` the second round takes all pairs of classes that share a key
+and have not met, in one component or not, behind the same bound: every link
+is found, and a group of near copies costs the square of its classes.
 
 Nulls: null or empty text, or one without words, has an empty set, links with
 nothing and is a component of its own. A null id sorts behind all others;
@@ -184,9 +187,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- join
 
 def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
+            text_col: str = "text", with_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, class_id (least id of equal sets) and component_id
-    (least id of the component) of every row."""
+    (least id of the component) of every row; with ``with_links`` also
+    n_links, the number of other classes that the row's class links with."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = Order(bucket_counts(docs, n))
 
@@ -246,13 +250,12 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
                     "pairs", "snappy")
     links = verified(first)
     roots = written(components(links), "roots", "snappy")
-    # Classes of one key that are in different components and have not met.
-    known = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    left = written(known.join(apart.select("key"), "key", "left_semi"), "open", "snappy")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "root")]) for i in (1, 2))
-    rest = x.join(y, "key").where("node1 < node2 and root1 <> root2") \
-        .groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("c"))
+    if with_links:
+        rest = _pairs_of_keys(met)
+    else:
+        # Classes of one key that are in different components and have not met.
+        rest = _pairs_apart(met, roots)
+    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("c"))
     # What a pair shares in its prefixes and all that is behind the prefix that ends first: less than the
     # bound is no link. Shared keys that were set aside are at most the hot ones of a class that did so
     # (``hot`` is null where none was; least() passes over nulls).
@@ -266,14 +269,44 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     if rest.take(1):
         more = verified(rest)
         if more.take(1):
-            roots = written(components(links.unionByName(more)), "roots", "snappy")
+            links = links.unionByName(more)
+            roots = written(components(links), "roots", "snappy")
     named = classes.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = written(named.join(least, "root").select("sig", "class_id", "component_id"), "named", "snappy")
-    return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(least, "root").select("sig", "node", "class_id", "component_id")
+    out = ["doc_id", F.col("n").alias("n_shingles"),
+           F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+           F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if with_links:
+        # Two centres may have met each other from both sides.
+        ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        counts = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        named = named.join(counts, "node", "left")
+        out.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    named = written(named.drop("node"), "named", "snappy")
+    return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(*out)
+
+
+def _pairs_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node1, node2: the classes of each key that are in different
+    components."""
+    known = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    left = written(known.join(apart.select("key"), "key", "left_semi"), "open", "snappy")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "root")]) for i in (1, 2))
+    return x.join(y, "key").where("node1 < node2 and root1 <> root2").select("key", "node1", "node2")
+
+
+def _pairs_of_keys(met: DataFrame) -> DataFrame:
+    """key, node1, node2: all classes of each key, two by two. A key's classes
+    are dealt into blocks of about ``BLOCK``; two blocks meet at a time."""
+    blocks = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(blocks, "key").select("key", "node", "blocks",
+                                           F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = dealt.select("key", F.col("node").alias("node1"), F.col("own").alias("block1"), each.alias("block2"))
+    y = dealt.select("key", F.col("node").alias("node2"), each.alias("block1"), F.col("own").alias("block2"))
+    return x.join(y, ["key", "block1", "block2"]).where("node1 < node2").select("key", "node1", "node2")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, n: int) -> DataFrame:

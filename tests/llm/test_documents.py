@@ -272,6 +272,41 @@ def test_trie_join_hot_passages(spark):
     assert joined(df) == plain_components(docs)
 
 
+def plain_links(rows, percent=85, n=4):
+    """Of each row's set, how many different ones link with it."""
+    sets = [frozenset(s) for s in plain_sets(rows, n)]
+    count = Counter()
+    kinds = [s for s in set(sets) if s]
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                count.update((a, b))
+    return sorted((r[0], count[s]) for r, s in zip(rows, sets, strict=True))
+
+
+@pytest.mark.parametrize("block", [trie_join.BLOCK, 4])
+def test_trie_join_counts_all_links(spark, monkeypatch, block):
+    """Links inside a component too: a chain A-B-C whose ends also link, a
+    large group of near copies and a passage that many quote."""
+    monkeypatch.setattr(trie_join, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, chain = (list(rng.choice(vocabulary, 150)) for _ in range(2))
+    rows = [chain, chain + ["x1"], chain + ["x1", "x2"], chain, [], ["one"]]
+    for _ in range(40):
+        x = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            x[int(rng.integers(len(x)))] = str(rng.choice(vocabulary))
+        rows.append(x)
+    rows += [base[:60] + list(rng.choice(vocabulary, int(rng.integers(5, 80)))) for _ in range(30)]
+    docs = [(i, " ".join(map(str, r))) for i, r in enumerate(rows)]
+    got = trie_join.similar(spark.createDataFrame(docs, "doc_id long, text string"), with_links=True).collect()
+    want = plain_links(docs)
+    assert want[:6] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 0), (5, 0)] and max(n for _, n in want) > 15
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=repr) == plain_components(docs)
+
+
 def test_tree_join():
     rng = np.random.default_rng(6)
     for _ in range(60):
