@@ -13,7 +13,8 @@ is ``und``, score 0, and rejected.
 
 Fitting takes at most about ``fit_rows`` labelled texts of a language, chosen
 by a hash at a rate from the language's row count: a bounded sample as a
-documented parameter. Prediction reads every whole text. Long texts are
+documented parameter; the document frequencies of the idf are counted over all
+labelled texts. Prediction reads every whole text. Long texts are
 counted in slices, so memory is the text and one vector of DIMS.
 
 Nulls: null or empty text is ``und``; rows without language are not fitted.
@@ -133,18 +134,20 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     sample = written(features(train.where(at < rate), text_col, F.col(lang_col)), "langid")
 
+    # Document frequencies are those of all training texts; only the k-means takes the sample.
     def places(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         n = np.zeros(DIMS + 1, np.int64)
-        for batch in batches:
+        for batch in batches_of(batches):
             for x in batch.column(0).to_pylist():
-                n[np.frombuffer(x, "<u2")] += 1
-            n[DIMS] += batch.num_rows
+                if got := counts_of(x):
+                    n[:DIMS] += got[0] > 0
+                    n[DIMS] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1), pa.int32()), pa.array(n)], ["place", "n"])
 
     seen = np.zeros(DIMS + 1)
-    for r in sample.select("places").mapInArrow(places, "place int, n long").groupBy("place") \
+    for r in train.select(F.col(text_col).cast("string")).mapInArrow(places, "place int, n long").groupBy("place") \
             .agg(F.sum("n").alias("n")).collect():
         seen[r["place"]] = r["n"]
     if not seen[DIMS]:
@@ -167,6 +170,8 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
                                           ("low", pa.list_(pa.float64()))]))
 
     got = sample.groupBy("label").applyInArrow(learn, "label string, centroid binary, low array<double>").collect()
+    if not got:
+        return None
     got.sort(key=lambda r: (r["label"], r["centroid"]))
     floor = np.array([min([r["low"][k] for r in got if r["low"][k] is not None], default=np.nan)
                       for k in range(LENGTHS)])

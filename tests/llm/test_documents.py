@@ -149,6 +149,16 @@ def test_language_odd_rows(spark, odd_docs, documents):
 
 # ----------------------------------------------------------- deduplication
 
+def test_language_idf_counts_all_texts(spark):
+    """A small sample for the centroids, all training texts for the idf."""
+    texts = ["the cat", "a dog ran", "le chat", "un chien", "", None]
+    rows = [(i, texts[i % 6], "en" if i % 6 < 2 else "fr") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = centroid_langid.fit(docs, F.lit(True), fit_rows=20)
+    seen = sum((centroid_langid.counts_of(t)[0] > 0).astype(float) for _, t, _ in rows if t)
+    assert np.allclose(model.idf, np.log(401 / (1 + seen)) + 1, atol=1e-5)
+
+
 def saved(df):
     path = shared_path(df.sparkSession, "test")
     df.repartition(3).write.parquet(path)
