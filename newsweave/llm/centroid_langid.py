@@ -12,8 +12,8 @@ reach (shorter texts are less similar to any centroid). A text without letters
 is ``und``, score 0, and rejected.
 
 Fitting takes at most about ``fit_rows`` labelled texts of a language, chosen
-by a hash at a rate from the language's row count: a bounded sample as a
-documented parameter; the document frequencies of the idf are counted over all
+by a hash of id and text at a rate from the language's row count: a bounded
+sample as a documented parameter; the document frequencies of the idf are counted over all
 labelled texts. Prediction reads every whole text. Long texts are
 counted in slices, so memory is the text and one vector of DIMS.
 
@@ -131,7 +131,8 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col(lang_col).cast("string") == lang, F.lit(min(1.0, fit_rows / n))).otherwise(rate)
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
+    # Id and text together: rows without id, or with one id, have hashes of their own.
+    at = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     sample = written(features(train.where(at < rate), text_col, F.col(lang_col)), "langid")
 
     # Document frequencies are those of all training texts; only the k-means takes the sample.

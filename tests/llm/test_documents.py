@@ -159,6 +159,19 @@ def test_language_idf_counts_all_texts(spark):
     assert np.allclose(model.idf, np.log(401 / (1 + seen)) + 1, atol=1e-5)
 
 
+def test_language_sample_without_ids(spark, monkeypatch):
+    """Rows of one id, or without any, are neither all taken nor all left out."""
+    taken = []
+    features = centroid_langid.features
+    monkeypatch.setattr(centroid_langid, "features",
+                        lambda docs, *a: taken.append(docs.count()) or features(docs, *a))
+    for i in (None, 5):
+        docs = spark.createDataFrame([(i, f"word {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(600)],
+                                     "doc_id long, text string, lang string")
+        centroid_langid.fit(docs, F.lit(True), fit_rows=60)
+    assert all(25 < n < 110 for n in taken) and len(taken) == 2
+
+
 def saved(df):
     path = shared_path(df.sparkSession, "test")
     df.repartition(3).write.parquet(path)
