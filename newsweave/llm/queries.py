@@ -94,10 +94,25 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
 
 
+def op12_merkle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest of its language and of
+    all languages, checked against a third of changed texts."""
+    from .merkle_rollup import verify
+
+    return verify(load(spark, sf_dir, "documents"))
+
+
+def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best collocations of 2 to 5 words."""
+    from .setm_phrases import collocations
+
+    return collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hmm_lm, op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
     op8_url_rules,
-    op9_line_rules, op10_online_packing)}
+    op9_line_rules, op10_online_packing, op12_merkle_rollup, op13_setm_phrases)}
 # ---------------------------------------------------------------------- SQL
 # DuckDB SQL where SQL can express the operator. The others (models, tokenizer
 # files, hash thresholds, packing, scheduling) are tested by brute force, round
@@ -130,7 +145,8 @@ FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c
 _OP9 = rf"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, {_WORDS.format(x="text")} AS l, list_filter(string_split(text, chr(10)),
-        lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+        lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM t),
 win AS (SELECT doc_id, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS x
         FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
@@ -139,7 +155,8 @@ m AS (SELECT doc_id, source, len(l) AS n_words, CAST(coalesce(list_sum(list_tran
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, lines
       FROM w LEFT JOIN covered c USING (doc_id)),
-li AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[ 	-]+', ' ', 'g')) AS line, len({_WORDS.format(x="x")}) AS words
+li AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[ 	-
+]+', ' ', 'g')) AS line, len({_WORDS.format(x="x")}) AS words
        FROM (SELECT doc_id, source, unnest(lines) AS x FROM m)),
 hosts AS (SELECT source, count(*) AS docs FROM t GROUP BY source),
 hot AS (SELECT source, line FROM li JOIN hosts h USING (source) GROUP BY source, line, h.docs
@@ -150,4 +167,85 @@ j AS (SELECT m.*, coalesce(g.n, 0) AS removed_words, n_words < 50 OR 100 * n_rep
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words - removed_words >= n_words * 0.5 AS kept, removed_words FROM j"""
 
-ORACLE_SQL: dict[str, str] = {"op6_stream_dedup": _OP6, "op7_trie_join": _OP7, "op9_line_rules": _OP9}
+
+def _op12(levels: int = 7, group_levels: int = 3) -> str:
+    """The tree level by level: up to 8 ** levels leaves of a language and
+    8 ** group_levels languages."""
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def up(name: str, key: str, n: int, first: str) -> str:
+        """Nodes and runs of each level over the nodes ``first``."""
+        out, below = [], first
+        for i in range(n):
+            out.append(f"{name}r{i} AS (SELECT {key}, at // 8 AS at, list(h ORDER BY at) AS run FROM {below} GROUP BY {key}, at // 8)")
+            out.append(f"{name}n{i} AS (SELECT {key}, at, CASE WHEN count(*) OVER (PARTITION BY {key}) = 1 AND len(run) = 1 "
+                       f"THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {name}r{i})")
+            below = f"{name}n{i}"
+        return ",\n".join(out)
+
+    def down(name: str, key: str, n: int, first: str) -> str:
+        """Each leaf's proof and folded digest, level by level upwards."""
+        out, below = [], first
+        for i in range(n):
+            alone = f"(len(run) = 1 AND (SELECT count(*) FROM {name}r{i} z WHERE z.{key} = r.{key}) = 1)"
+            out.append(
+                f"{name}f{i} AS (SELECT f.* EXCLUDE (pos, proof, folded), pos // 8 AS pos, CASE WHEN {alone} THEN proof ELSE "
+                f"proof || array_to_string(list_filter(run, lambda x, j: j <> pos % 8 + 1), '') END AS proof, "
+                f"CASE WHEN {alone} THEN folded ELSE sha256(array_to_string(list_transform(run, lambda x, j: "
+                f"CASE WHEN j = pos % 8 + 1 THEN folded ELSE x END), '')) END AS folded "
+                f"FROM {below} f JOIN {name}r{i} r ON r.{key} = f.{key} AND r.at = f.pos // 8)")
+            below = f"{name}f{i}"
+        return ",\n".join(out)
+
+    last, top = f"an{levels - 1}", f"bn{group_levels - 1}"
+    return f"""
+WITH poly AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, v)
+        ORDER BY v) AS p FROM (SELECT unnest(range(256)) AS v)),
+t AS (SELECT *, coalesce('=' || lang, '-') AS g, translate(text, {_A_TO_Z}) AS small,
+        xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+            lambda c, x: xor(c // 256, p[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 3 = 0 AS third
+      FROM documents, poly),
+l AS (SELECT *, {leaf('text')} AS leaf, {leaf('small')} AS other FROM t),
+a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+a0 AS (SELECT g, pos AS at, leaf AS h FROM a),
+{up('a', 'g', levels, 'a0')},
+sub AS (SELECT g, h FROM {last}),
+b AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS at, 0 AS k FROM sub),
+b0 AS (SELECT k, at, h FROM b),
+{up('b', 'k', group_levels, 'b0')},
+f AS (SELECT doc_id, g, pos, leaf, '' AS proof, CASE WHEN third THEN other ELSE leaf END AS folded FROM a),
+{down('a', 'g', levels, 'f')},
+h AS (SELECT x.doc_id, x.leaf, x.proof, x.folded, b.h AS subroot, b.at AS pos, 0 AS k FROM af{levels - 1} x JOIN b USING (g)),
+{down('b', 'k', group_levels, 'h')}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM bf{group_levels - 1}, (SELECT h AS root FROM {top})"""
+
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), {_A_TO_Z}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM p),
+totals AS (SELECT lang, CAST(sum(len(l)) AS HUGEINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM (
+        SELECT lang, k, array_to_string(l[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k)))
+      GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, phrase, a, i, string_split(phrase, ' ') AS s
+         FROM (SELECT *, unnest(range(1, k)) AS i FROM f WHERE k > 1)),
+scored AS (SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, t.n, c.i, 1000 * c.a * t.n // (x.a * y.a) AS score
+           FROM cuts c JOIN totals t USING (lang)
+           JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.s[1:c.i], ' ')
+           JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.s[c.i + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.k > b.k AND 100 * f.a >= 100 * b.a
+           AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_rollup": _op12(), "op13_setm_phrases": _OP13,
+                              "op6_stream_dedup": _OP6, "op7_trie_join": _OP7, "op9_line_rules": _OP9}

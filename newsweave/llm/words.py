@@ -13,11 +13,16 @@ import numpy as np
 
 from .common import SPACES
 
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[65:91] += np.uint64(32)
-for _c in SPACES.encode():
-    _LOWER[_c] = 0
-_IN_WORD = _LOWER > 0
+
+def letter_values(between: bytes) -> np.ndarray:
+    """A byte's value in the hash: 0 for those between words, A-Z as a-z."""
+    values = np.arange(256, dtype=np.uint64) + np.uint64(1)
+    values[65:91] += np.uint64(32)
+    values[list(between)] = 0
+    return values
+
+
+_LOWER = letter_values(SPACES.encode())
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -42,9 +47,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 class Words:
     """Hashes of all words of a string column: ``hashes[first[i]:first[i + 1]]``
-    are those of row i. ``data[starts[k]:ends[k]]`` are the bytes of word k."""
+    are those of row i. ``data[starts[k]:ends[k]]`` are the bytes of word k.
+    ``values`` says which bytes lie between words (see ``letter_values``)."""
 
-    def __init__(self, column):
+    def __init__(self, column, values: np.ndarray = _LOWER):
         import pyarrow as pa
 
         column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -54,7 +60,7 @@ class Words:
         data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None and raw.size else \
             np.zeros(0, np.uint8)
         at = offsets - offsets[0]
-        inside = _IN_WORD[data]
+        inside = (values > 0)[data]
         cut = np.zeros(len(data) + 1, bool)  # a row begins here
         cut[at] = True
         begins = inside.copy()
@@ -68,7 +74,7 @@ class Words:
             return
         length = self.ends - self.starts
         span = np.diff(np.append(self.starts, len(data)))  # to the next word
-        value = _LOWER[data[self.starts[0]:]]
+        value = values[data[self.starts[0]:]]
         place = np.arange(len(value)) - np.repeat(self.starts - self.starts[0], span)
         value *= _powers(int(span.max()))[place]
         total = np.add.reduceat(value, self.starts - self.starts[0])
