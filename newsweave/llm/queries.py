@@ -181,8 +181,8 @@ def _op12(levels: int = 7, group_levels: int = 3) -> str:
         """Nodes and runs of each level over the nodes ``first``."""
         out, below = [], first
         for i in range(n):
-            out.append(f"{name}r{i} AS (SELECT {key}, at // 8 AS at, list(h ORDER BY at) AS run FROM {below} GROUP BY {key}, at // 8)")
-            out.append(f"{name}n{i} AS (SELECT {key}, at, CASE WHEN count(*) OVER (PARTITION BY {key}) = 1 AND len(run) = 1 "
+            out.append(f"{name}r{i} AS (SELECT {key}, place // 8 AS place, list(h ORDER BY place) AS run FROM {below} GROUP BY {key}, place // 8)")
+            out.append(f"{name}n{i} AS (SELECT {key}, place, CASE WHEN count(*) OVER (PARTITION BY {key}) = 1 AND len(run) = 1 "
                        f"THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {name}r{i})")
             below = f"{name}n{i}"
         return ",\n".join(out)
@@ -197,7 +197,7 @@ def _op12(levels: int = 7, group_levels: int = 3) -> str:
                 f"proof || array_to_string(list_filter(run, lambda x, j: j <> pos % 8 + 1), '') END AS proof, "
                 f"CASE WHEN {alone} THEN folded ELSE sha256(array_to_string(list_transform(run, lambda x, j: "
                 f"CASE WHEN j = pos % 8 + 1 THEN folded ELSE x END), '')) END AS folded "
-                f"FROM {below} f JOIN {name}r{i} r ON r.{key} = f.{key} AND r.at = f.pos // 8)")
+                f"FROM {below} f JOIN {name}r{i} r ON r.{key} = f.{key} AND r.place = f.pos // 8)")
             below = f"{name}f{i}"
         return ",\n".join(out)
 
@@ -211,15 +211,15 @@ t AS (SELECT *, coalesce('=' || lang, '-') AS g, translate(text, {_A_TO_Z}) AS s
       FROM documents, poly),
 l AS (SELECT *, {leaf('text')} AS leaf, {leaf('small')} AS other FROM t),
 a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
-a0 AS (SELECT g, pos AS at, leaf AS h FROM a),
+a0 AS (SELECT g, pos AS place, leaf AS h FROM a),
 {up('a', 'g', levels, 'a0')},
 sub AS (SELECT g, h FROM {last}),
-b AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS at, 0 AS k FROM sub),
-b0 AS (SELECT k, at, h FROM b),
+b AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS place, 0 AS k FROM sub),
+b0 AS (SELECT k, place, h FROM b),
 {up('b', 'k', group_levels, 'b0')},
 f AS (SELECT doc_id, g, pos, leaf, '' AS proof, CASE WHEN third THEN other ELSE leaf END AS folded FROM a),
 {down('a', 'g', levels, 'f')},
-h AS (SELECT x.doc_id, x.leaf, x.proof, x.folded, b.h AS subroot, b.at AS pos, 0 AS k FROM af{levels - 1} x JOIN b USING (g)),
+h AS (SELECT x.doc_id, x.leaf, x.proof, x.folded, b.h AS subroot, b.place AS pos, 0 AS k FROM af{levels - 1} x JOIN b USING (g)),
 {down('b', 'k', group_levels, 'h')}
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM bf{group_levels - 1}, (SELECT h AS root FROM {top})"""
