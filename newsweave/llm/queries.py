@@ -94,6 +94,17 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start
+    earlier."""
+    from .suffix_dedup import remove
+
+    out = remove(load(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof in the manifest of its language and of
     all languages, checked against a third of changed texts."""
@@ -112,7 +123,7 @@ def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_hmm_lm, op2_rans_output, op3_lpt_shards, op4_hash_mix, op5_centroid_langid, op6_stream_dedup, op7_trie_join,
     op8_url_rules,
-    op9_line_rules, op10_online_packing, op12_merkle_rollup, op13_setm_phrases)}
+    op9_line_rules, op10_online_packing, op11_suffix_dedup, op12_merkle_rollup, op13_setm_phrases)}
 # ---------------------------------------------------------------------- SQL
 # DuckDB SQL where SQL can express the operator. The others (models, tokenizer
 # files, hash thresholds, packing, scheduling) are tested by brute force, round
@@ -168,6 +179,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND n_words - removed_words >= n_words * 0.5 AS kept, removed_words FROM j"""
 
 
+_OP11 = """
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT k, i, md5_number(substr(x, 2 * i + 1, 200)) AS h
+      FROM (SELECT k, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM t)),
+later AS (SELECT k, i FROM (SELECT k, i, row_number() OVER (PARTITION BY h ORDER BY k, i) AS n FROM w) WHERE n > 1),
+edges AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT k, min(i) AS a, max(i) + 100 AS b
+         FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM edges) GROUP BY k, g),
+gaps AS (SELECT k, b AS a, lead(a) OVER (PARTITION BY k ORDER BY a) AS b FROM (SELECT k, a, b FROM runs UNION ALL SELECT k, 0, 0 FROM t)),
+kept AS (SELECT k, string_agg(substr(x, 2 * a + 1, CASE WHEN b IS NULL THEN len(x) ELSE 2 * (b - a) END), '' ORDER BY a) AS x
+         FROM gaps JOIN t USING (k) GROUP BY k),
+n AS (SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY k)
+SELECT doc_id, CAST(len(t.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(kept.x)) AS kept_sha256
+FROM t JOIN kept USING (k) LEFT JOIN n USING (k)"""
+
+
 def _op12(levels: int = 7, group_levels: int = 3) -> str:
     """The tree level by level: up to 8 ** levels leaves of a language and
     8 ** group_levels languages."""
@@ -247,5 +275,5 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept QUALIFY rank <= 2000"""
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle_rollup": _op12(), "op13_setm_phrases": _OP13,
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _OP11, "op12_merkle_rollup": _op12(), "op13_setm_phrases": _OP13,
                               "op6_stream_dedup": _OP6, "op7_trie_join": _OP7, "op9_line_rules": _OP9}

@@ -26,10 +26,11 @@ _LOWER = letter_values(SPACES.encode())
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64."""
     out = np.empty(n, np.uint64)
     out[0] = 1
-    done, step = 1, _BASE
+    done, step = 1, base
     while done < n:  # doubling: the second half is the first times base ** done
         take = min(done, n - done)
         out[done:done + take] = out[:take] * np.uint64(step)
@@ -76,7 +77,7 @@ class Words:
         span = np.diff(np.append(self.starts, len(data)))  # to the next word
         value = values[data[self.starts[0]:]]
         place = np.arange(len(value)) - np.repeat(self.starts - self.starts[0], span)
-        value *= _powers(int(span.max()))[place]
+        value *= powers(int(span.max()))[place]
         total = np.add.reduceat(value, self.starts - self.starts[0])
         self.hashes = mixed(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
