@@ -187,7 +187,7 @@ later AS (SELECT k, i FROM (SELECT k, i, row_number() OVER (PARTITION BY h ORDER
 edges AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later),
 runs AS (SELECT k, min(i) AS a, max(i) + 100 AS b
          FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM edges) GROUP BY k, g),
-gaps AS (SELECT k, b AS a, lead(a) OVER (PARTITION BY k ORDER BY a) AS b FROM (SELECT k, a, b FROM runs UNION ALL SELECT k, 0, 0 FROM t)),
+gaps AS (SELECT k, b AS a, lead(a) OVER (PARTITION BY k ORDER BY a, b) AS b FROM (SELECT k, a, b FROM runs UNION ALL SELECT k, 0, 0 FROM t)),
 kept AS (SELECT k, string_agg(substr(x, 2 * a + 1, CASE WHEN b IS NULL THEN len(x) ELSE 2 * (b - a) END), '' ORDER BY a) AS x
          FROM gaps JOIN t USING (k) GROUP BY k),
 n AS (SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY k)
