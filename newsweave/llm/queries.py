@@ -60,7 +60,8 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the least id of its component of similar texts."""
+    """Every document with the least id of its component of similar texts, and
+    how many other classes of equal sets its own links with."""
     from .trie_join import similar
 
     return similar(load(spark, sf_dir, "documents"), n=4, percent=85)
@@ -148,10 +149,13 @@ e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM s
-          UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b)
-SELECT s.doc_id, len(s.g) AS n_shingles,
-       CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY s.g) END AS class_id, c.component_id
-FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+          UNION SELECT r.a, k.b FROM reach r JOIN links k ON k.a = r.b),
+classes AS (SELECT doc_id, g, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id FROM s),
+n AS (SELECT l.a AS doc_id, count(DISTINCT y.class_id) AS n_links FROM links l JOIN classes x ON x.doc_id = l.a
+      JOIN classes y ON y.doc_id = l.b WHERE x.class_id <> y.class_id GROUP BY l.a)
+SELECT s.doc_id, len(s.g) AS n_shingles, s.class_id, c.component_id, coalesce(n.n_links, 0) AS n_links
+FROM classes s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+LEFT JOIN n USING (doc_id)"""
 
 _OP9 = rf"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),

@@ -9,33 +9,35 @@ cost nothing further.
 
 Candidates: two sets of Jaccard t or more share at least 1 + e of their first
 ``n - ceil(t * n) + 1 + e`` keys (their prefix; e is ``EXTRA`` per cent of the
-smaller set). Classes meet on these keys by equi-joins; keys of a single class
-drop out first. A key that more than ``COLD`` classes share is hot, as those
-of a passage that many documents quote. A class with at most e hot keys leaves
-them aside: every class that it links with shares a cold one too. Of every
-key, the class that shares the most keys is a centre and meets the others.
-
-The tree join: the sets that meet one centre are stored in a path-compressed
-prefix tree, and the centre's set walks it once. Sets with a common beginning
-share the overlap counted so far, and a subtree is left as soon as that
-overlap plus what its longest set or the centre's rest could add misses the
-bound for its shortest set. It runs twice: over the prefixes, where a set's
-remaining length counts as if all of it could match, and over the whole sets
-of the few pairs that this leaves. A centre with many partners is dealt into
-blocks of ``BLOCK`` sets.
-
-After the linked classes are joined into components, a second round forms the
-pairs of classes that share a key, lie in different components, and have not
-met; of those, the tree join sees the ones whose shared prefix keys, counted
-in full, leave a link possible. So no link between components is missed, and groups of near copies cost
-their size, not its square: components need no further link within one. With
-``with_links`` the second round takes all pairs of classes that share a key
-and have not met, in one component or not, behind the same bound: every link
-is found, and a group of near copies costs the square of its classes.
+smaller set). Keys of a single class drop out first. A key that more than
+``COLD`` classes share is hot, as those of a passage that many documents quote
+or of a large group of near copies. A class with at most e hot keys leaves
+them aside: every class that it links with shares a cold one too.
+
+* Cold keys: classes meet on them two by two, at most ``COLD`` of a key. A
+  pair goes on where its sizes allow a link and its shared keys, counted, leave
+  one possible. The sets that meet one class are stored in a prefix tree, first
+  their prefixes, then the whole sets of what is left, and the class's set walks the tree.
+* Hot keys: classes that share hot keys form clusters. A cluster's classes, in
+  order of size, are dealt into blocks; two blocks whose sizes allow a link
+  meet at a time, and all sets of one walk the other's prefix tree together. A
+  block hands on the number of links of each class and the components within
+  it, never the links: a group of near copies costs rows in proportion to its
+  size and blocks.
+
+The tree walk: a path-compressed prefix tree holds sets in the global order.
+Sets with a common beginning share the overlap counted so far, and a subtree is
+left as soon as that overlap plus what its longest set or the probe's rest
+could add misses the bound for its shortest set. Over prefixes, a set's
+remaining length counts as if all of it could match.
+
+Linked classes are joined into components. Every link is verified, in one
+component or not; a row has the number of its class's links.
 
 Nulls: null or empty text, or one without words, has an empty set, links with
 nothing and is a component of its own. A null id sorts behind all others;
-a component of null ids has a null id. Repeated rows are copies. Fewer than
+a component of null ids has a null id. Repeated ids: each row is a document of
+its own. Repeated rows are copies. Fewer than
 ``n`` words are one shingle. Empty table: no rows. Other columns are ignored.
 """
 
@@ -48,6 +50,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import distributed_row_number
 from ..session import broadcast_if_small
 from .common import batches_of, sum_pieces, to_pieces, written
 from .components import components
@@ -57,11 +60,14 @@ SHINGLE = 4
 PERCENT = 85
 #: Additional keys of a prefix, in per cent of the set.
 EXTRA = 5
-#: Classes that share a key before it counts as hot.
+#: Most classes of a cold key.
 COLD = 16
 #: log2 of the hash buckets whose counts order the shingles.
 ORDER_BITS = 18
-BLOCK = 512
+#: Most sets, and keys of a block; a larger set is a block of its own.
+BLOCK, BLOCK_KEYS = 512, 1 << 17
+#: Broadcast bound of tables that grow with the corpus.
+_SMALL = 8 << 20
 #: Texts handled at once, in bytes.
 _CHUNK = 4 << 20
 _LEVEL, _RARITY, _HASH = np.uint64(59), np.uint64(52), np.uint64(12)
@@ -134,6 +140,47 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT,
     return found
 
 
+def _tree(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    """The sets' order in the tree, and how long a beginning each shares with
+    the one before it."""
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    common = np.zeros(len(order), np.int64)
+    for k in range(1, len(order)):
+        x, y = sets[order[k - 1]], sets[order[k]]
+        m = min(len(x), len(y))
+        diff = np.flatnonzero(x[:m] != y[:m])
+        common[k] = diff[0] if len(diff) else m
+    return order, common
+
+
+def block_join(probes: list[np.ndarray], sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of ``probes`` (rows) link with which of ``sets`` (columns); all
+    probes walk the tree of the sets together."""
+    out = np.zeros((len(probes), len(sets)), bool)
+    order, common = _tree(sets)
+    n = np.array([len(p) for p in probes])
+    size = np.array([len(sets[i]) for i in order])
+    keys, where = np.unique(np.concatenate(probes), return_inverse=True)
+    held = np.zeros((len(keys) + 1, len(probes)), np.uint8)  # the last row is for keys of no probe
+    held[where, np.repeat(np.arange(len(probes)), n)] = 1
+    at = [np.searchsorted(keys, sets[i]) for i in order]
+    at = [np.where(keys[np.minimum(x, len(keys) - 1)] == sets[i], x, len(keys)) for x, i in zip(at, order, strict=True)]
+    stack = [(0, len(order), 0, np.zeros(len(probes), np.int64))]
+    while stack:
+        lo, hi, depth, overlap = stack.pop()
+        end = int(size[lo]) if hi - lo == 1 else int(common[lo + 1:hi].min())
+        if end > depth:
+            overlap = overlap + held[at[lo][depth:end]].sum(0, dtype=np.int64)
+        longest, shortest = int(size[lo:hi].max()), int(size[lo:hi].min())
+        could = overlap + np.minimum(n - overlap, longest - end) >= needed(n, shortest, percent)
+        if hi - lo == 1:
+            out[:, order[lo]] = could
+        elif could.any():
+            cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1:hi] == end)).tolist(), hi]
+            stack += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
 # ------------------------------------------------------------- sets
 
 def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> list[np.ndarray]:
@@ -187,10 +234,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- join
 
 def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
-            text_col: str = "text", with_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id of equal sets) and component_id
-    (least id of the component) of every row; with ``with_links`` also
-    n_links, the number of other classes that the row's class links with."""
+            text_col: str = "text", cold: int = COLD) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id of equal sets), component_id
+    (least id of the component) and n_links (other classes that the row's class
+    links with) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = Order(bucket_counts(docs, n))
 
@@ -200,120 +247,156 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
         for batch in batches_of(batches, _CHUNK):
             rows = order.sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(k) for k in rows], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([len(k) for k in rows], pa.int64()),
                  pa.array([signature(k) if len(k) else None for k in rows], pa.binary()),
                  pa.array([k[:prefix_length(len(k), percent)].tobytes() if len(k) else None for k in rows],
-                          pa.binary())], ["doc_id", "n", "sig", "prefix"])
+                          pa.binary())], ["doc_id", "hash", "n", "sig", "prefix"])
 
-    each = written(docs.mapInArrow(sets, "doc_id long, n long, sig binary, prefix binary")
+    each = written(docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+                   .mapInArrow(sets, "doc_id long, hash long, n long, sig binary, prefix binary")
                    .withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = written(each.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"),
                                                              F.min("row").alias("node")), "classes", "snappy")
-    beginnings = each.join(broadcast_if_small(classes.select(F.col("node").alias("row"))), "row", "left_semi") \
-        .select(F.col("row").alias("node"), "n", F.col("prefix").alias("keys"))
+    first = each.join(broadcast_if_small(classes.select(F.col("node").alias("row")), _SMALL), "row", "left_semi")
+    beginnings = first.select(F.col("row").alias("node"), "n", F.col("prefix").alias("keys"))
+    sources = first.select(F.col("row").alias("node"), "sig", F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash"))
 
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, _CHUNK):
-            got = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            got = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+            sizes = [len(x) for x in got]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(got))),
-                 pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in got]))], ["key", "node"])
+                [pa.array(_signed(np.concatenate(got)))]
+                + [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in (0, 1)], ["key", "node", "n"])
 
-    every = beginnings.select("node", "keys").mapInArrow(keys, "key long, node long")
+    every = beginnings.select("node", "n", "keys").mapInArrow(keys, "key long, node long, n long")
     shared = written(every.groupBy("key").agg(F.count("*").alias("of")).where("of > 1"), "shared", "snappy")
-    met = written(every.join(broadcast_if_small(shared), "key"), "keys", "snappy")
+    met = written(every.join(broadcast_if_small(shared, _SMALL), "key"), "keys", "snappy")
     # Classes with few hot keys leave those aside.
-    sizes = beginnings.select("node", "n")
-    few = written(met.where(F.col("of") > COLD).groupBy("node").agg(F.count("*").alias("hot")).join(sizes, "node")
-                  .where(F.expr(f"hot <= {spare_keys('n', percent)}")).select("node", "hot"), "few-hot", "snappy")
-    met = met.join(broadcast_if_small(few), "node", "left").where((F.col("of") <= COLD) | F.col("hot").isNull())
-    met = written(met.select("key", "node"), "met", "snappy")
-    facts = written(sizes.join(few, "node", "left").select(
-        "node", "n", F.expr(f"n - {prefix_sql('n', percent)}").alias("behind"), "hot"),
-        "facts", "snappy")
-    # The centre of a key shares the most keys: of near copies, that is the text they were made from rather
-    # than one of them, and links with most.
-    degree = written(met.groupBy("node").agg(F.count("*").alias("degree")), "degree", "snappy")
-    centres = met.join(broadcast_if_small(degree), "node").groupBy("key").agg(
-        F.max(F.struct("degree", (-F.col("node")).alias("last"))).alias("top"), F.count("*").alias("of")) \
-        .where("of > 1").select("key", (-F.col("top.last")).alias("centre"))
-    met = met.join(centres, "key")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        maybe = written(_walk(beginnings, pairs, percent).where("linked"), "maybe", "snappy")
-        return written(_walk(_full_sets(docs, classes, maybe, order, n), maybe, percent).where("linked")
-                       .select("a", "b"), "verified", "snappy")
-
-    first = written(met.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
-                    "pairs", "snappy")
-    links = verified(first)
-    roots = written(components(links), "roots", "snappy")
-    if with_links:
-        rest = _pairs_of_keys(met)
-    else:
-        # Classes of one key that are in different components and have not met.
-        rest = _pairs_apart(met, roots)
-    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("c"))
-    # What a pair shares in its prefixes and all that is behind the prefix that ends first: less than the
-    # bound is no link. Shared keys that were set aside are at most the hot ones of a class that did so
-    # (``hot`` is null where none was; least() passes over nulls).
-    for side in ("a", "b"):
-        rest = rest.join(broadcast_if_small(facts.select(*[F.col(x).alias(f"{x}_{side}") for x in facts.columns])),
-                         F.col(side) == F.col(f"node_{side}"))
-    rest = rest.where(F.expr(f"(c + coalesce(least(hot_a, hot_b), 0) + greatest(behind_a, behind_b)) * {100 + percent} "
-                             f">= (n_a + n_b) * {percent}")).select("a", "b") \
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = written(rest, "pairs", "snappy")
-    if rest.take(1):
-        more = verified(rest)
-        if more.take(1):
-            links = links.unionByName(more)
-            roots = written(components(links), "roots", "snappy")
-    named = classes.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hot = met.where(F.col("of") > cold)
+    facts = written(hot.groupBy("node", "n").agg(F.count("*").alias("hot")).withColumn(
+        "aside", F.expr(f"hot <= {spare_keys('n', percent)}")), "hot-counts", "snappy")
+    clusters = written(_clusters(hot.join(broadcast_if_small(facts.where("not aside").select("node"), _SMALL), "node",
+                                          "left_semi").select("key", "node")), "clusters", "snappy")
+
+    # Cold keys: pairs whose sizes, and then shared keys, leave a link possible.
+    colds = met.where(F.col("of") <= cold).select("key", "node", "n") \
+        .join(broadcast_if_small(clusters, _SMALL), "node", "left")
+    x, y = (colds.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "n", "cluster")]) for e in ("a", "b"))
+    pairs = x.join(y, "key").where("node_a < node_b").where(
+        F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        & ~F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False))) \
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("c"))
+    # Shared keys that were not counted are hot: at most the fewer hot ones of both. Less than the bound with all
+    # that is behind the prefix that ends first is no link.
+    for e in ("a", "b"):
+        pairs = pairs.join(broadcast_if_small(facts.select(F.col("node").alias(e), F.col("hot").alias(f"hot_{e}")), _SMALL),
+                           e, "left")
+    behind = F.greatest(*[F.expr(f"n_{e} - {prefix_sql(f'n_{e}', percent)}") for e in ("a", "b")])
+    more = F.least(*[F.coalesce(F.col(f"hot_{e}"), F.lit(0)) for e in ("a", "b")])
+    pairs = written(pairs.where((F.col("c") + more + behind) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+                    .select("a", "b"), "pairs", "snappy")
+    maybe = written(_walk(beginnings, pairs, percent).where("linked"), "maybe", "snappy")
+    nodes = maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))) \
+        .unionByName(clusters.select("node")).distinct()
+    full = written(_full_sets(docs, sources, nodes, order, n), "whole-sets")
+    links = written(_walk(full, maybe, percent).where("linked").select("a", "b"), "verified", "snappy")
+    inside = written(_in_clusters(full, clusters, percent), "in-clusters", "snappy")
+
+    roots = written(components(links.unionByName(inside.where("node <> least").select(
+        F.col("node").alias("a"), F.col("least").alias("b")))), "roots", "snappy")
+    counts = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links")) \
+        .unionByName(inside.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(broadcast_if_small(roots, _SMALL), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").select("sig", "node", "class_id", "component_id")
-    out = ["doc_id", F.col("n").alias("n_shingles"),
-           F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-           F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
-    if with_links:
-        # Two centres may have met each other from both sides.
-        ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        counts = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        named = named.join(counts, "node", "left")
-        out.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    named = written(named.drop("node"), "named", "snappy")
-    return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(*out)
-
-
-def _pairs_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node1, node2: the classes of each key that are in different
-    components."""
-    known = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    left = written(known.join(apart.select("key"), "key", "left_semi"), "open", "snappy")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "root")]) for i in (1, 2))
-    return x.join(y, "key").where("node1 < node2 and root1 <> root2").select("key", "node1", "node2")
-
-
-def _pairs_of_keys(met: DataFrame) -> DataFrame:
-    """key, node1, node2: all classes of each key, two by two. A key's classes
-    are dealt into blocks of about ``BLOCK``; two blocks meet at a time."""
-    blocks = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(blocks, "key").select("key", "node", "blocks",
-                                           F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = dealt.select("key", F.col("node").alias("node1"), F.col("own").alias("block1"), each.alias("block2"))
-    y = dealt.select("key", F.col("node").alias("node2"), each.alias("block1"), F.col("own").alias("block2"))
-    return x.join(y, ["key", "block1", "block2"]).where("node1 < node2").select("key", "node1", "node2")
-
-
-def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, n: int) -> DataFrame:
-    """node, n, keys: the whole sets of the classes in ``pairs``, made again
-    from their texts."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(classes.join(nodes, "node").select("node", "sig", "class_id"), "wanted", "snappy")
+    named = named.join(least, "root").join(broadcast_if_small(counts, _SMALL), "node", "left")
+    named = written(named.select("sig", "class_id", "component_id", "links"), "named", "snappy")
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return each.select("doc_id", "n", "sig").join(named, "sig", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """node, cluster of all classes that share hot keys with others, from
+    (key, node)."""
+    rows = written(rows, "hot-keys", "snappy")
+    least = rows.groupBy("key").agg(F.min("node").alias("least"))
+    links = written(rows.join(least, "key").where("node > least").select("node", "least").distinct(), "hot-links", "snappy")
+    return components(links, "node", "least").withColumnRenamed("root", "cluster")
+
+
+def _in_clusters(full: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """node, links, least: how many classes of the other or the same block a
+    class links with, and the least class of its component there, for each
+    meeting of two blocks in which it has a link."""
+    sized = clusters.join(full.select("node", "n"), "node")
+    ranked = distributed_row_number(sized, ["cluster"], [F.col("n"), F.col("node")], "rank")
+    # By size, so blocks of small sets hold as many as the largest of them allows.
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_KEYS / F.pow(2, F.ceil(F.log2("n"))))))
+    dealt = written(ranked.select("cluster", "node", "n", "rank", room.cast("long").alias("room"))
+                    .withColumn("block", F.struct("room", F.expr("rank div room").alias("at"))), "dealt", "snappy")
+    blocks = dealt.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    u, v = (blocks.select("cluster", *[F.col(c).alias(f"{c}{e}") for c in ("block", "lo", "hi")]) for e in (1, 2))
+    met = written(u.join(v, "cluster").where(
+        (F.struct("lo1", "hi1", "block1") <= F.struct("lo2", "hi2", "block2"))
+        & (100 * F.col("hi1") >= percent * F.col("lo2")))
+        .select("cluster", "block1", "block2", F.monotonically_increasing_id().alias("meeting")), "meetings", "snappy")
+    same = F.col("block1") == F.col("block2")
+    sides = met.select("cluster", F.col("block1").alias("block"), "meeting", F.when(same, 2).otherwise(0).alias("side")) \
+        .unionByName(met.where(~same).select("cluster", F.col("block2").alias("block"), "meeting", F.lit(1).alias("side")))
+    roles = dealt.join(sides, ["cluster", "block"]).select("node", "meeting", "side")
+
+    def join(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        meeting, held = None, []
+
+        def one() -> pa.RecordBatch:
+            left = [h for h in held if h[0] != 1]
+            right = left if left and left[0][0] == 2 else [h for h in held if h[0] == 1]
+            a, b = (np.array([h[1] for h in x], np.int64) for x in (left, right))
+            found = block_join([h[2] for h in left], [h[2] for h in right], percent) if left and right \
+                else np.zeros((len(left), len(right)), bool)
+            if right is left:
+                np.fill_diagonal(found, False)
+            label_a, label_b = a.copy(), b.copy()
+            big = np.iinfo(np.int64).max
+            while found.any():  # least class of each component, passed along the links
+                new_b = np.minimum(label_b, np.where(found, label_a[:, None], big).min(0))
+                new_a = np.minimum(label_a, np.where(found, new_b[None, :], big).min(1))
+                if (new_a == label_a).all() and (new_b == label_b).all():
+                    break
+                label_a, label_b = new_a, new_b
+            node, links, least = a, found.sum(1), label_a
+            if right is not left:
+                node, links, least = np.append(a, b), np.append(links, found.sum(0)), np.append(label_a, label_b)
+            keep = links > 0
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (node, links.astype(np.int64), least)],
+                                              ["node", "links", "least"])
+
+        for batch in batches:
+            for m, side, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if m != meeting:
+                    if held:
+                        yield one()
+                    meeting, held = m, []
+                if not held or held[-1][1] != node:
+                    held.append((side, node, np.frombuffer(raw, "<u8")))
+        if held:
+            yield one()
+
+    return full.join(broadcast_if_small(roles, _SMALL), "node").select("meeting", "side", "node", "keys") \
+        .repartition("meeting").sortWithinPartitions("meeting", "side", "node") \
+        .mapInArrow(join, "node long, links long, least long")
+
+
+def _full_sets(docs: DataFrame, sources: DataFrame, nodes: DataFrame, order: Order, n: int) -> DataFrame:
+    """node, n, keys: the whole sets of ``nodes``, made again from the texts of
+    their first rows; repeated rows with that id and text give copies."""
+    wanted = written(sources.join(nodes, "node"), "wanted", "snappy")
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -330,8 +413,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Ord
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(rows[i]) for i in keep], pa.int64()),
                  pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["node", "n", "keys"])
 
-    return docs.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("class_id"))) \
-        .select("node", "sig", "text").mapInArrow(sets, "node long, n long, keys binary")
+    found = docs.withColumn("hash", F.xxhash64("text")).join(
+        broadcast_if_small(wanted, _SMALL), (F.col("hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    return found.select("node", "sig", "text").mapInArrow(sets, "node long, n long, keys binary").dropDuplicates(["node"])
 
 
 def _walk(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -370,6 +454,6 @@ def _walk(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         if held:
             yield walk()
 
-    return sets.join(broadcast_if_small(roles), "node").select("a", "block", "b", "n", "keys") \
+    return sets.join(broadcast_if_small(roles, _SMALL), "node").select("a", "block", "b", "n", "keys") \
         .repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(
         join, "a long, b long, linked boolean")

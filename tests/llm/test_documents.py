@@ -307,10 +307,10 @@ def plain_links(rows, percent=85, n=4):
     return sorted((r[0], count[s]) for r, s in zip(rows, sets, strict=True))
 
 
-@pytest.mark.parametrize("block", [trie_join.BLOCK, 4])
-def test_trie_join_counts_all_links(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "cold"), [(trie_join.BLOCK, trie_join.COLD), (4, 16), (trie_join.BLOCK, 1), (3, 1), (512, 10**6)])
+def test_trie_join_counts_all_links(spark, monkeypatch, block, cold):
     """Links inside a component too: a chain A-B-C whose ends also link, a
-    large group of near copies and a passage that many quote."""
+    large group of near copies and a passage that many quote; all keys hot, or all cold."""
     monkeypatch.setattr(trie_join, "BLOCK", block)
     rng = np.random.default_rng(12)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -323,13 +323,37 @@ def test_trie_join_counts_all_links(spark, monkeypatch, block):
         rows.append(x)
     rows += [base[:60] + list(rng.choice(vocabulary, int(rng.integers(5, 80)))) for _ in range(30)]
     docs = [(i, " ".join(map(str, r))) for i, r in enumerate(rows)]
-    got = trie_join.similar(spark.createDataFrame(docs, "doc_id long, text string"), with_links=True).collect()
+    got = trie_join.similar(spark.createDataFrame(docs, "doc_id long, text string"), cold=cold).collect()
     want = plain_links(docs)
     assert want[:6] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 0), (5, 0)] and max(n for _, n in want) > 15
     assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=repr) == plain_components(docs)
 
 
+def test_trie_join_without_ids(spark):
+    """2,000 near copies without ids, and as many with one id: rows in
+    proportion, not their square, with whole texts."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(None if k % 2 else 7, " ".join([*base[:int(rng.integers(100))], f"n{k}", *base])) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = trie_join.similar(docs)
+    assert out.count() == 4000
+    few = rows[:300]
+    assert joined(spark.createDataFrame(few, "doc_id long, text string")) == plain_components(few)
+
+
+def test_block_join():
+    rng = np.random.default_rng(16)
+    for _ in range(40):
+        pool = np.arange(50, dtype=np.uint64)
+        pick = lambda: np.sort(rng.choice(pool, int(rng.integers(1, 40)), replace=False))
+        probes, sets = [pick() for _ in range(15)], [pick() for _ in range(25)]
+        sets += [probes[0], probes[3], sets[0]]
+        got = trie_join.block_join(probes, sets, 60)
+        assert got.tolist() == [[trie_join.linked(len(np.intersect1d(p, s)), len(s), len(p), 60) for s in sets] for p in probes]
+
+
 def test_tree_join():
     rng = np.random.default_rng(6)
     for _ in range(60):
