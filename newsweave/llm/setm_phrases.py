@@ -18,9 +18,10 @@ Each length takes three steps, as in SETM:
   larger than ``SEMI_BYTES``; beyond that the occurrences are joined with them
   by a shuffle on the phrase and brought back into order.
 
-A phrase is known by a 64-bit hash of its group and words; its words come back
-through the two shorter phrases that it was made from, as do the counts of its
-beginnings and ends.
+A word is known by a 64-bit hash of its group and bytes. Frequent phrases of a
+length are numbered, and a longer phrase is known by the numbers of the two
+shorter ones that it was made from; its words come back through them, as do the
+counts of its beginnings and ends.
 
 Score of a phrase: the least floor(1000 * a * n / (l * r)) over its cuts into
 two parts (ties: the first cut), in decimals of 38 digits. A candidate is
@@ -43,6 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import distributed_row_number
 from ..session import broadcast_if_small
 from .common import batches_of, written
 from .words import Words, letter_values, mixed
@@ -55,6 +57,8 @@ PERCENT = 100
 SEMI_BYTES = 32 << 20
 #: Bytes handled at once; vectors over them take some 40 times as much.
 _CHUNK = 1 << 20
+#: Numbers up to which two make one 64-bit id.
+PACKED = 1 << 31
 _BORDERS = b".,;:!?\n\x0b\x0c\r"
 _VALUES = letter_values(b" \t" + _BORDERS)
 _BORDER = np.zeros(256, bool)
@@ -68,35 +72,49 @@ class Occurrences:
     def __init__(self, ids: np.ndarray, pos: np.ndarray, ends: np.ndarray):
         self.ids, self.pos, self.ends = ids, pos, ends
 
-    def kept(self, keep: np.ndarray) -> Occurrences:
+    def known(self, keys: np.ndarray) -> Occurrences:
+        """Those whose ids are among the sorted ``keys``, by their places there."""
+        if not len(keys):
+            return Occurrences(self.ids[:0], self.pos[:0], np.zeros(len(self.ends), np.int64))
+        at = np.minimum(np.searchsorted(keys, self.ids), len(keys) - 1)
+        keep = keys[at] == self.ids
         upto = np.concatenate([[0], np.cumsum(keep)])
-        return Occurrences(self.ids[keep], self.pos[keep], upto[self.ends])
+        return Occurrences(at[keep], self.pos[keep], upto[self.ends])
 
-    def extended(self) -> tuple[Occurrences, np.ndarray, np.ndarray]:
-        """Occurrences one word longer, and the ids of both their parts."""
+    def extended(self, n: int) -> tuple[Occurrences, np.ndarray, np.ndarray]:
+        """Occurrences one word longer, and the numbers of both their parts;
+        ``n`` is how many numbers there are. Ids are both numbers in one, or a
+        hash of them if that doesn't fit."""
         if len(self.ids) < 2:
-            none = np.zeros(0, np.uint64)
+            none = np.zeros(0, np.int64)
             return Occurrences(none, self.pos[:0], np.zeros(len(self.ends), np.int64)), none, none
         joins = self.pos[1:] == self.pos[:-1] + 1
         last = self.ends[(self.ends > 0) & (self.ends < len(self.ids))] - 1
         joins[last] = False
         at = np.flatnonzero(joins)
         left, right = self.ids[at], self.ids[at + 1]
-        ids = mixed(left * np.uint64(0x9E3779B97F4A7C15) + mixed(right))
+        if n <= PACKED:
+            ids = (left << 32) | right
+        else:
+            ids = _signed(mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(right.astype(np.uint64))))
         return Occurrences(ids, self.pos[at], np.searchsorted(at, self.ends)), left, right
 
-    def columns(self):
+    def columns(self, n: int):
         import pyarrow as pa
 
         cuts = np.concatenate([[0], self.ends])
         return [pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                for x, t in ((self.pos, "<u4"), (self.ids, "<u8"))]
+                for x, t in ((self.pos, "<u4"), (self.ids, _code(n)))]
 
 
-def _stored(pos, ids) -> Occurrences:
+def _code(n: int) -> str:
+    return "<u4" if n <= PACKED else "<i8"
+
+
+def _stored(pos, ids, n: int) -> Occurrences:
     pos, ids = (c.to_pylist() for c in (pos, ids))
-    return Occurrences(np.frombuffer(b"".join(ids), "<u8"), np.frombuffer(b"".join(pos), "<u4").astype(np.int64),
-                       np.cumsum([len(x) // 8 for x in ids]))
+    return Occurrences(np.frombuffer(b"".join(ids), _code(n)).astype(np.int64),
+                       np.frombuffer(b"".join(pos), "<u4").astype(np.int64), np.cumsum([len(x) // 4 for x in pos]))
 
 
 def _group_hash(name: str) -> int:
@@ -112,7 +130,7 @@ def _words(groups: list[str], texts) -> tuple[Occurrences, Words]:
     new[1:] = borders[1:] != borders[:-1]
     pos = np.arange(len(new)) + np.cumsum(new)
     first = np.repeat(pos[np.minimum(w.first[:-1], max(0, len(pos) - 1))], per) if len(pos) else pos
-    return Occurrences(mixed(w.hashes + salt), pos - first, w.first[1:].astype(np.int64)), w
+    return Occurrences(_signed(mixed(w.hashes + salt)), pos - first, w.first[1:].astype(np.int64)), w
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -134,39 +152,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words = [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(w.starts[first], w.ends[first], strict=True)]
             rows = np.searchsorted(w.first[1:], first, "right")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[r] for r in rows], pa.string()), pa.array(_signed(ids)), pa.array(words, pa.string()),
+                [pa.array([groups[r] for r in rows], pa.string()), pa.array(ids), pa.array(words, pa.string()),
                  pa.array(n, pa.int64())], ["group", "id", "phrase", "n"])
 
     return docs.mapInArrow(run, "group string, id long, phrase string, n long") \
         .groupBy("group", "id", "phrase").agg(F.sum("n").alias("a"))
 
 
-def _semi_ids(frequent: DataFrame, n: int, limit: int):
-    """The sorted ids as a broadcast array, if they are small enough."""
-    if 8 * n > limit:
-        return None
-    ids = np.sort(frequent.select("id").toArrow()["id"].to_numpy().view(np.uint64))
-    return frequent.sparkSession.sparkContext.broadcast(ids)
-
-
-def _within(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(ids), bool)
-    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
-
-
 def _relation(source: DataFrame, read, frequent: DataFrame, n: int, limit: int) -> DataFrame:
     """row, pos, ids: the occurrences that ``read`` finds in a batch of
-    ``source``, of frequent phrases alone."""
-    known = _semi_ids(frequent, n, limit)
-    if known is not None:
+    ``source``, of the ``n`` frequent phrases alone and by their numbers."""
+    if 8 * n <= limit:
+        keys = np.sort(frequent.select("key").toArrow()["key"].to_numpy())
+        keys = frequent.sparkSession.sparkContext.broadcast(keys)
+
         def near(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches_of(batches, _CHUNK):
-                o = read(batch)
-                o = o.kept(_within(o.ids, known.value))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *o.columns()], ["row", "pos", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *read(batch).known(keys.value).columns(n)],
+                                                 ["row", "pos", "ids"])
 
         return source.mapInArrow(near, "row long, pos binary, ids binary").where("octet_length(pos) > 0")
 
@@ -177,7 +182,7 @@ def _relation(source: DataFrame, read, frequent: DataFrame, n: int, limit: int)
             o = read(batch)
             rows = np.repeat(batch.column(0).to_numpy(), np.diff(np.concatenate([[0], o.ends])))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(o.pos, pa.int64()),
-                                              pa.array(_signed(o.ids))], ["row", "pos", "id"])
+                                              pa.array(o.ids)], ["row", "pos", "key"])
 
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -187,7 +192,7 @@ def _relation(source: DataFrame, read, frequent: DataFrame, n: int, limit: int)
         def one() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([row], pa.int64()), pa.array([np.concatenate(pos).astype("<u4").tobytes()], pa.binary()),
-                 pa.array([np.concatenate(ids).tobytes()], pa.binary())], ["row", "pos", "ids"])
+                 pa.array([np.concatenate(ids).astype(_code(n)).tobytes()], pa.binary())], ["row", "pos", "ids"])
 
         for batch in batches:
             rows, p, i = (c.to_numpy() for c in batch.columns)
@@ -204,63 +209,74 @@ def _relation(source: DataFrame, read, frequent: DataFrame, n: int, limit: int)
         if pos:
             yield one()
 
-    return source.mapInArrow(each, "row long, pos long, id long").join(frequent.select("id"), "id", "left_semi") \
-        .select("row", "pos", "id").repartition("row").sortWithinPartitions("row", "pos") \
+    return source.mapInArrow(each, "row long, pos long, key long").join(frequent.select("key", "no"), "key") \
+        .select("row", "pos", "no").repartition("row").sortWithinPartitions("row", "pos") \
         .mapInArrow(gather, "row long, pos binary, ids binary")
 
 
-def _counts(relation: DataFrame) -> DataFrame:
-    """id, lid, rid, a of the phrases one word longer than those of ``relation``."""
+def _counts(relation: DataFrame, n: int) -> DataFrame:
+    """key, lid, rid, a of the phrases one word longer than those of ``relation``."""
+    packed = n <= PACKED
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, _CHUNK):
-            o, left, right = _stored(batch.column(0), batch.column(1)).extended()
-            ids, first, n = np.unique(o.ids, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(x)) for x in (ids, left[first], right[first])] + [pa.array(n, pa.int64())],
-                ["id", "lid", "rid", "n"])
+            o, left, right = _stored(batch.column(0), batch.column(1), n).extended(n)
+            ids, first, count = np.unique(o.ids, return_index=True, return_counts=True)
+            parts = [] if packed else [pa.array(x[first]) for x in (left, right)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *parts, pa.array(count, pa.int64())], [*names, "n"])
+
+    names = ["key"] if packed else ["key", "lid", "rid"]
+    out = relation.select("pos", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])) \
+        .groupBy(*names).agg(F.sum("n").alias("a"))
+    if packed:
+        out = out.select("key", F.shiftright("key", 32).alias("lid"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("rid"), "a")
+    return out
 
-    return relation.select("pos", "ids").mapInArrow(run, "id long, lid long, rid long, n long") \
-        .groupBy("id", "lid", "rid").agg(F.sum("n").alias("a"))
+
+def _numbered(phrases: DataFrame) -> DataFrame:
+    """With ``no``: the phrase's place in the order of keys, from 0."""
+    ranked = distributed_row_number(phrases.withColumn("k", F.lit(0)), ["k"], [F.col("key")], "no")
+    return ranked.withColumn("no", F.col("no") - 1).drop("k")
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text",
          group_col: str = "lang", semi_bytes: int = SEMI_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of each length from 1 on, and the word count n of
-    each group. A phrase has group, id, phrase, a, the counts of its
+    each group. A phrase has group, no (its number), phrase, a, the counts of its
     beginnings (``starts``) and ends (``ends``) of 1, 2, ... words, and, from
-    two words on, the ids of its parts without the last (``lid``) and without the first word (``rid``)."""
+    two words on, the numbers of its parts without the last (``lid``) and
+    without the first word (``rid``)."""
     docs = docs.select(F.monotonically_increasing_id().alias("row"),
                        F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("group"),
                        F.col(text_col).cast("string").alias("text"))
     words = written(word_counts(docs.select("group", "text")), "word-counts")
     totals = written(words.groupBy("group").agg(F.sum("a").alias("n")), "word-totals")
-    found = [written(words.where(F.col("a") >= min_count).select(
-        "group", "id", "phrase", F.col("phrase").alias("last"), "a", F.array("a").alias("starts"), F.array("a").alias("ends")),
-        "phrases-1")]
+    found = [written(_numbered(words.where(F.col("a") >= min_count).select(
+        "group", F.col("id").alias("key"), "phrase", F.col("phrase").alias("last"), "a", F.array("a").alias("starts"),
+        F.array("a").alias("ends"))), "phrases-1")]
 
     def of_text(batch) -> Occurrences:
         return _words(batch.column(1).to_pylist(), batch.column(2))[0]
 
-    def longer(batch) -> Occurrences:
-        return _stored(batch.column(1), batch.column(2)).extended()[0]
-
-    relation = docs
+    relation, read = docs, of_text
     for k in range(2, max_words + 1):
         n = found[-1].count()
         if not n:
             break
-        relation = written(_relation(relation, of_text if k == 2 else longer, found[-1], n, semi_bytes), "occurrences")
-        counts = _counts(relation).where(F.col("a") >= min_count)
-        left = found[-1].select(F.col("id").alias("lid"), "group", F.col("phrase").alias("front"), "starts")
-        right = found[-1].select(F.col("id").alias("rid"), F.col("last"), F.col("ends"))
-        found.append(written(
+        relation = written(_relation(relation, read, found[-1], n, semi_bytes), "occurrences")
+        counts = _counts(relation, n).where(F.col("a") >= min_count)
+        left = found[-1].select(F.col("no").alias("lid"), "group", F.col("phrase").alias("front"), "starts")
+        right = found[-1].select(F.col("no").alias("rid"), F.col("last"), F.col("ends"))
+        found.append(written(_numbered(
             counts.join(left, "lid").join(right, "rid").select(
-                "group", "id", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "a",
+                "group", "key", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "a",
                 F.concat("starts", F.array("a")).alias("starts"), F.concat("ends", F.array("a")).alias("ends"),
-                "lid", "rid"), f"phrases-{k}"))
+                "lid", "rid")), f"phrases-{k}"))
+
+        def read(batch, n=n) -> Occurrences:
+            return _stored(batch.column(1), batch.column(2), n).extended(n)[0]
     return found, totals
 
 
@@ -286,10 +302,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     for k, phrases in enumerate(found[1:], 2):
         if k < len(found):
             longer = found[k]
-            held = longer.select(F.col("lid").alias("id"), F.col("a").alias("of")) \
-                .unionByName(longer.select(F.col("rid").alias("id"), F.col("a").alias("of"))) \
-                .groupBy("id").agg(F.max("of").alias("of"))
-            phrases = phrases.join(held, "id", "left").where(
+            held = longer.select(F.col("lid").alias("no"), F.col("a").alias("of")) \
+                .unionByName(longer.select(F.col("rid").alias("no"), F.col("a").alias("of"))) \
+                .groupBy("no").agg(F.max("of").alias("of"))
+            phrases = phrases.join(held, "no", "left").where(
                 F.col("of").isNull() | (100 * F.col("of") < percent * F.col("a")))
         best = _scored(phrases.join(broadcast_if_small(totals), "group"), k) \
             .select("group", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

@@ -60,5 +60,11 @@ def test_odd(spark, odd_docs, min_count, semi_bytes):
     assert check(odd_docs, min_count, semi_bytes=semi_bytes)
 
 
+def test_many_phrases(documents, monkeypatch):
+    """More numbers than fit twice in 64 bits: ids by hash."""
+    monkeypatch.setattr(sp, "PACKED", 0)
+    assert check(documents.where("doc_id < 100"), 5) and check(documents.where("doc_id < 100"), 5, semi_bytes=0)
+
+
 def test_empty(documents):
     assert check(documents.limit(0), 1) == [] and check(documents, 10**9) == []
