@@ -8,10 +8,11 @@ Shards: every window of ``length`` bytes has an owner, the leftmost of its
 ``GRAM``-byte strings with the least hash. Equal windows have equal owners at
 the same place, so windows are dealt to shards by their owner's hash and equal
 ones always meet. Owners that occur once in the corpus are left aside: no
-window of theirs is repeated. Of the others, each occurrence gives the piece
-of text that its windows cover; equal pieces of one owner are one piece from there on, known
-by its first place. Two windows of one piece are never equal, since they hold the
-owner at different places, so all windows of the later copies are repeated.
+window of theirs is repeated. Of the others, each occurrence stands for the piece
+of text that its windows cover; equal pieces of one owner (by a 64-bit hash
+besides the owner's) are one piece from there on, at its first place. Two
+windows of one piece are never equal, since they hold the owner at different
+places, so all windows of the later copies are repeated.
 
 A shard's text is its distinct pieces, one behind the other. Its suffixes are
 sorted by ``induced_sort`` with their common prefixes, on disk where they
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import distributed_row_number
-from ..session import broadcast_if_small, estimated_bytes
+from ..session import broadcast_if_small
 from .common import batches_of, n_tasks, worker_cache, written
 from .induced_sort import MEMORY, Disk, sorted_suffixes
 from .words import mixed, powers
@@ -55,6 +56,9 @@ STEPS = (8, 1)
 _CHUNK = 1 << 18
 #: Broadcast bound of tables that grow with the corpus.
 _SMALL = 8 << 20
+#: The same for the owners that occur more than once, 8 bytes each: beyond it
+#: all owners are shuffled once more.
+_SHARED = 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -64,12 +68,15 @@ def _tables():
     return powers(n, _BASE), powers(n, pow(_BASE, -1, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hash of every ``gram`` bytes."""
-    up, down = worker_cache(("powers", _CHUNK), _tables)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mixed((sums[gram:] - sums[:-gram]) * down[:len(data) - gram + 1])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * worker_cache(("powers", _CHUNK), _tables)[0][:len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from ``start`` to ``end``."""
+    return mixed((sums[end] - sums[start]) * worker_cache(("powers", _CHUNK), _tables)[1][start])
 
 
 def owners(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -98,12 +105,14 @@ def _flat(column):
 
 
 def owner_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
-    """Runs of windows with one owner: (hash, row, first window of the run in its row, number
-    of windows, the owner's distance from the first). ``at`` says where each
-    row begins."""
+    """Runs of windows with one owner: (hash of the owner, hash of the piece that
+    the run covers, row, first window of the run in its row, number of windows, the
+    owner's distance from the first). ``at`` says where each row begins."""
     for a in range(0, len(data) - length + 1, _CHUNK):
         part = data[a:a + _CHUNK + length - 1]
-        h = gram_hashes(part, gram)
+        sums = prefix_sums(part)
+        grams = np.arange(len(part) - gram + 1)
+        h = span_hashes(sums, grams, grams + gram)
         own = owners(h, length - gram + 1)[:len(part) - length + 1]
         first = np.arange(a, a + len(own))
         row = np.searchsorted(at, first, "right") - 1
@@ -113,7 +122,9 @@ def owner_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iter
             continue
         new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])))
         n = np.diff(np.append(new, len(first)))
-        yield h[own[new]], row[new], first[new] - at[row[new]], n, own[new] + a - first[new]
+        begin = first[new] - a
+        piece = mixed(span_hashes(sums, begin, begin + n + length - 1) + n.astype(np.uint64))
+        yield h[own[new]], piece, row[new], first[new] - at[row[new]], n, own[new] - begin
 
 
 def _marks(padded: np.ndarray, windows: np.ndarray, places: np.ndarray, length: int, disk: Disk,
@@ -189,43 +200,60 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
                                                            .alias("copy")), "order", "snappy")
     copies = order.where(F.col("copy") | (F.col("bytes") < length)).select("row")
 
+    originals = texts.join(broadcast_if_small(copies, _SMALL), "row", "left_anti").select("row", "text")
+
+    def owners_of(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches_of(batches, 4 << 20):
+            for h, *_ in owner_runs(*_flat(batch.column(0)), length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["owner"])
+
     def runs(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, 4 << 20):
             rows = batch.column(0).to_numpy()
-            for h, row, at, n, away in owner_runs(*_flat(batch.column(1)), length, gram):
+            for h, piece, row, at, n, away in owner_runs(*_flat(batch.column(1)), length, gram):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(rows[row]), pa.array(at.astype(np.int32)),
-                     pa.array(n.astype(np.int32)), pa.array(away.astype(np.int32))], ["owner", "row", "at", "n", "away"])
-
-    own = written(texts.join(broadcast_if_small(copies, _SMALL), "row", "left_anti").select("row", "text")
-                  .mapInArrow(runs, "owner long, row long, at int, n int, away int"), "owners")
-    shared = written(own.groupBy("owner").agg(F.count("*").alias("of")).where("of > 1").select("owner"), "shared", "snappy")
-    met = own.join(broadcast_if_small(shared, _SMALL), "owner")
-    # a document's runs are bounded by its length
-    asked = met.join(broadcast_if_small(order.select("row", "number"), _SMALL), "row") \
-        .groupBy("row", "number").agg(F.collect_list(F.struct("owner", "at", "n", "away")).alias("runs"))
+                    [pa.array(h.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(rows[row]), pa.array(at),
+                     pa.array(n.astype(np.int32)), pa.array(away.astype(np.int32))],
+                    ["owner", "sign", "row", "at", "n", "away"])
+
+    shared = written(originals.select("text").mapInArrow(owners_of, "owner long").groupBy("owner").agg(F.count("*").alias("of"))
+                     .where("of > 1").select("owner"), "shared", "snappy")
+    place = (F.shiftleft("number", bits) + F.col("at")).alias("place")
+    met = written(originals.mapInArrow(runs, "owner long, sign long, row long, at long, n int, away int")
+                  .join(broadcast_if_small(shared, _SHARED), "owner")
+                  .join(broadcast_if_small(order.select("row", "number"), _SMALL), "row")
+                  .select("owner", "sign", "row", place, "n", "away"), "met")
+    firsts = written(met.groupBy("owner", "sign").agg(F.min("place").alias("place")), "first-places")
+    met = written(met.drop("sign").join(firsts.select("place", F.lit(True).alias("first")), "place", "left"), "judged")
+    later = met.where("first is null").select("place", "n")
+    # a document's pieces are bounded by its length
+    asked = met.where("first").groupBy("row").agg(F.collect_list(F.struct("owner", "place", "n", "away")).alias("runs"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, 4 << 20):
-            number, raw, lists = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_binary()), batch.column(2)
+            raw, lists = batch.column(0).cast(pa.large_binary()), batch.column(1)
             flat, upto = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            owner, at, n, away = (flat.field(k) for k in range(4))
-            a, b, out = at.to_pylist(), n.to_pylist(), []
+            owner, place, n, away = (flat.field(k) for k in range(4))
+            a, b, out = (place.to_numpy() & ((1 << bits) - 1)).tolist(), n.to_pylist(), []
             for i, text in enumerate(raw):
                 t = text.as_py()
                 out += [t[a[k]:a[k] + b[k] + length - 1] for k in range(upto[i], upto[i + 1])]
-            place = (np.repeat(number, np.diff(upto)) << bits) + at.to_numpy()
-            yield pa.RecordBatch.from_arrays([owner, pa.array(place), away, pa.array(out, pa.binary())],
+            yield pa.RecordBatch.from_arrays([owner, place, away, pa.array(out, pa.binary())],
                                              ["owner", "place", "away", "piece"])
 
-    pieces = texts.select("row", "text").join(asked, "row").select("number", "text", "runs") \
+    shards = texts.select("row", "text").join(asked, "row").select("text", "runs") \
         .mapInArrow(cut, "owner long, place long, away int, piece binary")
-    shards, later = _distinct(pieces, length)
-    for step in STEPS:
+    if met.where("first").groupBy("owner").count().where(F.col("count") > hot).take(1):
+        shards = written(shards, "pieces")
+    else:
+        hot = None  # no owner is
+    for step in STEPS if hot is not None else ():
         many = shards.groupBy("owner").agg(F.count("*").alias("of")).where(F.col("of") > hot).select("owner")
         many = written(many, "hot-owners", "snappy")
         if not many.take(1):
@@ -268,7 +296,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(place[a + piece] + where - starts[piece]), pa.array(size, pa.int32())],
                                              ["place", "n"])
 
-    tasks = n_tasks(spark, 4 * estimated_bytes(shards))
+    # some 130 bytes a piece
+    tasks = n_tasks(spark, 130 * firsts.count())
     found = shards.select("owner", "place", "piece").repartition(tasks, "owner").select("place", "piece") \
         .mapInArrow(sort, "place long, n int")
     spans = later.unionByName(found) \
@@ -313,27 +342,41 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     # a document's runs are bounded by its length
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
-    def apply(batches: Iterator) -> Iterator:
+    def merge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches_of(batches, 4 << 20):
-            kept, removed = [], []
-            for text, runs in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
-                raw, gone, out, at = text.as_py(), [], [], 0
-                for a, b in sorted((r["at"], r["at"] + r["n"] + length - 1) for r in runs or ()):
-                    if gone and a <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], b)
+            out = []
+            for runs in batch.column(1).to_pylist():
+                gone: list = []
+                for a, b in sorted((r["at"], r["at"] + r["n"] + length - 1) for r in runs):
+                    if gone and a <= gone[-1]["end"]:
+                        gone[-1]["end"] = max(gone[-1]["end"], b)
                     else:
-                        gone.append([a, b])
-                for a, b in gone:
-                    out.append(raw[at:a])
-                    at = b
-                kept.append(b"".join(out) + raw[at:])
-                removed.append([{"start": a, "end": b} for a, b in gone])
+                        gone.append({"start": a, "end": b})
+                out.append(gone)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(removed, kind),
-                                              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "removed"])
+
+    kind = "array<struct<start: long, end: long>>"
+    spans = written(spans.mapInArrow(merge, f"row long, removed {kind}"), "removed")
+
+    def apply(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches_of(batches, 4 << 20):
+            kept = []
+            for text, gone in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
+                raw, out, at = text.as_py(), [], 0
+                for r in gone:
+                    out.append(raw[at:r["start"]])
+                    at = r["end"]
+                kept.append(b"".join(out) + raw[at:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(kept, pa.binary())],
+                                             ["doc_id", "n_bytes", "removed", "kept"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.join(spans, "row", "left").select("doc_id", "text", "runs", F.col("bytes").cast("long").alias("bytes")) \
-        .mapInArrow(apply, f"doc_id {id_type}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    none = F.expr(f"cast(array() as {kind.replace(': ', ':')})")
+    return texts.join(broadcast_if_small(spans, _SMALL), "row", "left") \
+        .select("doc_id", "text", F.coalesce("removed", none).alias("removed"), F.col("bytes").cast("long").alias("bytes")) \
+        .mapInArrow(apply, f"doc_id {id_type}, n_bytes long, removed {kind}, kept binary")
