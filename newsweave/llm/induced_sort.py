@@ -21,7 +21,8 @@ The queue is monotone: what is pushed comes later in the scan, and pushes for
 one symbol arrive in the order in which they leave. So it is a row of buckets
 of symbol ranges, each first in, first out; buckets ahead of the scan go to
 disk once ``memory`` tuples are held. Positions, pieces and names are arrays
-in files too: what the process holds does not grow with the text.
+in files too, where they are longer than that: what the process holds does not
+grow with the text.
 Files have no name any more once open, so nothing is left behind whatever
 happens to the task; nothing else ever reads them.
 
@@ -43,20 +44,26 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY = 1 << 20
+MEMORY = 1 << 22
+#: Tuples handled at once.
+BATCH = 1 << 18
 #: Symbols of a piece; 7 of 9 bits (value and type) fill one key of a byte text.
 BYTE_WIDTH, NAME_WIDTH = 6, 4
 
 
 class Disk:
-    """Files without names in Spark's local folder."""
+    """Files without names in Spark's local folder, for what is longer than
+    ``memory``."""
 
-    def __init__(self):
+    def __init__(self, memory: int = MEMORY):
+        self.memory = memory
         self.folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         if self.folder and not os.path.isdir(self.folder):
             self.folder = None
 
     def array(self, n: int, dtype) -> np.ndarray:
+        if n <= self.memory:
+            return np.zeros(n, dtype)
         f = tempfile.TemporaryFile(dir=self.folder)
         f.truncate(max(1, n) * np.dtype(dtype).itemsize)
         return np.asarray(np.memmap(f, dtype, "r+", shape=(max(1, n),))[:n])
@@ -152,8 +159,8 @@ class Queue:
     """The monotone priority queue: one first-in-first-out bucket for each
     symbol range, ``edges[b] <= symbol < edges[b + 1]``."""
 
-    def __init__(self, edges: np.ndarray, disk: Disk, memory: int):
-        self.edges, self.memory, self.log = edges, memory, disk.log()
+    def __init__(self, edges: np.ndarray, disk: Disk, memory: int, kinds: list):
+        self.edges, self.memory, self.log, self.kinds = edges, memory, disk.log(), kinds
         self.held: dict[int, list] = {}
         self.spilt: dict[int, list] = {}
         self.n = 0
@@ -170,13 +177,15 @@ class Queue:
         self.n += len(symbols)
         if self.n > self.memory:
             for k, parts in self.held.items():
-                self.spilt.setdefault(k, []).append([self.log.append(np.concatenate(c)) for c in zip(*parts, strict=True)])
+                self.spilt.setdefault(k, []).append([self.log.append(np.concatenate(c).astype(t))
+                                                     for c, t in zip(zip(*parts, strict=True), self.kinds, strict=True)])
             self.held, self.n = {}, 0
 
     def take(self, b: int):
         """The bucket's oldest tuples, None if it is empty."""
         if self.spilt.get(b):
-            return [self.log.read(w) for w in self.spilt[b].pop(0)]
+            symbols, pos, shared = (self.log.read(w) for w in self.spilt[b].pop(0))
+            return [symbols.astype(np.int64), pos.astype(np.int64), shared]
         parts = self.held.pop(b, None)
         if parts is None:
             return None
@@ -213,15 +222,17 @@ class Level:
                  padded: np.ndarray | None = None):
         self.text, self.disk, self.memory, self.limit, self.width = text, disk, memory, limit, width
         self.n, self.top = len(text), int(edges[-1])
-        self.edges = edges
+        self.edges, self.step = edges, min(memory, BATCH)
+        self.place = np.int32 if self.n < 1 << 31 else np.int64
+        self.kinds = [np.uint16 if self.top <= 1 << 16 else np.uint32, self.place, np.uint8]
         if limit:  # eight bytes from any place on
             self.words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
         self.small = self._types()
 
     def _chunks(self, backwards: bool = False) -> Iterator[tuple[int, int]]:
-        starts = range(0, self.n, self.memory)
+        starts = range(0, self.n, self.step)
         for a in reversed(starts) if backwards else starts:
-            yield a, min(self.n, a + self.memory)
+            yield a, min(self.n, a + self.step)
 
     def _types(self) -> np.ndarray:
         """1 for S suffixes."""
@@ -260,10 +271,10 @@ class Level:
             more = np.maximum(0, (ends - starts - 1) // self.width)
             k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
             got = np.sort(np.concatenate([lms, np.repeat(starts, more) + k * self.width]))
-            parts.append(log.append(got))
+            parts.append(log.append(got.astype(self.place)))
             n += len(got)
             last = int(lms[-1])
-        out, i = self.disk.array(n, np.int64), 0
+        out, i = self.disk.array(n, self.place), 0
         for w in parts:
             out[i:i + w[1]] = log.read(w)
             i += w[1]
@@ -288,13 +299,13 @@ class Level:
         samples = self._samples()
         m = len(samples)
         sorter = Sorter(self.disk, self.memory)
-        for a in range(0, m, self.memory):
-            b = min(m, a + self.memory)
-            pos = np.asarray(samples[a:b])
-            nxt = np.asarray(samples[a + 1:b + 1])
+        for a in range(0, m, self.step):
+            b = min(m, a + self.step)
+            pos = samples[a:b].astype(np.int64)
+            nxt = samples[a + 1:b + 1].astype(np.int64)
             nxt = np.append(nxt, self.n - 1) if b == m else nxt
-            sorter.push(*self._keys(pos, nxt), np.arange(a, b))
-        names, order = self.disk.array(m, np.uint32), self.disk.array(m, np.int64)
+            sorter.push(*self._keys(pos, nxt), np.arange(a, b, dtype=self.place))
+        names, order = self.disk.array(m, np.uint32), self.disk.array(m, self.place)
         done, name, before = 0, -1, None
         edges, load, room = [0], 0, _room(m, self.memory)
         for block in sorter.blocks():
@@ -350,7 +361,7 @@ class Level:
         large to small, with symbols counted from the top."""
         top = self.top
         edges = (top - self.edges)[::-1].copy() if flip else self.edges
-        queue = Queue(edges, self.disk, self.memory)
+        queue = Queue(edges, self.disk, self.memory, self.kinds)
         carry = np.zeros(top + 1, np.int16) if self.limit else None
         known = np.zeros(top + 1, bool) if self.limit else None
         last = (-1, -1, True)
@@ -420,7 +431,7 @@ class Level:
             queue.push(s, p, carried(at, s, batch[2]) if self.limit else np.zeros(len(p), np.uint8))
             return batch
 
-        step = self.memory
+        step = self.step
         for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if hi - lo == 1:  # one symbol: in the order of arrival, then the seeds
                 while (got := queue.take(b)) is not None:
@@ -482,8 +493,8 @@ class Level:
 
         def lms() -> Iterator[list[np.ndarray]]:
             before = None
-            for a in range(0, len(order), self.memory):
-                pos = samples[np.asarray(order[a:a + self.memory])]
+            for a in range(0, len(order), self.step):
+                pos = samples[order[a:a + self.step]].astype(np.int64)
                 pos = pos[self._is_lms(pos)]
                 if not len(pos):
                     continue
@@ -497,16 +508,18 @@ class Level:
                 yield [self.text[pos].astype(np.int64), pos, shared]
 
         found, parts = self.disk.log(), []
-        for s, pos, shared, seed in self._scan(Seeds(lms()), 0, False):
+        for _, pos, shared, seed in self._scan(Seeds(lms()), 0, False):
             large = ~seed
             if large.any():
-                parts.append([found.append(c[large]) for c in (s, pos, shared)])
+                parts.append([found.append(pos[large].astype(self.place)), found.append(shared[large])])
+        del samples, order
 
         def downwards() -> Iterator[list[np.ndarray]]:
             above = np.uint8(0)
             while parts:
-                s, pos, shared = (found.read(w)[::-1] for w in parts.pop())
-                yield [self.top - 1 - s, pos, np.append(above, shared[:-1])]
+                pos, shared = (found.read(w)[::-1] for w in parts.pop())
+                pos = pos.astype(np.int64)
+                yield [self.top - 1 - self.text[pos].astype(np.int64), pos, np.append(above, shared[:-1])]
                 above = shared[-1]
 
         for _, pos, shared, _ in self._scan(Seeds(downwards()), 1, True):
@@ -525,8 +538,8 @@ def sorted_suffixes(padded: np.ndarray, limit: int, disk: Disk, memory: int = ME
     byte must be its only 0."""
     n = len(padded) - limit - 8
     counts = np.zeros(256, np.int64)
-    for a in range(0, n, memory):
-        counts += np.bincount(padded[a:min(n, a + memory)], minlength=256)
+    for a in range(0, n, BATCH):
+        counts += np.bincount(padded[a:min(n, a + BATCH)], minlength=256)
     edges, load, room = [0], 0, _room(n, memory)
     for s, c in enumerate(counts.tolist()):
         if load and load + c > room:

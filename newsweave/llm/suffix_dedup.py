@@ -265,7 +265,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        disk = Disk()
+        disk = Disk(memory)
         log, parts, places, windows = disk.log(), [], [], []
         for batch in batches_of(batches, 1 << 20):
             data, at = _flat(batch.column(1))

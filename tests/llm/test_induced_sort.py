@@ -20,7 +20,7 @@ def common(a, b, limit):
 def check(body, limit, memory):
     t = bytes(body) + b"\0"
     padded = np.frombuffer(t + b"\0" * (limit + 8), np.uint8)
-    got = list(sorted_suffixes(padded, limit, Disk(), memory))
+    got = list(sorted_suffixes(padded, limit, Disk(memory), memory))
     pos = np.concatenate([g[0] for g in got]).tolist() if got else []
     shared = np.concatenate([g[1] for g in got]).tolist() if got else []
     want = plain_suffixes(t)
@@ -60,7 +60,7 @@ def test_fibonacci():
 @pytest.mark.parametrize("memory", [3, 50, 10_000])
 def test_sorter(memory):
     rng = np.random.default_rng(memory)
-    s, rows = Sorter(Disk(), memory), []
+    s, rows = Sorter(Disk(memory), memory), []
     for _ in range(20):
         a, b = rng.integers(0, 9, 37).astype(np.uint64), rng.integers(0, 2**63, 37).astype(np.uint64)
         c = np.arange(37)
