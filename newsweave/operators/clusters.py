@@ -44,9 +44,7 @@ LOCAL_MAX_NODES = 2000
 
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write a round's table into the shared folder and read it back with its
-    row count (answered from the parquet footers). An ``observe`` on the
-    write would save that small job, but a session that has used observations
-    can no longer serialize MLlib closures in Spark 4.1."""
+    row count (answered from the parquet footers)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)

@@ -2,8 +2,10 @@
 
 Sentences are scored by the mean document frequency of their words (Luhn
 1958): a word's weight is how often it occurs in the document; a sentence's
-score is the mean weight of its words. The summary keeps the ``k`` best
-sentences in their original order; the headline is the best sentence cut to
+score is the mean weight of its words. The summary takes sentences from the
+best down, ``k`` at most, and passes over each that shares ``GRAM`` words in a row
+with those taken, so no run of that length stands in it twice by two sentences;
+they keep their original order. The headline is the best sentence cut to
 ``n`` words. All counts are integers, so the scores are exact ratios and the
 ranking does not depend on summation order.
 
@@ -23,12 +25,34 @@ from pyspark.sql import functions as F
 from .classify import raw_words
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
+#: Words in a row that two sentences of a summary must not share.
+GRAM = 4
 
 
 def sentences(text: str = "text") -> F.Column:
     return F.regexp_extract_all(F.col(text), F.lit(SENTENCE), 0)
 
 
+def _grams(sentence: F.Column, n: int = GRAM) -> F.Column:
+    """All runs of ``n`` words of a sentence."""
+    words = F.filter(raw_words(F.trim(sentence)), lambda w: w != "")
+    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
+def _greedy(ranked: F.Column, sents: F.Column, k: int) -> F.Column:
+    """Sentence numbers taken from the best down, without shared runs."""
+    start = F.struct(F.array().cast("array<int>").alias("sids"), F.array().cast("array<string>").alias("grams"))
+
+    def take(state: F.Column, sid: F.Column) -> F.Column:
+        grams = _grams(F.get(sents, sid))
+        fits = (F.size(state["sids"]) < k) & ~F.arrays_overlap(state["grams"], grams)
+        return F.when(fits, F.struct(F.array_append(state["sids"], sid).alias("sids"),
+                                     F.concat(state["grams"], grams).alias("grams"))).otherwise(state)
+
+    return F.aggregate(ranked, start, take, lambda state: state["sids"])
+
+
 def summaries(docs: DataFrame, k: int = 2, n_words: int = 12) -> DataFrame:
     """(doc_id, summary, headline) of every document with a word."""
     dealt = docs.select("doc_id", "text").repartition("doc_id")
@@ -38,11 +62,11 @@ def summaries(docs: DataFrame, k: int = 2, n_words: int = 12) -> DataFrame:
     tf = F.count("*").over(Window.partitionBy("doc_id", "word"))
     scores = (words.withColumn("tf", tf).groupBy("doc_id", "sid")
               .agg((F.sum("tf") / F.count("*")).alias("score")))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc("sid"))
-    top = (scores.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= F.lit(int(k)))
-           .groupBy("doc_id").agg(F.array_sort(F.collect_list("sid")).alias("sids"),
-                                  F.min_by("sid", "rn").alias("first")))
-    found = dealt.join(top, "doc_id").withColumn("s", sentences())
+    # best first: by falling score, then by place
+    top = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("at"), "sid"))).alias("best"))
+    found = (dealt.join(top, "doc_id").withColumn("s", sentences())
+             .withColumn("sids", F.array_sort(_greedy(F.col("best.sid"), F.col("s"), int(k))))
+             .withColumn("first", F.col("best")[0]["sid"]))
     tokens = F.filter(F.split(F.trim(F.get("s", F.col("first"))), r"\s+"), lambda t: t != "")
     return found.select("doc_id",
                         F.array_join(F.transform("sids", lambda i: F.trim(F.get(F.col("s"), i))), " ").alias("summary"),

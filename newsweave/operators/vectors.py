@@ -95,7 +95,7 @@ def bag_vectors(bags: DataFrame, embeddings: DataFrame) -> DataFrame:
              .groupBy("bag", "vec_id").agg(F.count("*").alias("n")))
     emb = embeddings.select("vec_id", F.col("embedding").alias("e"))
     sums = (known.join(broadcast_if_small(emb), "vec_id").groupBy("bag")
-            .agg(*[F.sum(F.col("n") * F.col("e")[i]).alias(f"_d{i}") for i in range(dim)]))
+            .agg(*[F.sum(F.col("n") * F.col("e")[i].cast("double")).alias(f"_d{i}") for i in range(dim)]))
     n_unk = F.size(F.filter("bag", lambda v: v == UNK_VEC_ID))
     comps = [(F.coalesce(F.col(f"_d{i}"), F.lit(0.0)) + n_unk * F.lit(unk[i])) / F.size("bag") for i in range(dim)]
     return distinct.join(sums, "bag", "left").select("bag", F.array(*comps).alias("vec"))

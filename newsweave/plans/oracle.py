@@ -129,10 +129,19 @@ def sentence_ctes(texts: str, p: str = "") -> list[tuple[str, list[str], str]]:
         (f"{p}best", [f"{p}sc", f"{p}sents"], f"""SELECT c.*, s.sentence,
   row_number() OVER (PARTITION BY c.doc_id ORDER BY score DESC, c.sid) AS rn
   FROM {p}sc c JOIN {p}sents s USING (doc_id, sid)"""),
-        (f"{p}short", [f"{p}best"], f"""SELECT doc_id,
-  string_agg(sentence, ' ' ORDER BY sid) FILTER (rn <= {SUMMARY_SENTENCES}) AS summary,
+        (f"{p}grams", [f"{p}best"], f"""SELECT doc_id, sid, rn, list_transform(range(1, len(l) - 2), lambda i:
+  array_to_string(l[i:i + 3], ' ')) AS g FROM (SELECT doc_id, sid, rn, {WORDS.format(x='sentence')} AS l FROM {p}best)"""),
+        # one more sentence a round: the best behind the last one taken that shares no four words with any taken
+        *[(f"{p}taken{i}", [f"{p}grams"] + [f"{p}taken{i - 1}"] * (i > 0), f"""SELECT doc_id, min(rn) AS rn FROM {p}grams b
+  WHERE """ + (f"""rn > (SELECT t.rn FROM {p}taken{i - 1} t WHERE t.doc_id = b.doc_id) AND NOT EXISTS (
+    SELECT 1 FROM ({' UNION ALL '.join(f'SELECT * FROM {p}taken{j}' for j in range(i))}) t JOIN {p}grams a USING (doc_id, rn)
+    WHERE a.doc_id = b.doc_id AND list_has_any(a.g, b.g))""" if i else "rn = 1") + " GROUP BY doc_id")
+          for i in range(SUMMARY_SENTENCES)],
+        (f"{p}short", [f"{p}best", f"{p}taken{SUMMARY_SENTENCES - 1}"], f"""SELECT doc_id,
+  string_agg(sentence, ' ' ORDER BY sid) FILTER (rn IN (SELECT t.rn FROM ({' UNION ALL '.join(
+      f'SELECT * FROM {p}taken{j}' for j in range(SUMMARY_SENTENCES))}) t WHERE t.doc_id = b.doc_id)) AS summary,
   max(array_to_string(list_slice(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda t: t <> ''),
-    1, {HEADLINE_WORDS}), ' ')) FILTER (rn = 1) AS headline FROM {p}best GROUP BY doc_id"""),
+    1, {HEADLINE_WORDS}), ' ')) FILTER (rn = 1) AS headline FROM {p}best b GROUP BY doc_id"""),
     ]
 
 
@@ -374,6 +383,9 @@ def q(name: str, needed: list[str], select: str) -> None:
 
 # --- sources and sinks
 q("scan_messages", ["messages"], f'SELECT agency, "index", {_d("date")} AS date, message FROM messages')
+q("scan_bad_messages", ["posts"], """SELECT agency, CASE WHEN page % 3 = 0 THEN 'unparsable' ELSE 'no messages' END AS reason,
+  '{"page": ' || CAST(page AS VARCHAR) || CASE WHEN page % 3 = 0 THEN ', "messages": [{"id": 1' ELSE '}' END AS record
+  FROM (SELECT DISTINCT agency, "index" // 100 AS page FROM posts) WHERE page % 3 < 2""")
 q("scan_range", ["articles"], f"""SELECT agency, "index", {_d('date')} AS date FROM articles
   WHERE date >= TIMESTAMP {_q(SCAN_START)} AND date < TIMESTAMP {_q(SCAN_END)}""")
 q("active_sources", ["articles"], """SELECT agency, "index" FROM articles
@@ -392,6 +404,9 @@ INCREMENTAL = """SELECT a.* FROM posts a LEFT JOIN (
   USING (agency) WHERE a."index" > coalesce(h.hw, 0) AND a.raw_news IS NOT NULL AND a.raw_news <> ''"""
 q("ingest_metrics", ["posts", "stored"], f"""SELECT agency, count(*) AS n_articles, {_d('min(date)')} AS first_date,
   {_d('max(date)')} AS last_date FROM ({INCREMENTAL}) GROUP BY agency""")
+q("stream_metrics", ["posts", "stored"], f"""SELECT agency, count(*) AS n_articles,
+  {_d("date_trunc('second', min(date))")} AS first_date, {_d("date_trunc('second', max(date))")} AS last_date
+  FROM ({INCREMENTAL}) WHERE CAST(regexp_extract(agency, '(\\d+)$', 1) AS INTEGER) % 2 = 0 GROUP BY agency""")
 # --- filters
 q("incremental_filter", ["posts", "stored"], f'SELECT agency, "index" FROM ({INCREMENTAL})')
 q("drop_empty", [], f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars FROM (
@@ -441,9 +456,9 @@ q("cluster_min", ["story"], f"""SELECT {SLOT_OUT}, label, size, {_d('date')} AS
   FROM story""")
 q("cluster_links", ["links"], f"SELECT {SLOT_OUT}, label, link FROM links")
 q("article_vectors", ["vectors"], """SELECT "index", CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim,
-  round(round(unnest(vec), 9), 6) AS value FROM vectors""")
-q("digest_text", ["lines", "categories", "users"], f"""
-SELECT b.user_id, CAST(b.digest_date AS VARCHAR) AS digest_date, b.part,
+  floor(unnest(vec) * 1e6 + 0.50003719) / 1e6 AS value FROM vectors""")
+cte("digests", ["lines", "categories", "users"], f"""
+SELECT b.user_id, b.digest_date, b.part,
   coalesce(u.first_name, 'Reader') || ', hello!' || chr(10) || chr(10) || 'Your ' ||
   CASE b.part WHEN 1 THEN 'morning ' WHEN 2 THEN 'daytime ' WHEN 3 THEN 'evening ' WHEN 4 THEN 'night ' ELSE '' END ||
   'digest for' || chr(10) || strftime(b.digest_date, '%d %B %Y') || ':' || chr(10) || b.body AS text
@@ -455,6 +470,14 @@ FROM (SELECT user_id, digest_date, part, string_agg(t, '' ORDER BY category_no,
     SELECT user_id, digest_date, part, category_no, rank AS r,
       CAST(label AS VARCHAR) || '. ' || title || chr(10) AS t FROM lines) GROUP BY ALL) b
 LEFT JOIN users u USING (user_id)""")
+q("digest_text", ["digests"], f"SELECT user_id, {SLOT_OUT}, text FROM digests")
+cte("delivered", ["digests"], """SELECT user_id, digest_date, part, text, CAST(digest_date AS TIMESTAMP)
+  + to_hours(CASE part WHEN 1 THEN 8 WHEN 2 THEN 13 WHEN 3 THEN 18 ELSE 22 END) AS sent_at FROM digests""")
+q("deliver_slot", ["delivered"], f"SELECT user_id, {SLOT_OUT}, {_d('sent_at')} AS sent_at, text FROM delivered")
+q("deliver_asof", ["delivered", "kinds"], f"""SELECT request_id, user_id, {_d('digest_sent_at')} AS digest_sent_at, {SLOT_OUT} FROM (
+  SELECT r.request_id, r.user_id, l.sent_at AS digest_sent_at, l.digest_date, l.part, row_number() OVER (
+    PARTITION BY r.request_id ORDER BY l.sent_at DESC, l.digest_date DESC, l.part DESC) AS rn
+  FROM kinds r LEFT JOIN delivered l ON l.user_id = r.user_id AND l.sent_at <= r.sent_at WHERE r.kind = 'coordinates') WHERE rn = 1""")
 q("drilldown_links", ["resolved", "links"], f"""SELECT r.request_id, CAST(r.digest_date AS VARCHAR) AS digest_date, r.part,
   r.label, k.link FROM resolved r JOIN links k ON k.digest_date = r.src_date AND k.part = r.src_part
   AND k.label = r.label WHERE k.link <> 'https://t.me/economika'""")
@@ -518,13 +541,26 @@ kept AS (SELECT doc_id, category FROM (SELECT doc_id, class AS category,
   WHERE rn = 1 AND category <> 'not_news')"""
 q("classify_nb", [], "WITH " + NB.format(train_words=WORDS.format(x="text"), texts="documents")
   + "\nSELECT doc_id, category FROM kept")
+q("classify_multi", [], f"""WITH train AS (SELECT d.doc_id, d.text, concat('q', l.quality, 't', l.toxic) AS class
+          FROM documents d JOIN labels l USING (doc_id)),
+priors AS (SELECT class, ln(count(*) / sum(count(*)) OVER ()) AS logprior FROM train GROUP BY class),
+counts AS (SELECT class, word, count(*) AS n FROM (SELECT class, unnest({WORDS.format(x="text")}) AS word FROM train) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT word FROM counts),
+totals AS (SELECT p.class, coalesce(sum(n), 0) AS total FROM priors p LEFT JOIN counts USING (class) GROUP BY p.class),
+model AS (SELECT v.word, c.class, ln((coalesce(k.n, 0) + 1) / (c.total + (SELECT count(*) FROM vocabulary))) AS logp
+          FROM vocabulary v CROSS JOIN totals c LEFT JOIN counts k ON k.word = v.word AND k.class = c.class),
+dwc AS (SELECT doc_id, word, count(*) AS cnt FROM (SELECT doc_id, unnest({WORDS.format(x="text")}) AS word FROM documents) GROUP BY ALL),
+ll AS (SELECT doc_id, class, sum(cnt * logp) AS ll FROM dwc JOIN model USING (word) GROUP BY ALL)
+SELECT doc_id, class AS category FROM (SELECT d.doc_id, p.class, row_number() OVER (PARTITION BY d.doc_id
+  ORDER BY p.logprior + coalesce(ll.ll, 0) DESC, p.class DESC) AS rn
+  FROM documents d CROSS JOIN priors p LEFT JOIN ll USING (doc_id, class)) WHERE rn = 1""")
 q("summarise", ["short"], "SELECT doc_id, summary FROM short")
 q("headline", ["short"], "SELECT doc_id, headline FROM short")
 q("score_batches", [], r"""SELECT doc_id, CASE WHEN text IS NULL THEN 0.0 ELSE
   round(len(regexp_extract_all(text, '\p{L}')) / greatest(length(text), 1), 6) END AS score FROM documents""")
 # --- stories, digests on demand, users
 q("title_copies", ["members"], f'SELECT {SLOT_OUT}, "index", node FROM members')
-for _name in ("story_clusters", "story_clusters_distributed", "late_refresh"):
+for _name in ("story_clusters", "story_clusters_distributed", "late_refresh", "stream_late"):
     q(_name, ["labelled"], f'SELECT {SLOT_OUT}, "index", cid, size, label FROM labelled')
 q("story_representative", ["labelled"], f"""SELECT {SLOT_OUT}, label, size, {_d('date')} AS date, agency, category, title,
   short_news FROM (SELECT *, row_number() OVER (PARTITION BY digest_date, part, label ORDER BY date, "index") AS rn
@@ -590,10 +626,16 @@ WHERE i."index" > coalesce(h.hw, 0)""")
 q("slot_assign", [], f"""SELECT event_id, {_d('CAST(ts + INTERVAL 3 HOUR AS DATE)')} AS digest_date,
   {_part('ts')} AS part FROM events""")
 q("stream_slots", [], f"""SELECT {SLOT_OUT}, count(*) AS n_events FROM (SELECT {_slot_cols('ts')} FROM events) GROUP BY ALL""")
-q("late_rows", [], f"""SELECT {SLOT_OUT}, count(*) AS n_events, CAST(sum(CASE WHEN arrival_ts >=
+for _name in ("late_rows", "stream_late_counts"):
+    q(_name, [], f"""SELECT {SLOT_OUT}, count(*) AS n_events, CAST(sum(CASE WHEN arrival_ts >=
     CAST(digest_date AS TIMESTAMP) + to_hours(CASE part WHEN 1 THEN 7 WHEN 2 THEN 12 WHEN 3 THEN 17 ELSE 21 END + 1)
     THEN 1 ELSE 0 END) AS BIGINT) AS n_late
   FROM (SELECT *, {_slot_cols('ts')}, ts + to_minutes(CAST((event_id % 7) * 30 AS BIGINT)) AS arrival_ts FROM events) GROUP BY ALL""")
+q("stream_slot_close", [], f"""WITH e AS (SELECT ts, {_slot_cols('ts')}, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end FROM events),
+  h AS (SELECT max(hour_end) AS horizon FROM e WHERE hour_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e))
+  SELECT {SLOT_OUT}, count(*) AS n_events FROM e, h WHERE
+    CAST(digest_date AS TIMESTAMP) + to_hours(CASE part WHEN 1 THEN 7 WHEN 2 THEN 12 WHEN 3 THEN 17 ELSE 21 END) <= horizon
+  GROUP BY digest_date, part""")
 q("stream_dedup", ["messages"], f'SELECT DISTINCT agency, "index", {_d("date")} AS date FROM messages')
 q("stream_high_water", ["messages"], """SELECT agency, "index" AS high_water FROM (SELECT agency, "index",
   row_number() OVER (PARTITION BY agency ORDER BY date DESC, "index" DESC) AS rn FROM messages) WHERE rn = 1""")

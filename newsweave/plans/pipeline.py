@@ -86,14 +86,20 @@ def build_story_articles(spark: SparkSession, sf_dir: str, local_max: int = clus
 
 def refresh_stories(old_stories: DataFrame, old_vecs: DataFrame, slotted_all: DataFrame,
                     embeddings: DataFrame, late: DataFrame) -> DataFrame:
+    """The stories of ``refreshed``."""
+    return refreshed(old_stories, old_vecs, slotted_all, embeddings, late)[0]
+
+
+def refreshed(old_stories: DataFrame, old_vecs: DataFrame, slotted_all: DataFrame,
+              embeddings: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T4: after late articles (``late``: their ``index``) landed in the
     table, recompute only the story views they touch and keep the rest.
 
     The vocabulary is derived from all titles, so a late title can bring an
     old word over its limit. Titles are looked at again only if they are late
     or hold such a word; all other bags and vectors are the old ones. Touched
-    views hold a late article or one whose bag changed. The result equals a
-    full rebuild over all articles."""
+    views hold a late article or one whose bag changed. The stories and vectors
+    equal those of a full rebuild over all articles."""
     toks = checkpoint(vectors.title_tokens(slotted_all, []), "tokens")
     late = checkpoint(late.select("index").distinct(), "late")
     marked = toks.join(broadcast_if_small(late.withColumn("late", F.lit(True))), "index", "left")
@@ -113,7 +119,7 @@ def refresh_stories(old_stories: DataFrame, old_vecs: DataFrame, slotted_all: Da
     touched = checkpoint(touched, "touched")
     keep = old_stories.join(touched, SLOT, "left_anti")
     fresh = stories_of(view_arts.join(touched, SLOT, "left_semi"), vecs)
-    return keep.unionByName(fresh.select(*keep.columns))
+    return keep.unionByName(fresh.select(*keep.columns)), vecs
 
 
 def story_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

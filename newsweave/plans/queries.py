@@ -15,11 +15,12 @@ from .. import fixtures as fx
 from ..functions import requests as rq
 from ..functions import text as tx
 from ..functions import time as tm
-from ..operators import classify, digest, stories, summarise, users, vectors
+from ..operators import categories, classify, digest, stories, summarise, users, vectors
 from ..session import checkpoint, read_table, shared_path
 from ..sources import messages as msg
 from ..sources import sinks
 from ..streaming import ingest as sing
+from ..streaming import late as slate
 from ..streaming import slots as sslots
 from . import pipeline as pl
 
@@ -66,6 +67,18 @@ def q_scan_messages(spark: SparkSession, d: str) -> DataFrame:
     return m.select("agency", "index", _ts("date").alias("date"), "message")
 
 
+def q_scan_bad_messages(spark, d):
+    """Landed lines that give no posts: of the channels' pages, every third is
+    cut off and every third has no list."""
+    pages = fx.message_pages(spark, d)
+    at = F.col("page").cast("string")
+    kind = F.pmod("page", F.lit(3))
+    payload = (F.when(kind == 0, F.concat(F.lit('{"page": '), at, F.lit(', "messages": [{"id": 1')))
+               .when(kind == 1, F.concat(F.lit('{"page": '), at, F.lit("}"))).otherwise(F.col("payload")))
+    path = msg.land_raw(pages.select("channel", payload.alias("payload")), shared_path(spark, "landing"))
+    return msg.bad_records(spark, path).select(F.col("channel").alias("agency"), "reason", "record")
+
+
 def q_scan_range(spark, d):
     a = fx.articles(spark, d)
     start, end = (F.lit(x).cast("timestamp_ntz") for x in (SCAN_START, SCAN_END))
@@ -82,8 +95,11 @@ def q_active_sources(spark, d):
 
 def q_sink_articles(spark, d):
     path = shared_path(spark, "news")
-    sinks.append_articles(fx.articles(spark, d)
-                          .select("agency", "index", "date", "title", "category", *SLOT), path)
+    rows = fx.articles(spark, d).select("agency", "index", "date", "title", "category", *SLOT)
+    early = F.col("date") < fx.stored_before(spark, d)
+    sinks.append_articles(rows.where(early), path, "first")
+    for _ in range(2):  # the second job runs again, as after a failure behind its write
+        sinks.append_articles(rows.where(~early), path, "second")
     back = spark.read.parquet(path)
     return back.select("agency", "index", *_slot(back), "category", "title")
 
@@ -284,7 +300,7 @@ def q_cluster_links(spark, d):
 def q_article_vectors(spark, d):
     v = pl.headline_vectors(spark, d)
     return v.select("index", F.posexplode("vec").alias("dim", "value")).select(
-        "index", F.col("dim").cast("int").alias("dim"), F.round(F.round("value", 9), 6).alias("value"))
+        "index", F.col("dim").cast("int").alias("dim"), (F.floor(F.col("value") * 1e6 + 0.50003719) / 1e6).alias("value"))
 
 
 def q_story_clusters(spark, d):
@@ -482,6 +498,20 @@ def q_classify_nb(spark, d):
     return kept.select("doc_id", "category")
 
 
+def _quality_classes(spark, d) -> DataFrame:
+    """A class for each pair of labels that occurs."""
+    return read_table(spark, d, "labels").select("doc_id", F.concat(
+        F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("class"))
+
+
+def q_classify_multi(spark, d):
+    return categories.classify_multi(read_table(spark, d, "documents"), _quality_classes(spark, d))
+
+
+def q_classify_linear(spark, d):
+    return categories.classify_linear(read_table(spark, d, "documents"), _quality_classes(spark, d))
+
+
 def q_classify_lr(spark, d):
     docs = read_table(spark, d, "documents")
     labels = read_table(spark, d, "labels")
@@ -520,6 +550,13 @@ def q_stream_ingest(spark, d):
     return out.select("agency", "index", _ts("date").alias("date"), *_slot(out), "title", "short_news")
 
 
+def q_stream_metrics(spark, d):
+    """The live figures of an ingest run of posts above the stored high water."""
+    m = sing.stream_metrics(spark, fx.message_pages(spark, d), _model(spark, d), fx.agencies(spark, d),
+                            msg.high_water(_stored(spark, d)), max_files=20)
+    return m.select("agency", "n_articles", "first_date", "last_date")
+
+
 def q_slot_assign(spark, d):
     e = read_table(spark, d, "events")
     s = e.select("event_id", tm.digest_date("ts").alias("digest_date"), tm.slot_part("ts").alias("part"))
@@ -531,6 +568,64 @@ def q_stream_slots(spark, d):
     return s.select(*_slot(s), F.col("n_events").cast("bigint").alias("n_events"))
 
 
+def q_stream_slot_close(spark, d):
+    s = sslots.stream_slot_close(spark, d.rstrip("/"), read_table(spark, d, "events").schema)
+    return s.select(*_slot(s), F.col("n_events").cast("bigint").alias("n_events"))
+
+
+def _by_arrival(rows: DataFrame) -> list[DataFrame]:
+    """Three landings of nearly equal length in time, in the order of arrival."""
+    rows = checkpoint(rows, "arrivals")
+    lo, hi = rows.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
+    if lo is None:
+        return [rows]
+    a, b = (F.lit((lo + (hi - lo) * k // 3).isoformat(" ")).cast("timestamp_ntz") for k in (1, 2))
+    at = F.col("arrival_ts")
+    return [rows.where(at < a), rows.where((at >= a) & (at < b)), rows.where(at >= b)]
+
+
+def q_stream_late_counts(spark, d):
+    """Events and late ones of every slot over three landings; with a delay of
+    two hours, half of the late ones go beside the watermark."""
+    arrivals = fx.arrivals(spark, d).select("event_id", "ts", "arrival_ts")
+    s = slate.stream_late_counts(spark, _by_arrival(arrivals), "2 hours")
+    return s.select(*_slot(s), "n_events", "n_late")
+
+
+def q_stream_late(spark, d):
+    """Stories kept up to date over three landings of articles by arrival."""
+    arts = fx.articles(spark, d)
+    came = fx.arrivals(spark, d).where(F.col("event_id") % 5 == 0).select(
+        (F.col("event_id") / 5).cast("long").alias("index"), "arrival_ts")
+    s = slate.stream_late(spark, _by_arrival(arts.join(came, "index")), read_table(spark, d, "embeddings"))
+    return s.select(*_slot(s), "index", "cid", F.col("size").cast("bigint").alias("size"), "label")
+
+
+def _delivered(spark, d) -> str:
+    """All slots' digests delivered one hour after their slot, twice, as by a
+    job that is run again."""
+    t = checkpoint(digest.digest_text(pl.story_table(spark, d), pl.subscriber_settings(spark, d), fx.users(spark, d),
+                                      fx.categories(spark), pl.slot_views(spark, d)), "digests")
+    log, sent_at = shared_path(spark, "user_digest"), tm.slot_bounds("digest_date", "part")[1] + F.expr("INTERVAL 1 HOUR")
+    for exists in (False, True):
+        sinks.deliver(spark, t, log, sent_at, exists)
+    return log
+
+
+def q_deliver_slot(spark, d):
+    back = sinks.read_deliveries(spark, _delivered(spark, d))
+    return back.select("user_id", *_slot(back), _ts("sent_at").alias("sent_at"), "text")
+
+
+def q_deliver_asof(spark, d):
+    """The last delivered digest before each request."""
+    r = (fx.requests(spark, d).where(rq.classify_request("text") == "coordinates")
+         .select("request_id", "user_id", "sent_at"))
+    log = sinks.read_deliveries(spark, _delivered(spark, d)).select("user_id", "sent_at", *SLOT)
+    a = users.asof_digest(r, log)
+    return a.select("request_id", "user_id", _ts("digest_sent_at").alias("digest_sent_at"), *_slot(a))
+
+
 def q_late_rows(spark, d):
     s = sslots.late_rows(fx.arrivals(spark, d))
     return s.select(*_slot(s), "n_events", "n_late")

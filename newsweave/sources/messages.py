@@ -4,7 +4,7 @@ Landed payloads replace the HTTP fetch: each JSON record is one page of one
 channel, ``{"messages": [{"id", "date", "message"}, ...]}``, stored under
 ``<root>/channel=<name>/`` so the channel comes from partition discovery.
 
-* S1 ``read_messages`` / ``messages_from_payload``
+* S1 ``read_messages`` / ``messages_from_payload``, ``bad_records``
 * S3 ``active_sources``
 * A1 ``high_water``: id of the newest post per source
 * F1 ``incremental``: posts newer than the high water, non-empty body
@@ -27,6 +27,9 @@ MESSAGE = T.StructType([
 ])
 PAYLOAD = T.StructType([T.StructField("messages", T.ArrayType(MESSAGE))])
 LANDED = T.StructType([*PAYLOAD.fields, T.StructField("channel", T.StringType())])
+# a record that doesn't parse keeps its text here
+RAW = "_raw"
+LANDED_RAW = T.StructType([*LANDED.fields, T.StructField(RAW, T.StringType())])
 
 
 def land_payloads(pages: DataFrame, path: str) -> str:
@@ -37,9 +40,33 @@ def land_payloads(pages: DataFrame, path: str) -> str:
     return path
 
 
+def land_raw(pages: DataFrame, path: str) -> str:
+    """Write payloads as they came in, one line each, one folder per channel."""
+    lines = pages.select("channel", F.regexp_replace("payload", r"[\r\n]+", " ").alias("value"))
+    lines.write.mode("append").partitionBy("channel").text(path)
+    return path
+
+
+def bad_records(spark: SparkSession, path: str) -> DataFrame:
+    """S1 quarantine: (channel, file, reason, record) of every landed line that
+    gives no posts. ``reason`` is ``unparsable`` (no JSON object of this form) or
+    ``no messages`` (no ``messages`` list in it); ``record`` is the line. Blank
+    lines are no records. ``read_messages`` passes over exactly these lines; a
+    list without posts is a good record."""
+    lines = spark.read.schema("value string, channel string").text(path).where(F.trim("value") != "")
+    schema = T.StructType([*PAYLOAD.fields, T.StructField(RAW, T.StringType())])
+    r = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW})
+    rows = lines.select("channel", F.col("_metadata.file_path").alias("file"), "value", r.alias("r"))
+    reason = F.when(F.col("r").isNull() | F.col(f"r.{RAW}").isNotNull(), "unparsable") \
+        .when(F.col("r.messages").isNull(), "no messages")
+    return rows.select("channel", "file", reason.alias("reason"), F.col("value").alias("record")).where("reason is not null")
+
+
 def messages_from_payload(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
     """S1 over parsed payload rows (``channel``, ``messages``): one row per
     post with a non-empty body: (agency, index, date, message)."""
+    if RAW in payloads.columns:  # half a line may still give some messages
+        payloads = payloads.where(F.col(RAW).isNull())
     m = payloads.select(F.col("channel").alias("agency"), F.explode("messages").alias("m"))
     return (m.where(F.col("m.message").isNotNull() & (F.col("m.message") != ""))
             .select("agency", F.col("m.id").alias("index"),
@@ -47,9 +74,15 @@ def messages_from_payload(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
                     F.col("m.message").alias("message")))
 
 
+def landed_reader(reader):
+    """A (stream) reader of landed lines with a declared schema; a line that
+    doesn't parse keeps its text in ``RAW``."""
+    return reader.schema(LANDED_RAW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+
+
 def read_messages(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
     """Batch read of landed payloads with a declared schema (no inference)."""
-    return messages_from_payload(spark.read.schema(LANDED).json(path), tz)
+    return messages_from_payload(landed_reader(spark.read).json(path), tz)
 
 
 def active_sources(df: DataFrame, registry: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Sinks: append-only article and user logs, dated snapshots, ingest metrics.
 
-* S4 ``append_articles``: partitioned by ``digest_date`` for slot pruning
+* S4 ``append_articles``: partitioned by ``digest_date`` for slot pruning, one
+  folder per batch, so that a batch written again replaces itself
 * S5 ``append_user_log``: every user table (users, settings, digests sent,
   locations) is an append log; current settings are W4 in users.py
 * S6 ``snapshot``: overwrite of one dated partition, idempotent per day
 * S7 ``ingest_metrics``: per-source counts and time range
+* T7 ``deliver``: digests not yet in the log of digests sent
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_articles(df: DataFrame, path: str) -> None:
-    """Append, partitioned by slot date (partition pruning on read). Rows
-    of a date are dealt together first, a large date over several tasks
-    (``rebalance`` splits it), so a date gets few files."""
-    df.hint("rebalance", "digest_date").write.mode("append").partitionBy("digest_date").parquet(path)
+def append_articles(df: DataFrame, path: str, batch: str) -> None:
+    """Add the rows of one batch, partitioned by slot date (partition
+    pruning on read). ``batch`` names the job that makes them: run again, it
+    replaces its own rows and no others. Rows of a date are dealt together
+    first, a large date over several tasks (``rebalance`` splits it), so a
+    date gets few files."""
+    df.hint("rebalance", "digest_date").write.mode("overwrite").partitionBy("digest_date").parquet(f"{path}/batch={batch}")
 
 
 def append_user_log(df: DataFrame, path: str) -> None:
@@ -36,6 +40,28 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
+SENT = "user_id long, sent_at timestamp_ntz, digest_date date, part int, text string"
+
+
+def deliver(spark: SparkSession, texts: DataFrame, log: str, sent_at: F.Column, exists: bool = True) -> None:
+    """Append to the log the digests (user_id, digest_date, part, text) that
+    it does not hold yet, with the time of sending. One write, so a job that
+    failed left nothing, and one run again after its end adds nothing. Only the
+    keys of the slots in ``texts`` are read from the log. ``exists`` is false
+    for the first delivery of all."""
+    new = texts.select("user_id", sent_at.cast("timestamp_ntz").alias("sent_at"), F.col("digest_date").cast("date").alias("digest_date"),
+                       F.col("part").cast("int").alias("part"), "text")
+    if exists:
+        # the slots are partition folders: others are pruned at run time
+        sent = read_deliveries(spark, log).select("user_id", "digest_date", "part")
+        new = new.join(sent, ["user_id", "digest_date", "part"], "left_anti")
+    new.write.mode("append").partitionBy("digest_date", "part").parquet(log)
+
+
+def read_deliveries(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema(SENT).parquet(log)
+
+
 def ingest_metrics(df: DataFrame) -> DataFrame:
     """(agency, n_articles, first_date, last_date)."""
     return (df.groupBy("agency")
