@@ -34,6 +34,18 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind as keep it from
+    clashing with a column of ``df``, case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_tasks(spark: SparkSession, n_bytes: int = 0) -> int:
     """Tasks for a keyed stage: the session's number of shuffle partitions, or
     more if the input is larger than these hold at TASK_BYTES each."""
@@ -246,6 +258,6 @@ def batches_of(iterator: Iterator, n_bytes: int = 32 << 20) -> Iterator:
 
 __all__ = [
     "SPACES", "SPACE_RUN_RE", "WORD_RE", "WordTokenizer", "batches_of", "checkpoint", "crc32_shift",
-    "crc32_zero_operators", "load", "n_tasks", "shared_path", "sum_pieces", "to_pieces",
+    "crc32_zero_operators", "free_names", "load", "n_tasks", "shared_path", "sum_pieces", "to_pieces",
     "word_tokenizer", "worker_cache", "written",
 ]
