@@ -17,6 +17,11 @@ sample as a documented parameter; the document frequencies of the idf are counte
 labelled texts. Prediction reads every whole text. Long texts are
 counted in slices, so memory is the text and one vector of DIMS.
 
+Least cosines are learned from languages of ``MIN_FITTED`` fitted texts or more;
+a length class without a text of theirs takes that of the next shorter one, or a
+share of the next longer. Without any, distance rejects nothing. Equal cosines:
+the language first in order wins.
+
 Nulls: null or empty text is ``und``; rows without language are not fitted.
 No labelled rows: everything is ``und``. Empty table: no rows. Other columns
 are ignored.
@@ -37,6 +42,8 @@ DIMS = 4096
 CENTROIDS = 3
 FIT_ROWS = 3000
 ROUNDS = 8
+#: Fitted texts of a language from which its least cosines are learned.
+MIN_FITTED = 20
 SLACK = 0.5
 UNKNOWN = "und"
 #: Lengths are told apart by powers of two of the letters and blanks.
@@ -164,7 +171,8 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
         x = unit_vectors(counts, idf)
         c = spherical_kmeans(x, centroids)
         size, best = length_class(table["letters"].to_numpy()), (x @ c.T).max(1)
-        low = [float(np.quantile(best[size == k], 0.01)) if (size == k).any() else None for k in range(LENGTHS)]
+        some = len(best) >= MIN_FITTED
+        low = [float(np.quantile(best[size == k], 0.01)) if some and (size == k).any() else None for k in range(LENGTHS)]
         return pa.table({"label": [key[0].as_py()] * len(c), "centroid": [v.astype("<f4").tobytes() for v in c],
                          "low": [low] * len(c)},
                         schema=pa.schema([("label", pa.string()), ("centroid", pa.binary()),
