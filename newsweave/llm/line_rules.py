@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small
 from .common import SPACE_RUN_RE, SPACES, WORD_RE, written
 
-MIN_DOCS = 100
-MIN_SHARE = 0.0005
+#: A line is above the limit in more documents than both: the floor decides on hosts of up to
+#: 1,000 documents, the share beyond.
+MIN_DOCS = 5
+MIN_SHARE = 0.005
 KEEP_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 

@@ -175,7 +175,7 @@ li AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[ 	-
        FROM (SELECT doc_id, source, unnest(lines) AS x FROM m)),
 hosts AS (SELECT source, count(*) AS docs FROM t GROUP BY source),
 hot AS (SELECT source, line FROM li JOIN hosts h USING (source) GROUP BY source, line, h.docs
-        HAVING count(DISTINCT doc_id) > 100 AND count(DISTINCT doc_id) > h.docs * 0.0005),
+        HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > h.docs * 0.005),
 gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM li JOIN hot USING (source, line) GROUP BY doc_id),
 j AS (SELECT m.*, coalesce(g.n, 0) AS removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
       FROM m LEFT JOIN gone g USING (doc_id))
