@@ -143,16 +143,20 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFra
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != END)
     histogram = words.groupBy(F.expr(size_class("c")).alias("least")).count().collect()
-    least, n = 1 << 62, 0
+    least, n, part = 1 << 62, 0, 0
     for r in sorted(histogram, key=lambda r: -r["least"]):
-        n += r["count"]
-        if n > head:
+        if n + r["count"] > head:  # of the class that overflows, a share by hash
+            part = (head - n) * 4096 // r["count"]
             break
+        n += r["count"]
         least = r["least"]
-    top = words.where(F.col("c") >= least).select("word", "c").toArrow()
+    below = [r["least"] for r in histogram if r["least"] < least]
+    edge = max(below, default=least)
+    inside = (F.col("c") >= least) | ((F.col("c") >= edge) & (F.shiftrightunsigned("word", 52) < part))
+    top = words.where(inside).select("word", "c").toArrow()
     key, c = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
     order = np.argsort(key)
-    tail = words.where(F.col("c") < least)
+    tail = words.where(~inside)
     tokens, kinds = np.zeros(TAILS), np.zeros(TAILS)
     for r in tail.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         tokens[r["class"]], kinds[r["class"]] = r["c"], r["v"]
