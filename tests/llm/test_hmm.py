@@ -117,3 +117,10 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
     sliced = Words(pa.array(texts).slice(2, 3))
     assert sliced.hashes.tolist() == [h for g in got[2:5] for h in g]
+
+
+def test_head_of_words_that_share_a_count(spark):
+    """More words of one count than the head holds: it is filled by hash."""
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 500)),) for k in range(0, 4000, 500)], "text string")
+    v, tail = hmm_lm.vocabulary(hmm_lm.word_counts(texts), head=1000)
+    assert 800 <= len(v.words) <= 1200 and len(v.words) + tail.count() == 4000
