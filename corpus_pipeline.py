@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.llm import centroid_langid, hash_mix, online_packing, stream_dedup, trie_join
-from newsweave.llm.common import load, shared_path, written
+from newsweave.llm.common import free_names, load, shared_path, written
 from newsweave.llm.queries import vocabulary_path
 from newsweave.session import broadcast_if_small
 
@@ -25,7 +25,8 @@ from newsweave.session import broadcast_if_small
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are like no learned language."""
     model = centroid_langid.fit(docs, F.lit(True))
-    return centroid_langid.predict(docs, model).where("not rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), "text")
+    return centroid_langid.predict(rows, model).where("not rejected").select("kept.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs.write.parquet(path)
     gone = stream_dedup.deduplicate(spark, path).where("not kept").select("place")
     rows = spark.read.parquet(path)
+    at, = free_names(docs, "place")
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return rows.select("*", place.alias("__place")) \
-        .join(broadcast_if_small(written(gone, "gone").withColumnRenamed("place", "__place")), "__place", "left_anti") \
-        .drop("__place")
+    return rows.select("*", place.alias(at)) \
+        .join(broadcast_if_small(written(gone, "gone").withColumnRenamed("place", at)), at, "left_anti").drop(at)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word shingles: five words, and a
     similarity of 0.8 or more."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = trie_join.similar(rows.select("__row", "text"), n=5, percent=80, id_col="__row")
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "gone")
-    return rows.join(broadcast_if_small(gone), "__row", "left_anti").drop("__row")
+    row, = free_names(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = trie_join.similar(rows.select(row, "text"), n=5, percent=80, id_col=row)
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "gone")
+    return rows.join(broadcast_if_small(gone), row, "left_anti").drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
