@@ -62,6 +62,12 @@ def worker_cache(key: tuple, make: Callable):
     return store[key]
 
 
+def release_worker_cache() -> None:
+    """Give back what earlier jobs keep in this worker (a tokenizer's cache is
+    some hundred MB), before a job that needs the room itself."""
+    sys.modules.pop("_newsweave_worker_cache", None)
+
+
 # ---------------------------------------------------------------- tokenizing
 
 def _byte_letters() -> dict[int, str]:
@@ -258,6 +264,6 @@ def batches_of(iterator: Iterator, n_bytes: int = 32 << 20) -> Iterator:
 
 __all__ = [
     "SPACES", "SPACE_RUN_RE", "WORD_RE", "WordTokenizer", "batches_of", "checkpoint", "crc32_shift",
-    "crc32_zero_operators", "free_names", "load", "n_tasks", "shared_path", "sum_pieces", "to_pieces",
+    "crc32_zero_operators", "free_names", "load", "n_tasks", "release_worker_cache", "shared_path", "sum_pieces", "to_pieces",
     "word_tokenizer", "worker_cache", "written",
 ]

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import distributed_row_number
 from ..session import broadcast_if_small
-from .common import batches_of, sum_pieces, to_pieces, written
+from .common import batches_of, release_worker_cache, sum_pieces, to_pieces, written
 from .components import components
 from .words import Words, shingles
 
@@ -69,7 +69,7 @@ BLOCK, BLOCK_KEYS = 512, 1 << 17
 #: Broadcast bound of tables that grow with the corpus.
 _SMALL = 8 << 20
 #: Texts handled at once, in bytes.
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _LEVEL, _RARITY, _HASH = np.uint64(59), np.uint64(52), np.uint64(12)
 
 
@@ -189,6 +189,7 @@ def bucket_counts(docs: DataFrame, n: int = SHINGLE) -> list[np.ndarray]:
     size = 1 << ORDER_BITS
 
     def run(batches: Iterator) -> Iterator:
+        release_worker_cache()
         total = np.zeros((2, size))
         for batch in batches_of(batches, _CHUNK):
             w = Words(batch.column(0))
@@ -244,6 +245,7 @@ def similar(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_worker_cache()
         for batch in batches_of(batches, _CHUNK):
             rows = order.sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays(
@@ -352,6 +354,7 @@ def _in_clusters(full: DataFrame, clusters: DataFrame, percent: int) -> DataFram
     def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_worker_cache()
         meeting, held = None, []
 
         def one() -> pa.RecordBatch:
