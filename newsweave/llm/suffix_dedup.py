@@ -14,7 +14,8 @@ besides the owner's) are one piece from there on, at its first place. Two
 windows of one piece are never equal, since they hold the owner at different
 places, so all windows of the later copies are repeated.
 
-A shard's text is its distinct pieces, one behind the other. Its suffixes are
+A shard's text is its distinct pieces, one behind the other, of owners that have
+more than one. Its suffixes are
 sorted by ``induced_sort`` with their common prefixes, on disk where they
 exceed the memory: neighbours that share ``length`` bytes are equal windows,
 and all but the first of them in the corpus are repeated.
@@ -228,10 +229,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
                   .join(broadcast_if_small(order.select("row", "number"), _SMALL), "row")
                   .select("owner", "sign", "row", place, "n", "away"), "met")
     firsts = written(met.groupBy("owner", "sign").agg(F.min("place").alias("place")), "first-places")
-    met = written(met.drop("sign").join(firsts.select("place", F.lit(True).alias("first")), "place", "left"), "judged")
+    # a single piece of an owner has no other that its windows could stand in
+    several = written(firsts.groupBy("owner").agg(F.count("*").alias("of")).where("of > 1")
+                      .select("owner", F.lit(True).alias("several")), "several", "snappy")
+    firsts = firsts.join(broadcast_if_small(several, _SHARED), "owner", "left") \
+        .select("place", F.lit(True).alias("first"), F.coalesce("several", F.lit(False)).alias("several"))
+    met = written(met.drop("sign").join(firsts, "place", "left"), "judged")
     later = met.where("first is null").select("place", "n")
     # a document's pieces are bounded by its length
-    asked = met.where("first").groupBy("row").agg(F.collect_list(F.struct("owner", "place", "n", "away")).alias("runs"))
+    asked = met.where("several").groupBy("row").agg(F.collect_list(F.struct("owner", "place", "n", "away")).alias("runs"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,7 +255,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
 
     shards = texts.select("row", "text").join(asked, "row").select("text", "runs") \
         .mapInArrow(cut, "owner long, place long, away int, piece binary")
-    if met.where("first").groupBy("owner").count().where(F.col("count") > hot).take(1):
+    if met.where("several").groupBy("owner").count().where(F.col("count") > hot).take(1):
         shards = written(shards, "pieces")
     else:
         hot = None  # no owner is
@@ -297,7 +303,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
                                              ["place", "n"])
 
     # some 130 bytes a piece
-    tasks = n_tasks(spark, 130 * firsts.count())
+    tasks = n_tasks(spark, 130 * met.where("several").count())
     found = shards.select("owner", "place", "piece").repartition(tasks, "owner").select("place", "piece") \
         .mapInArrow(sort, "place long, n int")
     spans = later.unionByName(found) \
