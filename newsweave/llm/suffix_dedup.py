@@ -112,8 +112,8 @@ def owner_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iter
     for a in range(0, len(data) - length + 1, _CHUNK):
         part = data[a:a + _CHUNK + length - 1]
         sums = prefix_sums(part)
-        grams = np.arange(len(part) - gram + 1)
-        h = span_hashes(sums, grams, grams + gram)
+        down = worker_cache(("powers", _CHUNK), _tables)[1]
+        h = mixed((sums[gram:] - sums[:-gram]) * down[:len(part) - gram + 1])
         own = owners(h, length - gram + 1)[:len(part) - length + 1]
         first = np.arange(a, a + len(own))
         row = np.searchsorted(at, first, "right") - 1
@@ -135,32 +135,31 @@ def _marks(padded: np.ndarray, windows: np.ndarray, places: np.ndarray, length:
     it, the end symbol and padding; ``windows`` and ``places`` are the pieces'
     numbers of windows and places in the corpus."""
     sizes = windows + length  # bytes of the piece and the mark behind it
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    begin = np.concatenate([[0], np.cumsum(windows)])
-    out = disk.array(int(begin[-1]), np.uint8)
+    starts, begin = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    out = disk.array(int(windows.sum()), np.uint8)
+    piece_at = disk.array(int(sizes.sum()), np.int32)  # the piece of each byte
+    for a in range(0, len(sizes), 1 << 14):
+        b = min(len(sizes), a + (1 << 14))
+        piece_at[starts[a]:starts[b - 1] + sizes[b - 1]] = np.repeat(np.arange(a, b, dtype=np.int32), sizes[a:b])
     best = slot = None  # of the open group: its first place in the corpus and which window that is
     for pos, shared in sorted_suffixes(padded, length, disk, memory):
-        new = shared < length
-        piece = np.searchsorted(starts, pos, "right") - 1
-        piece = np.minimum(piece, len(windows) - 1)
+        piece = piece_at[pos]
         off = pos - starts[piece]
         real = off < windows[piece]
-        group = np.cumsum(new)  # 0: the group left open by the last batch
-        if group[-1] and not real.any():
-            best = None
-            continue
-        g, place, where = group[real], places[piece[real]] + off[real], begin[piece[real]] + off[real]
+        group = np.cumsum(shared < length)  # 0: the group left open by the last batch
+        g, piece, off = group[real], piece[real], off[real]
+        place, where = places[piece] + off, begin[piece] + off
         if best is not None:
             g, place, where = np.append(0, g), np.append(best, place), np.append(slot, where)
-        if len(g):
-            order = np.lexsort((place, g))
-            g, place, where = g[order], place[order], where[order]
-            least = np.append(True, g[1:] != g[:-1])
-            out[where[~least]] = 1
         best = None
-        if len(g) and g[-1] == group[-1]:
-            k = np.flatnonzero(least)[-1]
-            best, slot = place[k], where[k]
+        if len(g):
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            least = np.repeat(np.minimum.reduceat(place, first), np.diff(np.append(first, len(g))))
+            later = place != least  # places are unique
+            out[where[later]] = 1
+            if g[-1] == group[-1]:
+                k = first[-1] + int(np.argmin(place[first[-1]:]))
+                best, slot = place[k], where[k]
     return out
 
 
