@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint, shared_path
+from ..session import batches_of, checkpoint, shared_path
 
 #: White space of the word contract: blank, tab, LF, VT, FF, CR. ``bytes.split()``
 #: splits on exactly these.
@@ -250,18 +250,6 @@ def sum_pieces(pieces: DataFrame, sizes: list[tuple[int, str]]) -> list:
     return out
 
 
-def batches_of(iterator: Iterator, n_bytes: int = 32 << 20) -> Iterator:
-    """Arrow batches cut so that none holds many more bytes than ``n_bytes``
-    (but at least one row)."""
-    for batch in iterator:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        step = max(1, min(n, int(n * n_bytes / max(1, batch.nbytes))))
-        for i in range(0, n, step):
-            yield batch.slice(i, step)
-
-
 __all__ = [
     "SPACES", "SPACE_RUN_RE", "WORD_RE", "WordTokenizer", "batches_of", "checkpoint", "crc32_shift",
     "crc32_zero_operators", "free_names", "load", "n_tasks", "release_worker_cache", "shared_path", "sum_pieces", "to_pieces",

@@ -76,3 +76,11 @@ def test_summary_repeats_no_four_words(spark):
     by = {r["doc_id"]: r["summary"] for r in got}
     assert by[1].count("alpha beta gamma delta") <= 1 and by[2] == "a b c d e. x." and by[3] == "one. one."
     assert 4 not in by
+
+
+def test_summaries_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "... !!\n"), (4, "one"), (5, "B b. A a. c. A a! b b\n"), (6, "x1y. -. x y x.")],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: (r["summary"], r["headline"]) for r in summarise.summaries(docs, 2, 1).collect()}
+    assert got == {4: ("one", "one"), 5: ("B b. A a.", "B"), 6: ("x1y. x y x.", "x")}
+    assert summarise.summaries(docs.where("doc_id < 4")).count() == 0

@@ -64,3 +64,9 @@ def test_story_numbering_has_no_per_slot_window(spark):
 def test_pair_join_is_grouped_per_block_pair(spark):
     p = plan(pl.pairs(spark, SF_SMALL))
     assert "FlatMapGroupsInPandas" in p and "_lo" in p and "_hi" in p
+
+
+def test_summaries_sort_no_words(spark):
+    from newsweave.operators.summarise import summaries
+    p = plan(summaries(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+    assert "Window" not in p and "Sort" not in p and "Generate" not in p
