@@ -255,3 +255,29 @@ def test_fused_views_equal_distributed_path(spark):
             if (r[0], r[1]) == k:
                 got.setdefault(r[3], set()).add(r[2])
         assert {frozenset(s) for s in got.values()} == brute_force(pts, 0.3)
+
+
+def test_tasks_finish_small_views_like_rounds(spark):
+    """All rounds distributed, all in tasks, and a change on the way give equal clusters."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for v, n in enumerate((40, 15)):
+        pts = rng.normal(size=(n, 3)).round(1) + 0.05
+        u = pts / np.linalg.norm(pts, axis=1)[:, None]
+        w = rng.integers(1, 4, n)
+        d = np.round(1 - u @ u.T, 1)  # many equal distances
+        rows += [(f"d{v}", 1, 3 * i, 3 * j, float(d[i, j]), int(w[i]), int(w[j]))
+                 for i in range(n) for j in range(i + 1, n) if d[i, j] < 0.4]
+    edges = spark.createDataFrame(rows, "digest_date string, part int, a long, b long, d double, wa long, wb long")
+    got = [sorted(map(tuple, clusters.complete_linkage(edges, local_edges=k).collect())) for k in (0, len(rows) // 3, len(rows))]
+    assert got[0] == got[1] == got[2] and len({r[3] for r in got[0]}) > 4
+
+
+def test_few_jobs_for_a_long_chain_of_merges(spark, monkeypatch):
+    """Rising distances allow one merge a round; the number of written tables must not follow."""
+    n, names, write = 24, [], clusters._write
+    monkeypatch.setattr(clusters, "_write", lambda df, name: (names.append(name), write(df, name))[1])
+    rows = [("d", 1, i, j, j / 100, 1, 1) for i in range(n) for j in range(i + 1, n)]
+    edges = spark.createDataFrame(rows, "digest_date string, part int, a long, b long, d double, wa long, wb long")
+    got = clusters.complete_linkage(edges).collect()
+    assert {r["cid"] for r in got} == {0} and len(got) == n and len(names) <= 4
