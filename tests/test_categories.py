@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweave.operators import categories, summarise
+from newsweave.operators import classify as classify_ops
 
 from conftest import SF_ORACLE
 
@@ -84,3 +85,18 @@ def test_summaries_of_odd_texts(spark):
     got = {r["doc_id"]: (r["summary"], r["headline"]) for r in summarise.summaries(docs, 2, 1).collect()}
     assert got == {4: ("one", "one"), 5: ("B b. A a.", "B"), 6: ("x1y. x y x.", "x")}
     assert summarise.summaries(docs.where("doc_id < 4")).count() == 0
+
+
+def test_models_get_bounded_parts(spark):
+    """However many rows a batch of Spark's holds, a model sees some MB of text at once."""
+    class Longest:
+        @classmethod
+        def load(cls):
+            return cls()
+
+        def predict(self, texts):
+            return texts.str.len() * 0.0 + texts.str.len().sum()
+
+    docs = spark.range(0, 400, 1, 1).selectExpr("id doc_id", "repeat('abcdefgh', 8192) text")
+    got = [r["score"] for r in classify_ops.score_batches(docs, Longest).collect()]
+    assert len(got) == 400 and max(got) <= 8 << 20
