@@ -217,3 +217,27 @@ def test_late_rows_flag(spark):
     a = fx.arrivals(spark, SF_SMALL)
     late = slots.late_rows(a).agg(F.sum("n_late")).first()[0]
     assert late == a.where("is_late").count()
+
+
+def test_landed_files_follow_the_size(spark, tmp_path):
+    """Pages that many tasks made land in few files, and no page is lost."""
+    from newsweave.sources import messages as msg
+    pages = spark.range(0, 400, 1, 16).selectExpr("if(id % 4 = 0, 'b', 'a') channel", "id page",
+                                                  "concat('{\"messages\": [{\"id\": ', id, ', \"date\": 1, \"message\": \"m', id, '\"}]}') payload")
+    for size, least, most in ((1 << 20, 2, 2), (4000, 2, 16)):
+        path = msg.land_payloads(pages, str(tmp_path / str(size)), size)
+        files = list((tmp_path / str(size)).glob("channel=*/*.json"))
+        assert least <= len(files) <= most
+        got = msg.read_messages(spark, path)
+        assert got.select("index").distinct().count() == got.count() == 400
+
+
+def test_cleaned_texts_are_written_once(spark):
+    from newsweave.operators.classify import NaiveBayes
+    from newsweave.streaming.ingest import to_articles
+    m = spark.createDataFrame([("a", 1, "<b>one word</b>")], "agency string, index long, message string").withColumn(
+        "date", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    model = NaiveBayes(spark.createDataFrame([("one", 0.0)], "word string, news double"), {"news": 0.0})
+    p = to_articles(m, model)
+    assert "<[^>]*>" not in p._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["short_news"] for r in p.collect()] == ["one word"]
