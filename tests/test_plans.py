@@ -70,3 +70,7 @@ def test_summaries_sort_no_words(spark):
     from newsweave.operators.summarise import summaries
     p = plan(summaries(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
     assert "Window" not in p and "Sort" not in p and "Generate" not in p
+
+
+def test_day_digests_parse_the_commands_once(spark):
+    assert "events.parquet" not in plan(Q.q_day_digest(spark, SF_SMALL))

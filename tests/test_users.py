@@ -8,6 +8,8 @@ from newsweave import fixtures as fx
 from newsweave.operators import digest, stories, users
 from newsweave.sources import messages as msg
 
+from conftest import rows
+
 T0 = dt.datetime(2024, 1, 1, 8)
 
 
@@ -153,3 +155,41 @@ def test_day_digest_serves_whole_days(spark):
     texts = {r["request_id"]: r["text"] for r in digest.day_digest_text(lines, people, fx.categories(spark)).collect()}
     assert texts[7].startswith("Ann, hello!\n\nYour digest for\n01 January 2024:\n\nC 1. Clicks:\n1. Day click\n")
     assert texts[8].startswith("Reader, hello!") and texts[8].count("\n") == texts[7].count("\n") + 1
+
+
+def _stories_and_settings(spark):
+    st = spark.createDataFrame([("2024-01-0%d" % (1 + i % 3), 1 + i % 2, i + 1, 9 - i % 9, "view" if i % 4 else "click", f"t{i}") for i in range(24)],
+                               "digest_date string, part int, label long, size long, category string, title string") \
+        .withColumn("digest_date", F.to_date("digest_date"))
+    settings = spark.createDataFrame([(u, 1 + u % 3, ["view", "click"] if u % 2 else ["click"]) for u in range(60)],
+                                     "user_id long, news_amount int, categories array<string>")
+    return st, settings
+
+
+def test_digest_lines_deal_few_bytes_of_settings_over_many_tasks(spark, monkeypatch):
+    st, settings = _stories_and_settings(spark)
+    settings = settings.coalesce(1)
+    whole = rows(digest.digest_lines(st, settings))
+    monkeypatch.setattr(digest, "TASK_LINES", 100)
+    dealt = digest.digest_lines(st, settings)
+    assert dealt.rdd.getNumPartitions() > 5 and rows(dealt) == whole
+
+
+def test_equal_settings_share_one_text(spark):
+    """The texts are those of the lines, and no user's text is put together by
+    a group of its own."""
+    st, settings = _stories_and_settings(spark)
+    people = spark.createDataFrame([(u, f"n{u}") for u in range(50)], "user_id long, first_name string")
+    texts = digest.digest_text(st, settings, people, fx.categories(spark))
+    assert "collect_list" not in texts._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for u, day, part, no, c, rank, label, title in rows(digest.digest_lines(st, settings)):
+        want.setdefault((u, day, part), {}).setdefault(no, []).append((rank, f"{label}. {title}\n"))
+    got = {(r["user_id"], r["digest_date"], r["part"]): r["text"] for r in texts.collect()}
+    assert got.keys() == want.keys() and len(got) == texts.count()
+    for (u, day, part), nos in want.items():
+        name = f"n{u}" if u < 50 else "Reader"
+        assert got[u, day, part].startswith(f"{name}, hello!\n")
+        pieces = ["".join(line for _, line in sorted(nos[no])) for no in sorted(nos)]
+        at = [got[u, day, part].index(p) for p in pieces]
+        assert at == sorted(at) and got[u, day, part].count("\n") == 4 + sum(2 + p.count("\n") for p in pieces)
