@@ -155,6 +155,19 @@ def test_delivery_is_once_for_each_user_and_slot(spark):
     assert got == [(1, 2, "a", "2024-01-01"), (1, 3, "c", "2024-01-02"), (2, 2, "b", "2024-01-02")]
 
 
+def test_delivery_again_reads_no_texts(spark):
+    """Who is due is found by keys, so a text without a user is sent once too."""
+    from newsweave.sources import sinks
+    log = shared_path(spark, "sent")
+    t = spark.createDataFrame([(None, "2024-01-01", 2, "a"), (2, "2024-01-01", 2, "b")],
+                              "user_id long, digest_date string, part int, text string")
+    at = F.lit("2024-01-01 13:00:00")
+    sinks.deliver(spark, t, log, at, exists=False)
+    unread = t.withColumn("text", F.raise_error(F.lit("text read")).cast("string"))
+    sinks.deliver(spark, unread, log, at)
+    assert sorted(r["text"] for r in sinks.read_deliveries(spark, log).collect()) == ["a", "b"]
+
+
 def test_slots_close_once_and_the_state_stays_small(spark):
     """Events of many days in files of one day each: every slot is handed on
     once, and the state holds the open hours alone."""
