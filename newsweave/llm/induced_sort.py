@@ -10,7 +10,8 @@ S behind an L. The steps:
    with their types) are sorted as tuples and named by their rank. No piece is
    the beginning of another: types tell an LMS cut from a cut by length.
 2. The names in text order are a shorter text. Unless all differ, its suffixes
-   are sorted by the same steps: the recursion.
+   are sorted by the same steps: the recursion. It ends with names that fit a
+   quarter of ``memory``: these are sorted in place by prefix doubling.
 3. The sorted LMS suffixes induce the L suffixes from small to large, and
    these induce the S suffixes from large to small. A priority queue holds
    tuples (symbol, position, common prefix) of suffixes found by the one
@@ -328,7 +329,9 @@ class Level:
                     edges.append(k)
                     load = 0
                 load += c
-        if name + 1 < m:
+        if name + 1 < m and m <= self.memory // 4:
+            double_prefixes(names, order)
+        elif name + 1 < m:
             edges = np.unique(np.append(np.array(edges, np.int64), name + 1))
             deeper = Level(names, edges, self.disk, self.memory, NAME_WIDTH)
             end = m
@@ -526,6 +529,24 @@ class Level:
             yield pos, shared
 
 
+def double_prefixes(names: np.ndarray, order: np.ndarray) -> None:
+    """Bring ``order``, the positions sorted by name, into the order of the
+    suffixes. Each round sorts those that share ``width`` names by the rank of
+    what follows; the last name occurs once, so none of them reaches the end."""
+    m, width = len(order), 1
+    rank, live, key = np.empty(m, np.int64), np.arange(m), names[order].astype(np.int64)
+    while len(live):
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[live]] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        live = live[~(new & np.append(new[1:], True))]
+        pos = order[live].astype(np.int64)
+        if not len(pos):
+            return
+        key = rank[pos] * m + rank[pos + width]
+        by = np.argsort(key)
+        order[live], key, width = pos[by], key[by], 2 * width
+
+
 def _room(n: int, memory: int) -> int:
     """Tuples of a bucket; a symbol that occurs more often has its own."""
     return max(1, min(memory // 4, max(256, n // 64)))

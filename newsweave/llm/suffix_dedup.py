@@ -15,7 +15,9 @@ windows of one piece are never equal, since they hold the owner at different
 places, so all windows of the later copies are repeated.
 
 A shard's text is its distinct pieces, one behind the other, of owners that have
-more than one. Its suffixes are
+more than one. Of these, only windows are kept whose middle part, the owner and
+what all windows of a step of ``CORE_STEP`` places have around it, stands in another
+piece of the owner too (by a 64-bit hash); no other window can be repeated. Its suffixes are
 sorted by ``induced_sort`` with their common prefixes, on disk where they
 exceed the memory: neighbours that share ``length`` bytes are equal windows,
 and all but the first of them in the corpus are repeated.
@@ -53,6 +55,8 @@ GRAM = 40
 #: Distinct pieces of one owner before its windows are dealt one by one.
 HOT = 4096
 STEPS = (8, 1)
+#: Places of the owner in a window that are looked at together before the sort.
+CORE_STEP = 10
 #: Windows looked at in one go.
 _CHUNK = 1 << 18
 #: Broadcast bound of tables that grow with the corpus.
@@ -128,6 +132,48 @@ def owner_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iter
         yield h[own[new]], piece, row[new], first[new] - at[row[new]], n, own[new] - begin
 
 
+def core_hashes(data: np.ndarray, at: np.ndarray, owner: np.ndarray, away: np.ndarray, length: int,
+                gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per piece, and step of places of the owner in a window: the hash of the
+    bytes that all windows of the step share, and whether the piece has such a
+    window. Equal windows of an owner have equal hashes."""
+    wide, sums, middle = length - gram, prefix_sums(data), at[:-1] + away
+    salt = owner.view(np.uint64) * np.uint64(_BASE)
+    steps = range(0, wide + 1, CORE_STEP)
+    out, has = np.zeros((len(owner), len(steps)), np.uint64), np.zeros((len(owner), len(steps)), bool)
+    for c, least in enumerate(steps):
+        right = gram + wide - min(wide, least + CORE_STEP - 1)
+        i = np.flatnonzero((away >= least) & (middle + right <= at[1:]))
+        out[i, c] = mixed(span_hashes(sums, middle[i] - least, middle[i] + right) + salt[i])
+        has[i, c] = True
+    return out, has
+
+
+def met_twice(hashes: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Which of the hashes of ``core_hashes`` occur in more than one piece."""
+    out = np.zeros(has.shape, bool)
+    for c in range(has.shape[1]):
+        i = np.flatnonzero(has[:, c])
+        order = i[np.argsort(hashes[i, c])]
+        same = hashes[order[1:], c] == hashes[order[:-1], c]
+        out[order[1:][same], c] = True
+        out[order[:-1][same], c] = True
+    return out
+
+
+def kept_windows(met: np.ndarray, away: np.ndarray, windows: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of the steps that ``met`` names: (piece, first window in
+    the piece, number of windows)."""
+    edges = np.zeros((met.shape[0], met.shape[1] + 2), np.int8)
+    edges[:, 1:-1] = met
+    edges = np.diff(edges, axis=1)
+    piece, low = np.nonzero(edges == 1)
+    high = np.nonzero(edges == -1)[1]
+    least = np.maximum(low * CORE_STEP, away[piece] - windows[piece] + 1)
+    most = np.minimum(np.minimum(high * CORE_STEP - 1, length - gram), away[piece])
+    return piece, away[piece] - most, most - least + 1
+
+
 def _marks(padded: np.ndarray, windows: np.ndarray, places: np.ndarray, length: int, disk: Disk,
            memory: int) -> np.ndarray:
     """A byte for each window of a shard's pieces, 1 if it also starts earlier
@@ -271,26 +317,39 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
         import pyarrow as pa
 
         disk = Disk(memory)
-        log, parts, places, windows = disk.log(), [], [], []
-        for batch in batches_of(batches, 1 << 20):
-            data, at = _flat(batch.column(1))
-            parts.append((log.append(data), at))
-            places.append(batch.column(0).to_numpy())
-            windows.append(np.diff(at) - (length - 1))
-        if not places:
+        log, parts, hashes = disk.log(), [], []
+        for batch in batches_of(batches, 1 << 17):
+            data, at = _flat(batch.column(3))
+            owner, place, away = (batch.column(k).to_numpy() for k in range(3))
+            parts.append((log.append(data), at, place, away.astype(np.int64)))
+            hashes.append(core_hashes(data, at, owner, parts[-1][3], length, gram))
+        if not parts:
+            return
+        met = met_twice(*(np.concatenate(h) for h in zip(*hashes, strict=True)))
+        del hashes
+        cuts, begin = [], 0
+        for _, at, _, away in parts:
+            cuts.append(kept_windows(met[begin:begin + len(away)], away, np.diff(at) - (length - 1), length, gram))
+            begin += len(away)
+        del met
+        n = np.concatenate([c[2] for c in cuts])
+        if not len(n):
             return
-        padded = disk.array(sum(int(at[-1]) + len(at) - 1 for _, at in parts) + 1 + length + 8, np.uint8)
-        begin = 0
-        for where, at in parts:
-            data = log.read(where)
+        padded = disk.array(int(n.sum()) + length * len(n) + 1 + length + 8, np.uint8)
+        begin, places = 0, []
+        for (where, at, place, _), (piece, off, wide) in zip(parts, cuts, strict=True):
+            data, size = log.read(where), wide + (length - 1)
             if len(data) and data.max() > 253:
                 raise ValueError("text is not UTF-8")
-            to = begin + np.arange(len(data)) + np.repeat(np.arange(len(at) - 1), np.diff(at))
-            end = begin + len(data) + len(at) - 1
+            upto = np.cumsum(size)
+            inner = np.arange(int(size.sum()))
+            to = begin + inner + np.repeat(np.arange(len(size)), size)
+            end = begin + len(inner) + len(size)
             padded[begin:end] = 1
-            padded[to] = data + np.uint8(2)
+            padded[to] = data[inner + np.repeat(at[piece] + off - (upto - size), size)] + np.uint8(2)
             begin = end
-        place, n = np.concatenate(places), np.concatenate(windows)
+            places.append(place[piece] + off)
+        place = np.concatenate(places)
         marks = _marks(padded, n, place, length, disk, memory)
         upto = np.concatenate([[0], np.cumsum(n)])
         for a in range(0, len(n), 1 << 14):
@@ -303,7 +362,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: st
 
     # some 130 bytes a piece
     tasks = n_tasks(spark, 130 * met.where("several").count())
-    found = shards.select("owner", "place", "piece").repartition(tasks, "owner").select("place", "piece") \
+    found = shards.select("owner", "place", "away", "piece").repartition(tasks, "owner") \
         .mapInArrow(sort, "place long, n int")
     spans = later.unionByName(found) \
         .select(F.shiftright("place", bits).alias("number"), F.col("place").bitwiseAND((1 << bits) - 1).cast("int").alias("at"),

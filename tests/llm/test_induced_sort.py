@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from newsweave.llm.induced_sort import Disk, Sorter, sorted_suffixes
+from newsweave.llm import induced_sort
+from newsweave.llm.induced_sort import Disk, Sorter, double_prefixes, sorted_suffixes
 
 
 def plain_suffixes(t):
@@ -68,3 +69,28 @@ def test_sorter(memory):
         rows += zip(a.tolist(), b.tolist(), c.tolist(), strict=True)
     got = [r for block in s.blocks() for r in zip(*(c.tolist() for c in block), strict=True)]
     assert [r[:2] for r in got] == [r[:2] for r in sorted(rows)] and sorted(got) == sorted(rows)
+
+
+def test_doubling():
+    """Names that fit the memory are sorted without a deeper level."""
+    rng = np.random.default_rng(9)
+    for top, n in ((1, 1), (2, 300), (3, 2000), (400, 2000)):
+        body = rng.integers(1, top + 1, n)
+        names = np.append(np.concatenate([body, body[:n // 2], body]), 0).astype(np.uint32)
+        order = np.argsort(names, kind="stable").astype(np.int32)
+        double_prefixes(names, order)
+        assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_few_levels(monkeypatch):
+    widths, level = [], induced_sort.Level.__init__
+
+    def init(self, text, edges, disk, memory, width, *rest):
+        widths.append(width)
+        level(self, text, edges, disk, memory, width, *rest)
+
+    monkeypatch.setattr(induced_sort.Level, "__init__", init)
+    check(b"the cat. the dog, the cat. " * 40, 100, 1 << 20)
+    assert widths == [induced_sort.BYTE_WIDTH]
+    check(b"the cat. the dog, the cat. " * 40, 100, 64)
+    assert len(widths) > 2

@@ -75,3 +75,22 @@ def test_very_long(spark):
 
 def test_empty(documents):
     assert check(documents.limit(0)) == []
+
+
+def test_windows_sorted():
+    """Before the sort: pieces that share their owner alone go, of the others
+    the windows near what they share stay, with every repeated one."""
+    rng = np.random.default_rng(6)
+    length, gram, owner = 100, 40, bytes(range(40))
+    near = bytes(rng.integers(97, 123, 60, np.uint8))
+    texts = [bytes(rng.integers(97, 123, 60, np.uint8)) + owner + bytes(rng.integers(97, 123, 60, np.uint8)) for _ in range(20)]
+    texts += [texts[0][:60] + owner + near, texts[1][:25] + near[:35] + owner + near]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    away = np.full(len(texts), 60)
+    hashes, has = sd.core_hashes(np.frombuffer(b"".join(texts), np.uint8), at, np.zeros(len(texts), np.int64), away, length, gram)
+    piece, first, n = sd.kept_windows(sd.met_twice(hashes, has), away, np.diff(at) - (length - 1), length, gram)
+    kept = {(p, w) for p, a, k in zip(piece.tolist(), first.tolist(), n.tolist(), strict=True) for w in range(a, a + k)}
+    windows = [(p, w, t[w:w + length]) for p, t in enumerate(texts) for w in range(len(t) - length + 1)]
+    several = {(p, w) for p, w, s in windows if sum(s == x[2] for x in windows) > 1}
+    assert several and several <= kept and {p for p, _ in kept} == {0, 20, 21}
+    assert len(kept) <= len(several) + 3 * sd.CORE_STEP
