@@ -281,3 +281,32 @@ def test_few_jobs_for_a_long_chain_of_merges(spark, monkeypatch):
     edges = spark.createDataFrame(rows, "digest_date string, part int, a long, b long, d double, wa long, wb long")
     got = clusters.complete_linkage(edges).collect()
     assert {r["cid"] for r in got} == {0} and len(got) == n and len(names) <= 4
+
+
+def test_pair_join_plan_and_batches(spark, capsys):
+    """No norm is computed by lambdas in Spark (once for every component), and
+    a group hands on its pairs a tile at a time; zero vectors have none."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(1200, 8)) + 3
+    vecs[7] = 0
+    idx = rng.permutation(1200).astype("int64")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["s"] * 1200), pa.array(idx), pa.array(list(vecs)), pa.array([0] * 1200, pa.int32()),
+         pa.array([0] * 1200, pa.int32()), pa.array([0] * 1200, pa.int32())], ["k", "index", "vec", "_blk", "_lo", "_hi"])
+    out = list(vectors._block_pairs_fn(["k"], 0.3)(iter([batch.slice(0, 500), batch.slice(500)])))
+    assert len(out) == 3
+    got = {(a, b): d for o in out for a, b, d in zip(*(o.column(c).to_pylist() for c in "abd"), strict=True)}
+    with np.errstate(invalid="ignore"):
+        u = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    dist = vectors.rounded(1 - u @ u.T)
+    i, j = np.nonzero(np.triu(dist < 0.3, k=1))
+    want = {(min(idx[x], idx[y]), max(idx[x], idx[y])): dist[x, y] for x, y in zip(i, j, strict=True)}
+    assert sum(o.num_rows for o in out) == len(want) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1.5e-6 for k in want)
+    df = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 0.0]), ("s", 3, [1.0, 0.1])], "k string, index long, vec array<double>")
+    pairs = vectors.similar_pairs(df, keys=["k"])
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 3)]
+    pairs.explain()
+    assert "aggregate(vec" not in capsys.readouterr().out.lower().replace("aggregate(transform(vec", "aggregate(vec")
