@@ -25,8 +25,11 @@ from newsweave.session import broadcast_if_small
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are like no learned language."""
     model = centroid_langid.fit(docs, F.lit(True))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), "text")
-    return centroid_langid.predict(rows, model).where("not rejected").select("kept.*")
+    # Numbered columns clash with none that predict adds, and each text travels once.
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kept = centroid_langid.predict(rows, model, f"c{names.index('text')}").where("not rejected")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Fitting takes at most about ``fit_rows`` labelled texts of a language, chosen
 by a hash of id and text at a rate from the language's row count: a bounded
 sample as a documented parameter; the document frequencies of the idf are counted over all
 labelled texts. Prediction reads every whole text. Long texts are
-counted in slices, so memory is the text and one vector of DIMS.
+counted in slices, so memory is the text and one vector of DIMS. A fitting task
+holds one matrix of its sample's vectors, a predicting one that of a block.
 
 Least cosines are learned from languages of ``MIN_FITTED`` fitted texts or more;
 a length class without a text of theirs takes that of the next shorter one, or a
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import batches_of, release_worker_cache, written
 
 DIMS = 4096
 CENTROIDS = 3
@@ -51,6 +52,10 @@ LENGTHS = 24
 
 _OTHER = re.compile(r"[\W\d_]+")
 _SLICE = 1 << 20
+#: Bytes of texts taken from an Arrow batch at once.
+_CHUNK = 4 << 20
+#: Rows and columns of a matrix that are copied at once.
+_PART = 256
 
 
 def counts_of(text: str | None) -> tuple[np.ndarray, int] | None:
@@ -73,9 +78,18 @@ def counts_of(text: str | None) -> tuple[np.ndarray, int] | None:
     return total, len(clean)
 
 
-def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts).astype(np.float32) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def unit_vectors(logs: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """``logs``, rows of log(1 + count), made unit vectors in place."""
+    for i in range(0, len(logs), _PART):
+        v = logs[i:i + _PART]
+        v *= idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return logs
+
+
+def mean_of(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mean of the chosen rows; a few columns of them are copied at once."""
+    return np.concatenate([x[:, i:i + _PART][rows].mean(0) for i in range(0, x.shape[1], _PART)])
 
 
 def length_class(n) -> np.ndarray:
@@ -91,7 +105,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
         c = np.vstack([c, x[np.argmin((x @ c.T).max(1))]])
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
-        c = norm(np.vstack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))]))
+        c = norm(np.vstack([mean_of(x, own == j) if (own == j).any() else c[j] for j in range(len(c))]))
     return c.astype(np.float32)
 
 
@@ -102,7 +116,8 @@ def features(docs: DataFrame, text_col: str, label: Column) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches_of(batches):
+        release_worker_cache()
+        for batch in batches_of(batches, _CHUNK):
             rows = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if got := counts_of(text):
@@ -146,8 +161,9 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
     def places(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_worker_cache()
         n = np.zeros(DIMS + 1, np.int64)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, _CHUNK):
             for x in batch.column(0).to_pylist():
                 if got := counts_of(x):
                     n[:DIMS] += got[0] > 0
@@ -165,10 +181,11 @@ def fit(docs: DataFrame, is_train: Column, fit_rows: int = FIT_ROWS, centroids:
     def learn(key, table):
         import pyarrow as pa
 
-        counts = np.zeros((table.num_rows, DIMS), np.float32)
-        for i, (p, c) in enumerate(zip(table["places"].to_pylist(), table["counts"].to_pylist(), strict=True)):
-            counts[i, np.frombuffer(p, "<u2")] = np.frombuffer(c, "<u4")
-        x = unit_vectors(counts, idf)
+        release_worker_cache()
+        x = np.zeros((table.num_rows, DIMS), np.float32)
+        for i, (p, c) in enumerate(zip(table["places"], table["counts"], strict=True)):
+            x[i, np.frombuffer(p.as_buffer(), "<u2")] = np.log1p(np.frombuffer(c.as_buffer(), "<u4").astype(np.float32))
+        x = unit_vectors(x, idf)
         c = spherical_kmeans(x, centroids)
         size, best = length_class(table["letters"].to_numpy()), (x @ c.T).max(1)
         some = len(best) >= MIN_FITTED
@@ -205,21 +222,25 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", block:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches_of(batches):
+        release_worker_cache()
+        for batch in batches_of(batches, _CHUNK):
             langs, scores, out = [], [], []
             column = batch.column(at)
             for i in range(0, batch.num_rows, block):
-                got = [counts_of(x) for x in column.slice(i, block).to_pylist()] if model else []
-                has = [k for k, g in enumerate(got) if g]
                 n = min(block, batch.num_rows - i)
                 lang, score, no = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+                x, has, letters = np.empty((n if model else 0, DIMS), np.float32), [], []
+                for k, text in enumerate(column.slice(i, block).to_pylist() if model else []):
+                    if got := counts_of(text):
+                        x[len(has)] = np.log1p(got[0])
+                        has.append(k)
+                        letters.append(got[1])
                 if has:
-                    x = unit_vectors(np.stack([got[k][0] for k in has]), model.idf)
-                    sim = x @ model.centroids.T
+                    sim = unit_vectors(x[:len(has)], model.idf) @ model.centroids.T
                     best = sim.argmax(1)
                     top = np.clip(sim[np.arange(len(has)), best].astype(float), 0, 1)
                     score[has] = top
-                    no[has] = top < model.floor[length_class([got[k][1] for k in has])]
+                    no[has] = top < model.floor[length_class(letters)]
                     for k, b in zip(has, best, strict=True):
                         lang[k] = model.langs[b]
                 langs += lang
