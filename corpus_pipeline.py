@@ -28,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Numbered columns clash with none that predict adds, and each text travels once.
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    kept = centroid_langid.predict(rows, model, f"c{names.index('text')}").where("not rejected")
+    at = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
+    kept = centroid_langid.predict(rows, model, f"c{at}").where("not rejected")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -98,3 +98,10 @@ def test_stage_sends_each_text_once(spark, documents, tasks):
     cp.language_id(spark, documents, "")
     _, columns = tasks["mapInArrow"][-1]
     assert len(columns) == len(documents.columns)
+
+
+def test_stage_finds_the_text_by_any_case(spark, documents):
+    docs = documents.withColumnRenamed("text", "Text")
+    kept = cp.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, cp.language_id(spark, documents, "").collect()))
