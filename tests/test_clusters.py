@@ -310,3 +310,85 @@ def test_pair_join_plan_and_batches(spark, capsys):
     assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 3)]
     pairs.explain()
     assert "aggregate(vec" not in capsys.readouterr().out.lower().replace("aggregate(transform(vec", "aggregate(vec")
+
+
+def test_a_large_view_writes_no_graph(spark, monkeypatch):
+    """2,500 nodes, more than 2,000: pairs are merged where they are found, or
+    where they are sent packed; no table of edges or rounds is written."""
+    rng = np.random.default_rng(17)
+    vecs = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2500, 5)).round(2) + 0.01)]
+    members = spark.createDataFrame([("d", 1, i) for i, _ in vecs], "digest_date string, part int, index long")
+    vecs = spark.createDataFrame(vecs, "index long, vec array<double>")
+    names, write = [], clusters._write
+    monkeypatch.setattr(clusters, "_write", lambda df, name: (names.append(name), write(df, name))[1])
+    monkeypatch.setattr(clusters, "EDGES_AT_ONCE", 1000)      # where tasks run in this process's forks alone
+    cols = [*KEYS, "index", "cid", "size", "label"]
+    one, far = (sorted(map(tuple, clusters.view_stories(members, vecs, **k).select(*cols).collect()))
+                for k in ({}, {"local_max": 0}))
+    assert one == far and names == [] and 100 < len({r[3] for r in one}) < 2000
+
+
+def test_views_with_too_many_pairs_take_rounds(spark):
+    """A task gives a view up, in either form, and rounds give the same rows."""
+    groups = random_groups(21, 3, 60)
+    groups[("2024-01-09", 1)] = {i: np.eye(6)[i % 6] for i in range(3)}
+    members = spark.createDataFrame([(*k, i) for k, g in groups.items() for i in g], "digest_date string, part int, index long")
+    vecs = spark.createDataFrame([(i, [float(x) for x in v]) for g in groups.values() for i, v in g.items()], "index long, vec array<double>")
+    cols = [*KEYS, "index", "cid", "size", "label"]
+    got = [sorted(map(tuple, clusters.view_stories(members, vecs, local_max=m, local_edges=k).select(*cols).collect()))
+           for m, k in ((1000, 10**6), (1000, 0), (1000, 200), (0, 200), (0, 10**6))]
+    assert len(got[0]) == members.count() and all(g == got[0] for g in got)
+
+
+def test_merge_edges_by_slices(monkeypatch):
+    """Few edges at a time, looked at or sorted, and the graph in one piece."""
+    rng = np.random.default_rng(2)
+    pts = rng.normal(size=(300, 4)).round(1) + 0.03
+    u = pts / np.linalg.norm(pts, axis=1)[:, None]
+    d = np.round((1 - u @ u.T) * 100).astype("int32")           # many equal distances
+    lo, hi = (x.astype("int32") for x in np.nonzero(np.triu(d < 40, k=1)))
+    ids = np.arange(300) * 7
+
+    def run():
+        edges = [lo.copy(), hi.copy(), d[lo, hi], clusters._counts(len(lo), 300)]
+        lab = clusters.merge_edges(ids, edges, np.ones(300, dtype="int64"))
+        assert edges == []
+        return lab.tolist()
+
+    whole = run()
+    monkeypatch.setattr(clusters, "EDGES_AT_ONCE", 97)
+    monkeypatch.setattr(clusters, "SORTED_AT_ONCE", 50)
+    assert run() == whole and len(lo) > 5000
+    one = {frozenset(np.flatnonzero(np.array(whole) == c).tolist()) for c in set(whole)}
+    assert all((d[np.ix_(sorted(c), sorted(c))] < 40).all() for c in one) and len(one) < 150
+
+
+def test_rounds_keep_one_graph(spark, monkeypatch):
+    """Tables of finished rounds go: their number does not follow the rounds."""
+    import os
+
+    seen, write = [], clusters._write
+    monkeypatch.setattr(clusters, "_write", lambda df, name: (seen.append(write(df, name)) if name == "graph" else None, seen[-1] if name == "graph" else write(df, name))[1])
+    rows = [("d", 1, i, j, j / 100) for i in range(12) for j in range(i + 1, 12)]
+    edges = spark.createDataFrame(rows, "digest_date string, part int, a long, b long, d double")
+    made, rm = [], clusters._discard
+    monkeypatch.setattr(clusters, "_discard", lambda df: (made.extend(f.removeprefix("file://") for f in df.inputFiles()), rm(df))[1])
+    got = clusters.complete_linkage(edges, local_edges=0)
+    assert {r["cid"] for r in got.collect()} == {0} and len(seen) > 8
+    assert len({os.path.dirname(f) for f in made}) == len(seen) and not any(os.path.exists(f) for f in made)
+
+
+def test_packed_pairs_are_the_similar_pairs(spark):
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(200, 4)).round(2) + 0.01
+    df = spark.createDataFrame([("s", 5 * i, [float(x) for x in v]) for i, v in enumerate(vecs)], "k string, index long, vec array<double>")
+    want = sorted((r["a"], r["b"], round(r["d"] * 1e6)) for r in vectors.similar_pairs(df, keys=["k"]).collect())
+    rows = vectors.packed_pairs(df, block_rows=60, keys=["k"]).collect()
+    ids = {r["lo"]: np.frombuffer(r["ids"], "int64") for r in rows if r["ids"]}
+    got = []
+    for r in rows:
+        if r["d"]:
+            i, j, d = (np.frombuffer(r[c], t) for c, t in (("i", "uint16"), ("j", "uint16"), ("d", "int32")))
+            a, b = ids[r["lo"]][i], ids[r["hi"]][j]
+            got += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), d.tolist(), strict=True)
+    assert len(ids) == 4 and sorted(got) == want and len(want) > 1000
