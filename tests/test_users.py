@@ -193,3 +193,15 @@ def test_equal_settings_share_one_text(spark):
         pieces = ["".join(line for _, line in sorted(nos[no])) for no in sorted(nos)]
         at = [got[u, day, part].index(p) for p in pieces]
         assert at == sorted(at) and got[u, day, part].count("\n") == 4 + sum(2 + p.count("\n") for p in pieces)
+
+
+def test_asof_digest_reads_the_log_once(spark, monkeypatch):
+    """The log of digests is reduced to the users who asked, once, and written."""
+    names, cut = [], users.checkpoint
+    monkeypatch.setattr(users, "checkpoint", lambda df, name: (names.append((name, df.count())), cut(df, name))[1])
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int))"
+    reqs = spark.range(20).selectExpr("id as request_id", "id % 2 as user_id", f"{at} as sent_at")
+    digs = spark.range(100).selectExpr("id % 10 as user_id", f"{at} as sent_at", "date'2024-01-01' as digest_date", "1 as part")
+    got = users.asof_digest(reqs, digs)
+    assert got.count() == 20 and names == [("asof-requests", 20), ("asof-users", 2), ("asof-digests", 20)]
+    assert "range" not in got._jdf.queryExecution().executedPlan().toString().lower()
