@@ -254,3 +254,40 @@ def test_cleaned_texts_are_written_once(spark):
     p = to_articles(m, model)
     assert "<[^>]*>" not in p._jdf.queryExecution().optimizedPlan().toString()
     assert [r["short_news"] for r in p.collect()] == ["one word"]
+
+
+def test_delivered_slots_are_done_without_comparing_users(spark, monkeypatch):
+    """A second delivery looks at single users only in slots that differ."""
+    from newsweave.sources import sinks
+    log, names, cut = shared_path(spark, "sent"), [], sinks.checkpoint
+    monkeypatch.setattr(sinks, "checkpoint", lambda df, name: (names.append((name, df.count())), cut(df, name))[1])
+    t = spark.range(300).selectExpr("id as user_id", "date'2024-01-01' + cast(id % 3 as int) as digest_date", "cast(id % 2 as int) as part",
+                                    "concat('t', id) as text")
+    at = F.lit("2024-01-09 13:00:00")
+    sinks.deliver(spark, t, log, at, exists=False)
+    sinks.deliver(spark, t, log, at)
+    assert names == [("due-slots", 6), ("open-slots", 0)]
+    names.clear()
+    more = t.unionByName(t.where("user_id in (6, 7)").withColumn("user_id", F.col("user_id") + 1000))
+    sinks.deliver(spark, more, log, at, keys=more.drop("text"))
+    assert names[1:] == [("open-slots", 2), ("due", 102), ("undelivered", 2)]
+    back = sinks.read_deliveries(spark, log)
+    assert back.count() == back.select("user_id", "digest_date", "part").distinct().count() == 302
+
+
+def test_the_log_of_digests_is_written_without_sorting_texts(spark):
+    """Groups of readers are put in the order of the slots before they are
+    taken apart, and the writer adds no sort."""
+    from newsweave.operators import digest
+    from newsweave.plans import pipeline as pl
+    from newsweave.sources import sinks
+    args = pl.story_table(spark, SF_SMALL), pl.subscriber_settings(spark, SF_SMALL), fx.users(spark, SF_SMALL), fx.categories(spark)
+    texts, keys = digest.digest_parts(*args, pl.slot_views(spark, SF_SMALL))
+    p = texts._jdf.queryExecution().executedPlan().toString()
+    assert "readers" in p.split("Sort [")[1].split("\n")[1] or "Generate explode(readers" in p.split("Sort [")[0]
+    got = sorted(map(tuple, texts.drop("text").collect()))
+    assert got == sorted(map(tuple, keys.collect())) and len(got) == len(set(got)) > 0
+    log = shared_path(spark, "sent")
+    was = spark.conf.get(sinks.OPEN_FILES)
+    sinks.deliver(spark, texts, log, F.lit("2024-01-09 13:00:00"), exists=False)
+    assert spark.conf.get(sinks.OPEN_FILES) == was and sinks.read_deliveries(spark, log).count() == len(got)
